@@ -22,12 +22,14 @@ def _over_blocks(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
 
 
-def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], width: int) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], width: int | None = None,
+                   block: Column | None = None) -> DataFrame:
     """Running totals per key in ``order``, rows with equal ``order`` included together.
 
-    ``sums`` maps new column to summed column. Keys must not be NULL.
+    ``sums`` maps new column to summed column. Keys must not be NULL. ``block`` replaces the equal-width blocks
+    by any number that never falls as ``order`` rises.
     """
-    rows = df.withColumn(BLOCK, block_of(order, width))
+    rows = df.withColumn(BLOCK, block_of(order, width) if block is None else block)
     ids = [*keys, BLOCK]
     per_block = rows.groupBy(*ids).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     before = _over_blocks(keys).rowsBetween(Window.unboundedPreceding, -1)
