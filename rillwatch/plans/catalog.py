@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from rillwatch.fixtures import Inputs
 from rillwatch.operators import rules, windows
-from rillwatch.plans import q_flows, q_logs
+from rillwatch.plans import q_alerts, q_flows, q_logs
 from rillwatch.plans.registry import ORACLES, QUERIES
 
-__all__ = ["QUERIES", "ORACLES", "flagship", "q_logs"]
+__all__ = ["QUERIES", "ORACLES", "flagship", "q_alerts", "q_logs"]
 
 
 def flagship(spark, sf_dir):
