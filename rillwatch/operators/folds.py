@@ -4,12 +4,12 @@ One key may hold most of the data, so a key is cut into time blocks and every (k
 own. The first pass assumes each block starts from scratch; then blocks whose predecessor ended in another
 state than assumed are folded again, until nothing changes. The result equals one fold over the whole key:
 each round settles at least the next block of every key, and in practice most states forget their past within
-a block, so one or two rounds do. A group never holds more than one block of one key.
+a block, so one or two rounds do. A task holds one block of one key at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,56 +21,83 @@ from rillwatch.session import cut_lineage
 # step(state text or None, rows sorted by order, first order value of the next block) -> (state text, output rows)
 # A step gives None for a state that cannot matter from the next block on; that is what ends the rounds early.
 Step = Callable[[str | None, pd.DataFrame, int], tuple[str | None, pd.DataFrame]]
-
-
-def _key_fields(cells: DataFrame, ids: list[str]) -> str:
-    types = dict(cells.dtypes)
-    return ", ".join(f"`{c}` {types[c]}" for c in ids)
-
-
-def _states(cells: DataFrame, starts: DataFrame, ids: list[str], order: list[str], step: Step, block: int) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or start.empty:
-            return pd.DataFrame({c: [] for c in [*ids, "used", "ends"]})
-        used = start["used"].iloc[0]
-        ends, _ = step(used, rows.sort_values(order), (key[-1] + 1) * block)
-        return pd.DataFrame([[*key, used, ends]], columns=[*ids, "used", "ends"])
-
-    return cells.groupBy(*ids).cogroup(starts.groupBy(*ids)).applyInPandas(
-        run, f"{_key_fields(cells, ids)}, used string, ends string")
+USED = "_used"
+
+
+def _groups(batches: Iterator[pd.DataFrame], ids: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Whole groups out of sorted batches; a group may run over several batches."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for batch in batches:
+        marks = batch[ids]
+        edges = (marks != marks.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        for a, b in zip(edges, [*edges[1:], len(batch)]):
+            here = tuple(marks.iloc[a])
+            if here != name and held:
+                yield name, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            name = here
+            held.append(batch.iloc[a:b])
+    if held:
+        yield name, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _each_group(cells: DataFrame, ids: list[str], order: list[str], work, schema: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, size = [], 0
+        for name, rows in _groups(batches, ids):
+            out = work(name, rows)
+            ready.append(out)
+            size += len(out)
+            if size > 50_000:
+                yield pd.concat(ready)
+                ready, size = [], 0
+        if ready:
+            yield pd.concat(ready)
+
+    return cells.repartition(*ids).sortWithinPartitions(*ids, *order).mapInPandas(run, schema)
 
 
 def fold(cells: DataFrame, keys: list[str], order: list[str], step: Step, out_schema: str, block: int) -> DataFrame:
     """Fold ``cells`` per key in ``order`` (first a whole number that is cut into blocks of ``block``).
 
-    ``out_schema`` describes the rows ``step`` returns; the keys are put in front of them.
+    ``out_schema`` describes the rows ``step`` returns; the keys (never NULL) are put in front of them.
     """
     types = dict(cells.dtypes)
-    cells = cells.withColumn(BLOCK, block_of(order[0], block))
     ids = [*keys, BLOCK]
-    cells = cut_lineage(cells)
-    starts = cells.select(*ids).distinct().withColumn("used", F.lit(None).cast("string"))
+    cells = cut_lineage(cells.withColumn(BLOCK, block_of(order[0], block)))
+
+    def used_of(rows):
+        used = rows[USED].iloc[0]
+        return None if pd.isna(used) else used
+
+    def end_state(name, rows):
+        used = used_of(rows)
+        ends, _ = step(used, rows, (int(name[-1]) + 1) * block)
+        return pd.DataFrame([[*name, used, ends]], columns=[*ids, USED, "ends"])
+
+    def emit(name, rows):
+        out = step(used_of(rows), rows, (int(name[-1]) + 1) * block)[1]
+        for i, k in enumerate(keys):
+            out.insert(i, k, name[i])
+        return out
+
+    def states(these):
+        fields = ", ".join(f"`{c}` {'bigint' if c == BLOCK else types[c]}" for c in ids)
+        return cut_lineage(_each_group(these, ids, order, end_state, f"{fields}, {USED} string, ends string"))
+
+    scratch = cells.withColumn(USED, F.lit(None).cast("string"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)  # one row per block
-    several = cells.agg(F.min(BLOCK).alias("a"), F.max(BLOCK).alias("b")).first()
-    if several["a"] != several["b"]:
-        known = cut_lineage(_states(cells, starts, ids, order, step, block))
+    ends = cells.agg(F.min(BLOCK).alias("first"), F.max(BLOCK).alias("last")).first()
+    if ends["first"] != ends["last"]:
+        known = states(scratch)
         while True:
             wanted = known.withColumn("wanted", F.lag("ends").over(before))
-            changed = wanted.filter(~F.col("wanted").eqNullSafe(F.col("used")))
+            same = F.col("wanted").eqNullSafe(F.col(USED))
+            changed = wanted.filter(~same).select(*ids, F.col("wanted").alias(USED))
             if changed.isEmpty():
                 break
-            again = _states(cells.join(changed.select(*ids), ids, "left_semi"),
-                            changed.select(*ids, F.col("wanted").alias("used")), ids, order, step, block)
-            settled = wanted.filter(F.col("wanted").eqNullSafe(F.col("used"))).select(*ids, "used", "ends")
-            known = cut_lineage(settled.unionByName(again))
-        starts = known.select(*ids, "used")
-
-    def emit(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        used = start["used"].iloc[0] if len(start) else None
-        out = step(used, rows.sort_values(order), (key[-1] + 1) * block)[1]
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
-
+            known = cut_lineage(wanted.filter(same).drop("wanted").unionByName(states(cells.join(changed, ids))))
+        scratch = cells.join(known.select(*ids, USED), ids)
     fields = ", ".join([*[f"`{k}` {types[k]}" for k in keys], out_schema])
-    return cells.groupBy(*ids).cogroup(starts.groupBy(*ids)).applyInPandas(emit, fields)
+    return _each_group(scratch, ids, order, emit, fields)

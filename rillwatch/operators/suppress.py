@@ -34,7 +34,7 @@ def cooldown_step(gap_us: int):
 
 def cooldown(alerts: DataFrame, key: str, seconds: float, ts: str = "alert_ts", block_seconds: int = 3600) -> DataFrame:
     """Alerts that pass a cooldown per ``key``, counted from the last alert that passed."""
-    cells = alerts.groupBy(key, micros(ts).alias("us")).agg(F.min("alert_id").alias("alert_id"))
+    cells = alerts.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias(key), micros(ts).alias("us")).agg(F.min("alert_id").alias("alert_id"))
     return fold(cells, [key], ["us"], cooldown_step(int(seconds * SECOND)), "us long, alert_id string", block_seconds * SECOND)
 
 
