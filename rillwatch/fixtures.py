@@ -173,6 +173,15 @@ class Inputs:
             sql = re.sub(rf"\b(FROM|JOIN)\s+{table}\b", rf"\1 parquet.`{self.dir}/{table}.parquet`", sql)
         return self.spark.sql(sql)
 
+    def stream(self, name: str) -> DataFrame:
+        """The view over ``events`` as a stream of the table's files."""
+        source = (self.spark.readStream.schema(self.table("events").schema)
+                  .option("pathGlobFilter", "events.parquet").parquet(self.dir))
+        source.createOrReplaceTempView("_events_stream")
+        names = [*_chain(VIEWS[name], VIEWS), name]
+        ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n], SPARK)})" for n in names)
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+events\b", r"\1 _events_stream", f"WITH {ctes} SELECT * FROM {name}"))
+
     def _metrics(self) -> DataFrame:
         """Counters count up per series; the running number comes from block prefix sums."""
         from rillwatch.operators.blocks import running_totals

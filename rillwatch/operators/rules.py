@@ -51,7 +51,8 @@ def per_flow_match(flows: DataFrame, rules: list[dict] | None = None) -> DataFra
     """Adds struct ``match``: the first enabled rule whose conditions all hold, else NULL."""
     rules = config.enabled_rules(config.PER_FLOW_RULES if rules is None else rules)
     if not rules:
-        return flows.withColumn("match", F.lit(None).cast("struct<rule_id:string>"))
+        fields = [f"{f}:{'array<string>' if f == 'matched_conditions' else 'string'}" for f in _MATCH_FIELDS]
+        return flows.withColumn("match", F.lit(None).cast(f"struct<{','.join(fields)}>"))
     first = F.coalesce(*[F.when(_holds(flows, r, "field", False), _match(r, "field")) for r in rules])
     return flows.withColumn("match", first)
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from rillwatch.fixtures import Inputs
 from rillwatch.operators import rules, windows
-from rillwatch.plans import q_alerts, q_flows, q_logs, q_metrics, q_models, q_tables
+from rillwatch.plans import q_alerts, q_flows, q_logs, q_metrics, q_models, q_sources, q_streams, q_tables
 from rillwatch.plans.registry import ORACLES, QUERIES
 
-__all__ = ["QUERIES", "ORACLES", "flagship", "q_alerts", "q_logs", "q_metrics", "q_models", "q_tables"]
+__all__ = ["QUERIES", "ORACLES", "flagship", "q_alerts", "q_logs", "q_metrics", "q_models", "q_sources", "q_streams", "q_tables"]
 
 
 def flagship(spark, sf_dir):

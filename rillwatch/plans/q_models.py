@@ -9,7 +9,7 @@ from rillwatch.operators import evaluate, model, sampling
 from rillwatch.operators.scoring import label_scores
 from rillwatch.plans.q_flows import rounded
 from rillwatch.plans.registry import CHECK_VIEWS, query
-from rillwatch.session import run_dir
+from rillwatch.session import cut_lineage, run_dir
 
 CHECK_VIEWS.update({
     "judged": "SELECT *, CASE WHEN lower(label) = 'benign' THEN 0 ELSE 1 END AS y, CASE WHEN score >= 0.6 THEN 1 ELSE 0 END AS predicted FROM labeled",
@@ -108,7 +108,7 @@ def _(t):
 # fitted models ---------------------------------------------------------------------------------------------
 
 def fitted(t, features=None, **extra):
-    df = sampling.stratified_split(training(t), "flow_id", "y")
+    df = cut_lineage(sampling.stratified_split(training(t), "flow_id", "y"))  # read once per boosting round and more
     return df, model.train_gbt(df, features or model.FLOW_FEATURES, "y", validation="is_validation", **{**QUICK, **extra})
 
 

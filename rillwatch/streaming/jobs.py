@@ -8,35 +8,35 @@ from pyspark.sql import functions as F
 
 from rillwatch import config
 from rillwatch.operators import alerts, ipfilter, model, rules, suppress, windows
+from rillwatch.session import cut_lineage
 
 
-def rule_alerts_from_flows(flows: DataFrame, seconds: int = 60, all_windows: bool = False,
+def rule_alerts_from_flows(flows: DataFrame, sizes: tuple[int, ...] = (60,), all_windows: bool = False,
                            per_flow: list[dict] | None = None, aggregate: list[dict] | None = None) -> DataFrame:
     """Address filter, per-flow rules, window rules: every alert before the cooldown.
 
-    Flows that met a per-flow rule stay out of the windows. Each window rule is tried on its own window length
+    Flows that met a per-flow rule stay out of all windows. Each window rule is tried on its own window length
     (``all_windows`` tries all rules on all windows).
     """
-    kept = ipfilter.drop_filtered(flows)
-    hit, rest = rules.split_by_rules(kept, per_flow)
-    stats = windows.window_stats(rest, seconds)
-    top = windows.top_list(windows.top_sources(rest, seconds))
-    fired = rules.window_matches(stats, aggregate, None if all_windows else f"{seconds}s")
-    return alerts.flow_alerts(hit).unionByName(alerts.window_alerts(fired, top, seconds), allowMissingColumns=True)
+    hit, rest = rules.split_by_rules(ipfilter.drop_filtered(flows), per_flow)
+    found = alerts.flow_alerts(hit)
+    for seconds in sizes:
+        fired = rules.window_matches(windows.window_stats(rest, seconds), aggregate, None if all_windows else f"{seconds}s")
+        top = windows.top_list(windows.top_sources(rest, seconds))
+        found = found.unionByName(alerts.window_alerts(fired, top, seconds))
+    return found
 
 
-def rule_alerts(flows: DataFrame, window_names=None, **kw) -> DataFrame:
-    """Alerts of all enabled windows after the cooldown per rule."""
+def rule_alerts(flows: DataFrame, window_names: list[str] | None = None, **kw) -> DataFrame:
+    """Alerts of all enabled windows that pass the cooldown per rule."""
     names = config.ENABLED_WINDOWS if window_names is None else window_names
-    sizes = sorted({config.WINDOW_SECONDS[n] for n in names})
-    every = rule_alerts_from_flows(flows, sizes[0], **kw)
-    for s in sizes[1:]:
-        more = rule_alerts_from_flows(flows, s, per_flow=[], **{k: v for k, v in kw.items() if k != "per_flow"})
-        every = every.unionByName(more, allowMissingColumns=True)
-    passed = suppress.cooldown(every, "rule_id", config.RULE_COOLDOWN_SECONDS)
-    first = alerts.first_of_each(every.withColumn("us", windows.micros("alert_ts")).withColumn(
-        "_key", F.concat_ws("#", "rule_id", "alert_id", "us")), ["us"], "_key").drop("_key")
-    return first.join(passed, ["rule_id", "us", "alert_id"], "left_semi").drop("us")
+    every = rule_alerts_from_flows(flows, tuple(sorted({config.WINDOW_SECONDS[n] for n in names})), **kw)
+    timed = cut_lineage(every.withColumn("us", windows.micros("alert_ts")))  # folded and then looked up again
+    passed = suppress.cooldown(timed, "rule_id", config.RULE_COOLDOWN_SECONDS)
+    # alerts alike in rule, time and id (two flows in one microsecond) stand for one
+    named = timed.withColumn("_key", F.concat_ws("#", "rule_id", "alert_id", F.col("us").cast("string")))
+    one = alerts.first_of_each(named, ["attacker_ips"], "_key").drop("_key")
+    return one.join(passed, ["rule_id", "us", "alert_id"], "left_semi").drop("us")
 
 
 def model_alerts_from_flows(flows: DataFrame, fitted: PipelineModel, features: list[str], threshold: float = config.SCORE_THRESHOLD,
