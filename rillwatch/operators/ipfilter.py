@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +11,18 @@ from rillwatch import config
 
 
 def should_filter(ip: Column, local=None, trusted=None, prefixes=None) -> Column:
-    """True for NULL, local, trusted and trusted-prefix addresses."""
+    """True for NULL, local, trusted and trusted-prefix addresses.
+
+    All lists go into one anchored pattern, so the address is looked at once, whatever it is computed from.
+    """
     local = config.LOCAL_PREFIXES if local is None else local
     trusted = config.TRUSTED_IPS if trusted is None else trusted
     prefixes = config.TRUSTED_PREFIXES if prefixes is None else prefixes
-    hits = [ip.startswith(p) for p in [*local, *prefixes]]
-    if trusted:
-        hits.append(ip.isin(trusted))
-    return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(True))
+    starts = [re.escape(p) for p in [*local, *prefixes]]
+    whole = [re.escape(ip) + r"\z" for ip in trusted]
+    if not starts and not whole:
+        return ip.isNull()
+    return F.coalesce(ip.rlike("^(?:" + "|".join([*starts, *whole]) + ")"), F.lit(True))
 
 
 def drop_filtered(flows: DataFrame, enabled: bool = True, filter_local: bool = True, **lists) -> DataFrame:
@@ -39,7 +43,13 @@ def filter_lists(spark, local=None, trusted=None, prefixes=None) -> DataFrame:
 
 def prefix_keys(ip: Column) -> Column:
     """An address and its one, two and three octet prefixes, the keys a listed entry can equal."""
-    return F.array(*[F.concat(F.substring_index(ip, ".", n), F.lit(".")) for n in (1, 2, 3)], ip)
+    return F.array(*[_octets(ip, n) for n in (1, 2, 3)], ip)
+
+
+def _octets(ip: Column, n: int) -> Column:
+    """The first ``n`` octets with their dots, NULL for text without that many dots."""
+    head = F.substring_index(ip, ".", n)
+    return F.when(head != ip, F.concat(head, F.lit(".")))
 
 
 def drop_listed(flows: DataFrame, entries: DataFrame, column: str = "src_ip") -> DataFrame:
@@ -52,8 +62,7 @@ def drop_listed(flows: DataFrame, entries: DataFrame, column: str = "src_ip") ->
     listed = entries.select("entry").distinct()
     for n in (1, 2, 3):
         of_length = listed.filter(F.col("entry").endswith(".") & (F.size(F.split("entry", r"\.")) == n + 1))
-        key = F.concat(F.substring_index(F.col(column), ".", n), F.lit("."))
-        kept = kept.join(of_length, key == F.col("entry"), "left_anti")
+        kept = kept.join(of_length, _octets(F.col(column), n) == F.col("entry"), "left_anti")
     exact = listed.filter(~F.col("entry").endswith("."))
     return kept.join(exact, F.col(column) == F.col("entry"), "left_anti")
 

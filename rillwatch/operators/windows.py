@@ -44,37 +44,36 @@ def _by_port(facts: DataFrame) -> DataFrame:
 
 
 def _stats(by_port: DataFrame) -> DataFrame:
-    by_ip = by_port.groupBy("win", "src_ip").agg(
-        F.count("dst_port").alias("ports"), F.sum("flows").alias("flows"), *[F.sum(c).alias(c) for c in _SUMS]
-    )
-    by_win = by_ip.groupBy("win").agg(
-        F.sum("flows").alias("total_flows"),
-        F.sum("syn").alias("syn_flag_count"),
-        F.sum("ack").alias("ack_flag_count"),
-        F.sum("tcp").alias("tcp_packet_count"),
-        F.sum("udp").alias("udp_packet_count"),
-        F.sum("icmp").alias("icmp_packet_count"),
-        F.count(F.lit(1)).alias("unique_src_ips"),
-        F.max("flows").alias("flows_per_ip"),
-        F.max("packets").alias("packets_per_ip"),
-        F.max("ports").alias("unique_dst_ports_per_ip"),
-    )
-    # exact distinct ports per window as bitmaps of 32768 ports each, merged map-side
-    port = F.col("dst_port").cast("long")
-    ports = (
-        by_port.filter(port.isNotNull())
-        .groupBy("win", F.bitmap_bucket_number(port).alias("_bucket"))
-        .agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(port))).alias("n"))
-        .groupBy("win").agg(F.sum("n").alias("unique_dst_ports"))
+    """Two grouping sets over the same rows, per source and per port, then one row per window.
+
+    The flows are read and shuffled once; a window's distinct ports are its (window, port) groups.
+    """
+    per_source, per_port = [F.col("win"), F.col("src_ip")], [F.col("win"), F.col("dst_port")]
+    has_port = F.col("dst_port").isNotNull()
+    sets = by_port.withColumn("has_port", has_port.cast("int")).groupingSets(
+        [per_source, per_port], "win", "src_ip", "dst_port"
+    ).agg(F.grouping("src_ip").alias("is_port"), F.sum("has_port").alias("ports"), F.sum("flows").alias("flows"),
+          *[F.sum(c).alias(c) for c in _SUMS])
+    source, port = F.col("is_port") == 0, F.col("is_port") == 1
+    of_source = lambda c: F.when(source, F.col(c))
+    by_win = sets.groupBy("win").agg(
+        F.sum(of_source("flows")).alias("total_flows"),
+        F.sum(of_source("syn")).alias("syn_flag_count"),
+        F.sum(of_source("ack")).alias("ack_flag_count"),
+        F.sum(of_source("tcp")).alias("tcp_packet_count"),
+        F.sum(of_source("udp")).alias("udp_packet_count"),
+        F.sum(of_source("icmp")).alias("icmp_packet_count"),
+        F.count(F.when(source, 1)).alias("unique_src_ips"),
+        F.count(F.when(port & has_port, 1)).alias("unique_dst_ports"),
+        F.max(of_source("flows")).alias("flows_per_ip"),
+        F.max(of_source("packets")).alias("packets_per_ip"),
+        F.max(of_source("ports")).alias("unique_dst_ports_per_ip"),
     )
     flags = F.col("syn_flag_count") + F.col("ack_flag_count")
-    return (
-        by_win.join(ports, "win", "left")
-        .withColumn("unique_dst_ports", F.coalesce("unique_dst_ports", F.lit(0).cast("long")))
-        .withColumn("syn_ack_ratio", F.coalesce(F.try_divide(F.col("syn_flag_count").cast("double"), flags), F.lit(0.0)))
-        .withColumn("total_packets",
-                    F.col("tcp_packet_count") + F.col("udp_packet_count") + F.col("icmp_packet_count"))
-    )
+    return by_win.withColumns({
+        "syn_ack_ratio": F.coalesce(F.try_divide(F.col("syn_flag_count").cast("double"), flags), F.lit(0.0)),
+        "total_packets": F.col("tcp_packet_count") + F.col("udp_packet_count") + F.col("icmp_packet_count"),
+    }).select("win", *STAT_NAMES)
 
 
 STAT_NAMES = [
@@ -84,9 +83,27 @@ STAT_NAMES = [
 ]
 
 
+def flow_panes(flows: DataFrame, seconds: int, ts: str = "flow_ts") -> DataFrame:
+    """Flows summed per (pane of ``seconds``, source, port), the one form all window queries can start from."""
+    return _by_port(_facts(flows, window_number(ts, seconds).alias("win")))
+
+
+def widen(panes: DataFrame, times: int) -> DataFrame:
+    """Panes merged ``times`` to one."""
+    if times == 1:
+        return panes
+    wider = panes.withColumn("win", F.floor(F.col("win") / F.lit(times)).cast("long"))
+    return wider.groupBy("win", "src_ip", "dst_port").agg(*[F.sum(c).alias(c) for c in ["flows", *_SUMS]])
+
+
 def window_stats(flows: DataFrame, seconds: int, ts: str = "flow_ts") -> DataFrame:
     """The 13 metrics per tumbling window, keyed by window number ``win``."""
-    return _stats(_by_port(_facts(flows, window_number(ts, seconds).alias("win")))).select("win", *STAT_NAMES)
+    return pane_stats(flow_panes(flows, seconds, ts))
+
+
+def pane_stats(panes: DataFrame) -> DataFrame:
+    """The 13 metrics per pane."""
+    return _stats(panes)
 
 
 def sliding_stats(flows: DataFrame, seconds: int, slide: int, ts: str = "flow_ts") -> DataFrame:
@@ -96,17 +113,23 @@ def sliding_stats(flows: DataFrame, seconds: int, slide: int, ts: str = "flow_ts
     """
     if seconds % slide:
         raise ValueError("window length must be a multiple of the slide")
-    panes = _by_port(_facts(flows, window_number(ts, slide).alias("win")))
+    panes = flow_panes(flows, slide, ts)
     spread = panes.withColumn("win", F.explode(F.sequence(F.col("win") - (seconds // slide - 1), F.col("win"))))
-    merged = spread.groupBy("win", "src_ip", "dst_port").agg(*[F.sum(c).alias(c) for c in ["flows", *_SUMS]])
-    return _stats(merged).select("win", *STAT_NAMES)
+    return _stats(spread.groupBy("win", "src_ip", "dst_port").agg(*[F.sum(c).alias(c) for c in ["flows", *_SUMS]]))
 
 
 def top_sources(flows: DataFrame, seconds: int, top_n: int = 5, ts: str = "flow_ts") -> DataFrame:
     """The ``top_n`` sources per window by flow count, ties by address."""
-    counts = flows.groupBy(
+    return _top(flows.groupBy(
         window_number(ts, seconds).alias("win"), F.coalesce("src_ip", F.lit("unknown")).alias("src_ip")
-    ).agg(F.count(F.lit(1)).alias("flow_count"))
+    ).agg(F.count(F.lit(1)).alias("flow_count")), top_n)
+
+
+def pane_top_sources(panes: DataFrame, top_n: int = 5) -> DataFrame:
+    return _top(panes.groupBy("win", "src_ip").agg(F.sum("flows").alias("flow_count")), top_n)
+
+
+def _top(counts: DataFrame, top_n: int) -> DataFrame:
     # the rank filter is pushed below the shuffle (WindowGroupLimit), so each task sends at most top_n rows a window
     ranked = Window.partitionBy("win").orderBy(F.desc("flow_count"), "src_ip")
     return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_n)

@@ -35,9 +35,10 @@ def rates(t, *names, seconds=300):
     return ts.counter_rates(ts.named(m, *names) if names else m, seconds)
 
 
-@query("counter_rate", "SELECT name, instance, device, win, round(increase, 6) AS increase, round(rate, 6) AS rate, round(irate, 6) AS irate, samples FROM rates")
+@query("counter_rate", "SELECT name, instance, device, win, round(increase, 6) AS increase, round(rate, 6) AS rate, round(irate, 6) AS irate, samples FROM rates WHERE name LIKE '%\\_total' ESCAPE '\\'")
 def _(t):
-    return rounded(rates(t).drop("changes"))
+    counters = ts.keep_matching(t.view("metrics"), "name", ".*_total")
+    return rounded(ts.counter_rates(counters, 300).drop("changes"))
 
 
 @query("series_changes", "SELECT name, instance, device, win, changes FROM rates WHERE changes > 0")
@@ -81,9 +82,9 @@ def _(t):
     return rounded(m.select("instance", "device", "us", "value.*"))
 
 
-@query("metric_vector_match", f"SELECT instance, device, epoch_us(ts) AS us, round(a.value / b.value, 6) AS value {_PAIR}")
+@query("metric_vector_match", f"SELECT instance, device, epoch_us(ts) AS us, round(a.value / NULLIF(b.value, 0), 6) AS value {_PAIR}")
 def _(t):
-    return rounded(memory(t, F.col("l") / F.col("r")))
+    return rounded(memory(t, F.try_divide("l", "r")))
 
 
 @query("ts_disk_usage", f"SELECT instance, device, epoch_us(ts) AS us, a.value - b.value AS value {_PAIR} WHERE device <> 'lo'")

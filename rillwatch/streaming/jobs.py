@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +22,13 @@ def rule_alerts_from_flows(flows: DataFrame, sizes: tuple[int, ...] = (60,), all
     """
     hit, rest = rules.split_by_rules(ipfilter.drop_filtered(flows), per_flow)
     found = alerts.flow_alerts(hit)
+    pane = math.gcd(*sizes)
+    # read once into (pane, source, port) sums; all windows and their top sources start from there
+    panes = cut_lineage(windows.flow_panes(rest, pane))
     for seconds in sizes:
-        fired = rules.window_matches(windows.window_stats(rest, seconds), aggregate, None if all_windows else f"{seconds}s")
-        top = windows.top_list(windows.top_sources(rest, seconds))
+        these = windows.widen(panes, seconds // pane)
+        fired = rules.window_matches(windows.pane_stats(these), aggregate, None if all_windows else f"{seconds}s")
+        top = windows.top_list(windows.pane_top_sources(these))
         found = found.unionByName(alerts.window_alerts(fired, top, seconds))
     return found
 
