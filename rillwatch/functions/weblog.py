@@ -66,9 +66,12 @@ def route_class(uri: Column) -> Column:
 
 
 def rate_zone(uri: Column) -> Column:
-    """The request limit that applies; health checks answer before any limit."""
-    route = route_class(uri)
-    return F.when(route.isin("login", "api"), route).when(route != "health", F.lit("global"))
+    """The request limit that applies, by the same order as ``route_class``; health checks answer before any limit."""
+    path = path_of(uri)
+    return (
+        F.when(path.rlike(STATIC_FILE), "global").when(path.rlike(LOGIN_PATH), "login")
+        .when(path.startswith("/api/"), "api").when(~path.startswith("/health"), "global")
+    )
 
 
 def body_kind(content_type: Column) -> Column:

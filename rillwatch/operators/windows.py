@@ -147,6 +147,11 @@ def scored_window_stats(scored: DataFrame, seconds: int, ts: str = "flow_ts") ->
     by_ip = scored.groupBy(window_number(ts, seconds).alias("win"), "src_ip").agg(
         F.count(F.lit(1)).alias("flows"), F.count(F.when(bad, 1)).alias("bad")
     )
+    return scored_pane_stats(by_ip)
+
+
+def scored_pane_stats(by_ip: DataFrame) -> DataFrame:
+    """The same from rows per (window, source) with ``flows`` and ``bad``."""
     return by_ip.groupBy("win").agg(
         F.sum("flows").alias("total_flows"),
         F.sum("bad").alias("suspicious_flows"),

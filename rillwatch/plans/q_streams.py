@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillwatch.operators import alerts, rules, sessions, windows
-from rillwatch.operators.windows import SECOND, micros
-from rillwatch.plans.q_alerts import seconds_of
-from rillwatch.plans.q_flows import joined, kept, rounded, unmatched
+from rillwatch.operators import rules, scoring, sessions, windows
+from rillwatch.operators.windows import micros
+from rillwatch.plans.q_alerts import WINDOW_THRESHOLD
+from rillwatch.plans.q_flows import rounded, unmatched
 from rillwatch.plans.registry import CHECK_VIEWS, query
 from rillwatch.session import run_dir
 from rillwatch.sources.sinks import run_once
@@ -137,6 +137,23 @@ def _(t):
     return jobs.rule_alerts(t.view("flows")).select("rule_id", micros("alert_ts").alias("us"))
 
 
+@query("stream_rule_detector", f"""
+SELECT rule_id, us, alert_id FROM candidates WHERE rule_id LIKE 'AGG%' AND rule_id <> 'AGG-001' AND us <= {_MARK}""")
+def _(t):
+    where = run_dir(t.spark, "detector")
+    jobs.stream_rule_detector(flow_stream(t), f"{where}/alerts", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{where}/alerts").select("rule_id", micros("alert_ts").alias("us"), "alert_id")
+
+
+@query("stream_model_detector", f"""
+SELECT 'ddos_' || CAST((win + 1) * 30 AS VARCHAR) AS alert_id, severity, suspicious_flows AS flow_count FROM ml_level WHERE severity IS NOT NULL AND (win + 1) * 30000000 <= {_MARK}""")
+def _(t):
+    where = run_dir(t.spark, "model-detector")
+    scored = scoring.label_scores(t.stream("labeled").withWatermark("flow_ts", DELAY), threshold=WINDOW_THRESHOLD)
+    jobs.stream_model_detector(scored, f"{where}/alerts", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{where}/alerts").select("alert_id", "severity", "flow_count")
+
+
 @query("packets_to_flows", """
 WITH p AS (SELECT *, epoch_us(pkt_ts) AS us, lag(epoch_us(pkt_ts)) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY pkt_ts, pkt_id) AS pu FROM packets),
  s AS (SELECT *, sum(CASE WHEN pu IS NULL OR us - pu > 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY us, pkt_id) AS session,

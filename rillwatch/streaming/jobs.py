@@ -53,3 +53,53 @@ def model_alerts_from_flows(flows: DataFrame, fitted: PipelineModel, features: l
     found = alerts.model_alerts(windows.scored_window_stats(scored, seconds), windows.top_list(bad), seconds)
     passed = suppress.cooldown(found, "severity", cooldown).select("severity", "alert_id")
     return found.join(passed, ["severity", "alert_id"], "left_semi")
+
+
+# streams -----------------------------------------------------------------------------------------------------
+
+def _per_closed_windows(panes: DataFrame, seconds: int, find, path: str, checkpoint: str):
+    """Run ``find`` on the rows of windows the watermark has closed and append what it finds below ``path``.
+
+    In append mode all rows of a window come in one micro-batch, so everything behind this single aggregation is
+    ordinary batch work on complete windows. The batch number is part of the folder, so a replayed batch overwrites.
+    """
+    def each(df: DataFrame, batch: int) -> None:
+        closed = df.withColumn("win", windows.window_number("window.start", seconds)).drop("window").persist()
+        try:
+            find(closed).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        finally:
+            closed.unpersist()
+
+    return (panes.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint))
+
+
+def stream_rule_detector(flows: DataFrame, path: str, checkpoint: str, seconds: int = 60, ts: str = "flow_ts",
+                         aggregate: list[dict] | None = None, all_windows: bool = False):
+    """Window rules over a watermarked stream of flows that met no per-flow rule; a writer to be started.
+
+    Per-flow matches leave earlier, through ``sources.sinks.fan_out``. The cooldown runs over the alert table
+    (``streaming.stateful.stream_cooldown``).
+    """
+    facts = windows._facts(flows, F.window(ts, f"{seconds} seconds").alias("window"))
+    panes = facts.groupBy("window", "src_ip", "dst_port").agg(
+        F.count(F.lit(1)).alias("flows"), *[F.sum(c).alias(c) for c in windows._SUMS])
+
+    def find(closed: DataFrame) -> DataFrame:
+        fired = rules.window_matches(windows.pane_stats(closed), aggregate, None if all_windows else f"{seconds}s")
+        return alerts.window_alerts(fired, windows.top_list(windows.pane_top_sources(closed)), seconds)
+
+    return _per_closed_windows(panes, seconds, find, path, checkpoint)
+
+
+def stream_model_detector(scored: DataFrame, path: str, checkpoint: str, seconds: int = 30, ts: str = "flow_ts"):
+    """Severity alerts over a watermarked stream of labelled flows; a writer to be started."""
+    bad = F.col("prediction") != "BENIGN"
+    panes = scored.groupBy(F.window(ts, f"{seconds} seconds").alias("window"), "src_ip").agg(
+        F.count(F.lit(1)).alias("flows"), F.count(F.when(bad, 1)).alias("bad"))
+
+    def find(closed: DataFrame) -> DataFrame:
+        worst = closed.filter("bad > 0").select("win", "src_ip", F.col("bad").alias("flows"))
+        stats = windows.scored_pane_stats(closed)
+        return alerts.model_alerts(stats, windows.top_list(windows.pane_top_sources(worst)), seconds)
+
+    return _per_closed_windows(panes, seconds, find, path, checkpoint)
