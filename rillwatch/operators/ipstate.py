@@ -34,6 +34,7 @@ class AddressState:
     def seen(self, run: dict) -> int | None:
         """A run of alerts with nothing else between. Returns a time at which the run must be cut, if any."""
         if self.whitelisted:
+            self._expire(run["last_us"])
             return None
         self._expire(run["first_us"])
         row = self.row

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rillwatch.operators.clean import binary_label
 from rillwatch.operators.quantiles import order_statistics
 
+MAX_CLASSES = 1000
+
 
 def hash_number(id_col: str) -> Column:
     """The first 52 bits of the id's md5 as a number, exact in a double."""
@@ -55,7 +57,9 @@ def exact_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
 
 def stratified_split(df: DataFrame, id_col: str, label: str, share: float = 0.1) -> DataFrame:
     """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes."""
-    values = [r[0] for r in df.select(label).distinct().limit(1000).collect()]
+    values = [r[0] for r in df.select(label).distinct().take(MAX_CLASSES + 1)]
+    if len(values) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
     chosen = _smallest(df.select(id_col, label), id_col, {(label, v): (lambda n: int(n * share)) for v in values})
     return df.join(chosen.select(id_col).withColumn("is_validation", F.lit(True)), id_col, "left").fillna(False, ["is_validation"])
 

@@ -41,7 +41,7 @@ def cooldown(alerts: DataFrame, key: str, seconds: float, ts: str = "alert_ts",
 # notifier ----------------------------------------------------------------------------------------------------
 
 class Gate:
-    """What the notifier remembers: recent sends, last send per rule, sent ids, end of its cooldown."""
+    """What the notifier remembers: recent sends, last send per rule, sent ids, end of its cooldown (microseconds)."""
 
     def __init__(self, state: dict | None, critical_bypass: bool):
         s = state or {}
@@ -51,16 +51,16 @@ class Gate:
         self.until = s.get("until")
         self.bypass = critical_bypass
 
-    def dump(self, now: float) -> dict:
+    def dump(self, now: int) -> dict:
         """What still matters from ``now`` on."""
         return {
-            "sent": [t for t in self.sent if t > now - config.NOTIFY_WINDOW],
-            "rules": {r: t for r, t in self.by_rule.items() if now - t < config.NOTIFY_MIN_INTERVAL},
+            "sent": [t for t in self.sent if t > now - config.NOTIFY_WINDOW * SECOND],
+            "rules": {r: t for r, t in self.by_rule.items() if now - t < config.NOTIFY_MIN_INTERVAL * SECOND},
             "ids": sorted(self.ids),
             "until": self.until if self.until is not None and now < self.until else None,
         }
 
-    def decide(self, now: float, rule: str, alert_id: str, severity: str) -> tuple[bool, str]:
+    def decide(self, now: int, rule: str, alert_id: str, severity: str) -> tuple[bool, str]:
         if alert_id in self.ids:
             return False, "duplicate"
         critical = severity.upper() == "CRITICAL"
@@ -69,12 +69,12 @@ class Gate:
                 if now < self.until:
                     return False, "cooldown"
                 self.until = None
-            self.sent = [t for t in self.sent if t > now - config.NOTIFY_WINDOW]
+            self.sent = [t for t in self.sent if t > now - config.NOTIFY_WINDOW * SECOND]
             if len(self.sent) >= config.NOTIFY_MAX:
-                self.until = now + config.NOTIFY_COOLDOWN
+                self.until = now + config.NOTIFY_COOLDOWN * SECOND
                 return False, "rate_limit"
             last = self.by_rule.get(rule)
-            if last is not None and now - last < config.NOTIFY_MIN_INTERVAL:
+            if last is not None and now - last < config.NOTIFY_MIN_INTERVAL * SECOND:
                 return False, f"min_interval_{rule}"
         self.sent.append(now)
         self.by_rule[rule] = now
@@ -95,15 +95,15 @@ class Summary:
     def dump(self) -> dict:
         return {"pending": self.pending, "last": self.last, "checked": self.checked}
 
-    def _due(self, now: float) -> bool:
+    def _due(self, now: int) -> bool:
         n = sum(self.pending.values())
-        return n >= config.SUMMARY_SIZE or bool(n and self.last is not None and now - self.last >= config.SUMMARY_AFTER)
+        return n >= config.SUMMARY_SIZE or bool(n and self.last is not None and now - self.last >= config.SUMMARY_AFTER * SECOND)
 
-    def _flush(self, now: float) -> None:
+    def _flush(self, now: int) -> None:
         self.flushed.append((now, sum(self.pending.values()), json.dumps(self.pending, sort_keys=True)))
         self.pending, self.last = {}, now
 
-    def after(self, now: float, severity: str, suppressed: int) -> None:
+    def after(self, now: int, severity: str, suppressed: int) -> None:
         """Note ``suppressed`` alerts of one instant (0 for a sent one), then the half-minute check."""
         if self.checked is None:
             self.checked = now
@@ -111,7 +111,7 @@ class Summary:
             self.pending[severity] = self.pending.get(severity, 0) + 1
             if self._due(now):
                 self._flush(now)
-        if now - self.checked >= config.SUMMARY_CHECK:
+        if now - self.checked >= config.SUMMARY_CHECK * SECOND:
             if self._due(now):
                 self._flush(now)
             self.checked = now
@@ -131,15 +131,13 @@ _GATE_ORDER = ["tick", "first_us", "alert_id", "severity"]
 
 
 def gate_step(tick_us: int, critical_bypass: bool, summaries: bool):
-    unit = tick_us / SECOND
-
     def step(state, rows, next_block):
         saved = json.loads(state) if state else {}
         gate = Gate(saved.get("gate"), critical_bypass)
         summary = Summary(saved.get("summary"))
         decided = []
         for tick, rule, alert_id, severity, n in rows[["tick", "rule_id", "alert_id", "severity", "n"]].itertuples(index=False):
-            now, left = tick * unit, int(n)
+            now, left = int(tick) * tick_us, int(n)
             while left:
                 send, reason = gate.decide(now, rule, alert_id, severity)
                 # the first of a cell may be sent or start a cooldown; the rest all meet the same answer
@@ -147,9 +145,9 @@ def gate_step(tick_us: int, critical_bypass: bool, summaries: bool):
                 decided.append((tick, rule, alert_id, severity, send, reason, take))
                 summary.after(now, severity, 0 if send else take)
                 left -= take
-        out = json.dumps({"gate": gate.dump(next_block * unit), "summary": summary.dump()}, sort_keys=True)
+        out = json.dumps({"gate": gate.dump(next_block * tick_us), "summary": summary.dump()}, sort_keys=True)
         if summaries:
-            frame = pd.DataFrame(summary.flushed, columns=["at", "alerts", "severities"])
+            frame = pd.DataFrame(summary.flushed, columns=["at_us", "alerts", "severities"])
         else:
             frame = pd.DataFrame(decided, columns=["tick", "rule_id", "alert_id", "severity", "sent", "reason", "n"])
         return out, frame
@@ -175,7 +173,7 @@ def notify_summaries(alerts: DataFrame, tick_us: int = SECOND, critical_bypass:
                      block_seconds: int = 86400) -> DataFrame:
     """Summaries of suppressed alerts: when, how many, and how many of each severity (JSON)."""
     return fold(_gate_cells(alerts, tick_us, channel), ["channel"], _GATE_ORDER, gate_step(tick_us, critical_bypass, True),
-                "at double, alerts long, severities string", block_seconds * SECOND // tick_us)
+                "at_us long, alerts long, severities string", block_seconds * SECOND // tick_us)
 
 
 # request limits ----------------------------------------------------------------------------------------------

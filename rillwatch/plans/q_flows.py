@@ -49,29 +49,30 @@ def _(t):
     return ipfilter.exclude_hosts(t.view("flows"), hosts).select("flow_id", "src_ip", "dst_ip")
 
 
-# one source in seven is whitelisted or blacklisted, read from the customers' keys
-_LISTED = "SELECT '203.0.0.' || CAST(c_custkey % 250 AS VARCHAR) AS ip FROM customer WHERE c_custkey % 7 = {}"
+# listed sources: customers in debt are whitelisted, those with a high balance blacklisted
+_LISTED = "SELECT '203.0.0.' || CAST(c_custkey % 250 AS VARCHAR) AS ip FROM customer WHERE c_acctbal {}"
+_WHITE, _BLACK = "< -900", "> 9900"
 
 
-def _listed(t, rest):
-    return t.table("customer").filter(F.col("c_custkey") % 7 == rest).select(
+def _listed(t, balance):
+    return t.table("customer").filter(f"c_acctbal {balance}").select(
         F.concat(F.lit("203.0.0."), (F.col("c_custkey") % 250).cast("string")).alias("ip"))
 
 
-@query("whitelist_anti", f"SELECT flow_id, src_ip FROM flows WHERE src_ip NOT IN ({_LISTED.format(0)})")
+@query("whitelist_anti", f"SELECT flow_id, src_ip FROM flows WHERE src_ip NOT IN ({_LISTED.format(_WHITE)})")
 def _(t):
-    return ipfilter.drop_whitelisted(t.view("flows"), _listed(t, 0)).select("flow_id", "src_ip")
+    return ipfilter.drop_whitelisted(t.view("flows"), _listed(t, _WHITE)).select("flow_id", "src_ip")
 
 
 @query("blacklist_override", f"""
 SELECT flow_id, CASE WHEN b THEN 'DDoS' WHEN score >= 0.98 THEN 'DDoS' ELSE 'BENIGN' END AS prediction,
  round(CASE WHEN b THEN 1.0 WHEN score >= 0.98 THEN score ELSE 1 - score END, 6) AS confidence
-FROM (SELECT flow_id, score, src_ip IN ({_LISTED.format(1)}) AS b FROM labeled) x""")
+FROM (SELECT flow_id, score, src_ip IN ({_LISTED.format(_BLACK)}) AS b FROM labeled) x""")
 def _(t):
     from rillwatch.operators.scoring import label_scores
 
     scored = label_scores(t.view("labeled"))
-    return rounded(ipfilter.override_blacklisted(scored, _listed(t, 1)).select("flow_id", "prediction", "confidence"))
+    return rounded(ipfilter.override_blacklisted(scored, _listed(t, _BLACK)).select("flow_id", "prediction", "confidence"))
 
 
 # columns ---------------------------------------------------------------------------------------------------

@@ -148,7 +148,8 @@ def calibrated(t):
 @query("calibrate_sigmoid")
 def _(t):
     scored = model.add_scores(calibrated(t), training(t), model.FLOW_FEATURES)
-    return evaluate.brier(scored, "y", "score").join(evaluate.roc_auc(scored, "y", "score"))
+    brier = evaluate.brier(scored, "y", "score").select(F.lit("brier").alias("measure"), F.col("brier").alias("value"))
+    return brier.unionByName(evaluate.roc_auc(scored, "y", "score").select(F.lit("auc").alias("measure"), F.col("auc").alias("value")))
 
 
 @query("score_flows")

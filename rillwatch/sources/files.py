@@ -43,21 +43,18 @@ def check_files(spark: SparkSession, path: str, required: list[str] | None = Non
     """One row per file: data rows, missing columns, and whether it can be loaded.
 
     A file needs a header with every required column and at least one data row. Files are read as text in
-    parallel; empty files come from the listing.
+    parallel. Files without a single byte never reach a job: Spark's file scan leaves them out.
     """
     required = config.REQUIRED_FLOW_COLUMNS if required is None else required
     reader = spark.read.format("text")
-    listing = spark.read.format("binaryFile")
     if pattern:
-        reader, listing = reader.option("pathGlobFilter", pattern), listing.option("pathGlobFilter", pattern)
+        reader = reader.option("pathGlobFilter", pattern)
     at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = reader.load(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"), at.alias("at"))
     seen = lines.filter(F.length(F.trim("value")) > 0).groupBy("file").agg(
         F.min_by("value", "at").alias("header"), (F.count(F.lit(1)) - 1).alias("data_rows"))
-    files = listing.load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"))
-    header = F.transform(F.split(F.coalesce("header", F.lit("")), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    lacking = F.array_except(F.array(*map(F.lit, required)), header)
-    out = files.join(seen, "file", "left").withColumns({"missing": lacking, "data_rows": F.coalesce("data_rows", F.lit(0))})
+    header = F.transform(F.split("header", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    out = seen.withColumn("missing", F.array_except(F.array(*map(F.lit, required)), header))
     return out.withColumn("valid", (F.size("missing") == 0) & (F.col("data_rows") > 0)).drop("header")
 
 
