@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +68,12 @@ def roc_auc(df: DataFrame, y: str, score: str, blocks: int = 256) -> DataFrame:
     per = df.groupBy(F.col(score).alias("s")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg"))
     cuts = sorted(set(per.approxQuantile("s", [i / blocks for i in range(1, blocks)], 0.5 / blocks)))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("s"))) if cuts else F.lit(0)
-    run = running_totals(per, [], "s", {"upto": "neg"}, block=block)
+    inf = float("inf")
+    if cuts:
+        per = Bucketizer(splits=[-inf, *cuts, inf], inputCol="s", outputCol="part").transform(per)
+    else:
+        per = per.withColumn("part", F.lit(0.0))
+    run = running_totals(per, [], "s", {"upto": "neg"}, block=F.col("part").cast("long"))
     below = F.col("upto") - F.col("neg")
     return run.agg(
         F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),

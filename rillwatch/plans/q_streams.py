@@ -23,15 +23,14 @@ def finish(t, stream, name):
 
 
 def flow_stream(t):
-    """Watermarked flows after the address filter and without those a per-flow rule took."""
+    """Flows after the address filter and without those a per-flow rule took; the watermark follows the flows that stay."""
     from rillwatch.operators import ipfilter
 
-    flows = t.stream("flows").withWatermark("flow_ts", DELAY)
-    return rules.split_by_rules(ipfilter.drop_filtered(flows))[1]
+    return rules.split_by_rules(ipfilter.drop_filtered(t.stream("flows")))[1].withWatermark("flow_ts", DELAY)
 
 
 # a window is out once the watermark (newest event minus two minutes, whole milliseconds) has reached its end
-_MARK = "(SELECT (max(epoch_us(flow_ts)) // 1000) * 1000 - 120000000 FROM flows)"
+_MARK = "(SELECT (max(epoch_us(flow_ts)) // 1000) * 1000 - 120000000 FROM rest)"
 
 
 def _stats_sql(expand, alias):
@@ -146,7 +145,7 @@ def _(t):
 
 
 @query("stream_model_detector", f"""
-SELECT 'ddos_' || CAST((win + 1) * 30 AS VARCHAR) AS alert_id, severity, suspicious_flows AS flow_count FROM ml_level WHERE severity IS NOT NULL AND (win + 1) * 30000000 <= {_MARK}""")
+SELECT 'ddos_' || CAST((win + 1) * 30 AS VARCHAR) AS alert_id, severity, suspicious_flows AS flow_count FROM ml_level WHERE severity IS NOT NULL AND (win + 1) * 30000000 <= {_MARK.replace("rest", "flows")}""")
 def _(t):
     where = run_dir(t.spark, "model-detector")
     scored = scoring.label_scores(t.stream("labeled").withWatermark("flow_ts", DELAY), threshold=WINDOW_THRESHOLD)
