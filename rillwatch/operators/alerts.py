@@ -197,6 +197,5 @@ def severity_counts(alerts: DataFrame) -> DataFrame:
 def top_attackers_with_rest(alerts: DataFrame, top_n: int = 10) -> DataFrame:
     """The addresses with most alerts, each row with how many more there are."""
     counts = per_attacker(alerts).groupBy("ip").agg(F.count(F.lit(1)).alias("alert_count"))
-    total = counts.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(F.col("n") - top_n, F.lit(0)).alias("n_more"))
-    top = counts.orderBy(F.desc("alert_count"), "ip").limit(top_n)
-    return top.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    more = max(counts.count() - top_n, 0)  # one number
+    return counts.orderBy(F.desc("alert_count"), "ip").limit(top_n).withColumn("n_more", F.lit(more).cast("long"))

@@ -62,25 +62,33 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[st
     )
 
 
-def trailing_sums(df: DataFrame, probes: DataFrame, keys: list[str], order: str, probe_id: str,
+def trailing_sums(df: DataFrame, probes: DataFrame | None, keys: list[str], order: str, probe_id: str,
                   sums: dict[str, str], sizes: dict[str, int], width: int) -> DataFrame:
     """For each probe, totals of ``df`` over ``[t - size, t]`` for every named size.
 
     A total is the running total at ``t`` minus the one just before ``t - size``, so no flow is paired with a
-    probe and no frame is summed again for every row. ``probes`` has ``keys``, ``order`` and ``probe_id``.
+    probe and no frame is summed again for every row. ``probes`` has ``keys``, ``order`` and ``probe_id``; without
+    it every row of ``df`` is its own probe and ``df`` is read once for both.
     """
-    # doubled order: a probe "just before x" sits at 2x, rows at x sit at 2x + 1
-    facts = df.select(
-        *keys, (F.col(order) * 2 + 1).alias("_pos"), F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id),
-        F.lit(None).cast("string").alias("_end"), *[F.col(c).cast("double").alias(f"_v_{n}") for n, c in sums.items()]
-    )
-    zero = [F.lit(0.0).alias(f"_v_{n}") for n in sums]
-    ends = F.array(
-        F.struct(F.lit("at").alias("_end"), (F.col(order) * 2 + 1).alias("_pos")),
-        *[F.struct(F.lit(s).alias("_end"), ((F.col(order) - us) * 2).alias("_pos")) for s, us in sizes.items()],
-    )
-    marks = probes.select(*keys, probe_id, F.inline(ends)).select(*keys, "_pos", probe_id, "_end", *zero)
-    run = running_totals(facts.unionByName(marks), keys, "_pos", {f"_r_{n}": f"_v_{n}" for n in sums}, 2 * width)
+    asked = df if probes is None else probes
+    id_type = asked.schema[probe_id].dataType
+    # doubled order: a probe "just before x" sits at 2x, rows at x and probes at x sit at 2x + 1
+    at = F.col(order) * 2 + 1
+
+    def mark(end, pos, row_id, amounts):
+        return F.struct(F.lit(end).cast("string").alias("_end"), pos.alias("_pos"), row_id.alias(probe_id),
+                        *[a.cast("double").alias(f"_v_{n}") for n, a in amounts.items()])
+
+    none, zero = F.lit(None).cast(id_type), {n: F.lit(0.0) for n in sums}
+    fact = mark(None, at, none, {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in sums.items()})
+    ends = [mark("at", at, F.col(probe_id), zero),
+            *[mark(s, (F.col(order) - us) * 2, F.col(probe_id), zero) for s, us in sizes.items()]]
+    if probes is None:
+        points = df.select(*keys, F.inline(F.array(fact, *ends)))
+    else:
+        points = df.withColumn(probe_id, none).select(*keys, F.inline(F.array(fact))).unionByName(
+            probes.select(*keys, F.inline(F.array(*ends))))
+    run = running_totals(points, keys, "_pos", {f"_r_{n}": f"_v_{n}" for n in sums}, 2 * width)
     out = [
         F.sum(F.when(F.col("_end") == "at", F.col(f"_r_{n}")).when(F.col("_end") == s, -F.col(f"_r_{n}"))).alias(f"{n}_{s}")
         for n in sums for s in sizes

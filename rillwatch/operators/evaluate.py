@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwatch.operators.blocks import running_totals
+from rillwatch.session import cut_lineage
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -31,7 +32,8 @@ def confusion(df: DataFrame, y: str, predicted: str) -> DataFrame:
 
 def classification_report(df: DataFrame, y: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support per class, with macro and weighted averages and accuracy."""
-    pairs = df.groupBy(F.col(y).cast("string").alias("a"), F.col(predicted).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # classes x classes rows, used four times below: the table is read once
+    pairs = cut_lineage(df.groupBy(F.col(y).cast("string").alias("a"), F.col(predicted).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n")))
     ends = pairs.select("n", F.inline(F.array(
         F.struct(F.col("a").alias("class"), F.lit(1).alias("is_a"), F.when(F.col("a") == F.col("p"), 1).otherwise(0).alias("is_p")),
         F.struct(F.col("p").alias("class"), F.lit(0).alias("is_a"), F.when(F.col("a") == F.col("p"), 0).otherwise(1).alias("is_p")))))
@@ -65,8 +67,8 @@ def roc_auc(df: DataFrame, y: str, score: str, blocks: int = 256) -> DataFrame:
     Equal scores are counted together first. Running counts over the remaining distinct scores are made in blocks
     between approximate quantiles, so there is no single sorted partition; the quantiles only balance the work.
     """
-    per = df.groupBy(F.col(score).alias("s")).agg(
-        F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg"))
+    per = cut_lineage(df.groupBy(F.col(score).alias("s")).agg(
+        F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg")))
     cuts = sorted(set(per.approxQuantile("s", [i / blocks for i in range(1, blocks)], 0.5 / blocks)))
     inf = float("inf")
     if cuts:

@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwatch.operators.blocks import BLOCK, _over_blocks, block_of, previous_row, running_totals
+from rillwatch.operators.blocks import BLOCK, _over_blocks, block_of
 from rillwatch.operators.windows import SECOND, micros
 
 
-def number_sessions(df: DataFrame, keys: list[str], order: list[str], gap_us: int, block_us: int, carry: list[str]) -> DataFrame:
-    """Adds ``session`` (1, 2, ... per key, a new one after a pause longer than the gap) and ``prev`` (the row before)."""
-    seen = previous_row(df, keys, order, list(dict.fromkeys([order[0], *carry])), block_us)
-    pause = F.col("prev").isNull() | (F.col(order[0]) - F.col(f"prev.{order[0]}") > gap_us)
-    marked = seen.withColumn("_new", F.when(pause, 1).otherwise(0))
-    return running_totals(marked, keys, order[0], {"session": "_new"}, block_us)
+def mark_sessions(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int, block_us: int) -> DataFrame:
+    """Adds ``session`` (the start of the row's session, in microseconds) and ``prev_us`` (the row before, any session).
+
+    A pause longer than the gap starts a new session. Rows are compared inside (key, block); along a key only one
+    summary per block is carried: its first and last row and where its last session began.
+    """
+    ids = [*keys, BLOCK]
+    inside = Window.partitionBy(*ids).orderBy(us, tie)
+    local = df.withColumn(BLOCK, block_of(us, block_us)).withColumn("_pu", F.lag(us).over(inside))
+    starts = F.when(F.col(us) - F.col("_pu") > gap_us, F.col(us))
+    along = _over_blocks(keys)
+    edges = local.groupBy(*ids).agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.max(starts).alias("_start"))
+    edges = edges.withColumn("_before", F.lag("_last").over(along))
+    opens = F.when(F.col("_before").isNull() | (F.col("_first") - F.col("_before") > gap_us), F.col("_first"))
+    edges = edges.withColumn("_opens", opens)
+    carried = F.last(F.coalesce("_start", "_opens"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    heads = edges.select(*ids, "_before", F.coalesce(F.col("_opens"), carried).alias("_head"))
+    upto = Window.partitionBy(*ids).orderBy(us)  # rows of the same instant together, whatever their order
+    return local.join(heads, ids).withColumns({
+        "session": F.coalesce(F.max(starts).over(upto), F.col("_head")), "prev_us": F.coalesce("_pu", "_before"),
+    }).drop("_pu", "_before", "_head", BLOCK)
 
 
 def bursts(flows: DataFrame, gap_seconds: int = 60, key: str = "src_ip", ts: str = "flow_ts", tie: str = "flow_id") -> DataFrame:
     """Bursts per source: first and last seen and flows."""
     rows = flows.select(key, tie, micros(ts).alias("us"))
-    parts = number_sessions(rows, [key], ["us", tie], gap_seconds * SECOND, 300 * SECOND, [])
-    return parts.groupBy(key, "session").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("flows"))
+    parts = mark_sessions(rows, [key], "us", tie, gap_seconds * SECOND, 300 * SECOND)
+    return parts.groupBy(key, F.col("session").alias("first_us")).agg(F.max("us").alias("last_us"), F.count(F.lit(1)).alias("flows"))
 
 
 def drop_late(rows: DataFrame, arrival: str, ts: str, seconds: int, block: int) -> DataFrame:
@@ -46,8 +61,9 @@ def packets_to_flows(packets: DataFrame, idle_seconds: int = 60, active_seconds:
         F.least(here, there).alias("end_a"), F.greatest(here, there).alias("end_b"), "protocol", us.alias("us"), "pkt_id",
         "src_ip", "dst_ip", "src_port", "dst_port", (here <= there).alias("a_to_b"), F.col("length").cast("long").alias("length"), F.col("syn").cast("long").alias("syn"))
     keys = ["end_a", "end_b", "protocol"]
-    parts = number_sessions(rows, keys, ["us", "pkt_id"], idle_seconds * SECOND, 600 * SECOND, [])
-    gap = F.when(F.col("_new") == 0, F.col("us") - F.col("prev.us"))
+    parts = mark_sessions(rows, keys, "us", "pkt_id", idle_seconds * SECOND, 600 * SECOND)
+    pause = F.col("us") - F.col("prev_us")
+    gap = F.when(pause <= idle_seconds * SECOND, pause)
     idle = F.when(gap > int(active_seconds * SECOND), gap)
     first = F.struct("us", "pkt_id")
     way = lambda flag, c: F.sum(F.when(F.col("a_to_b") == flag, c).otherwise(0))

@@ -100,17 +100,20 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     return rows.filter(F.col("cum") >= rank).groupBy(*keys).agg(F.min_by(inside, "le").alias("value"))
 
 
-def holding(points: DataFrame, keys: list[str], condition: Column, seconds: float, order: str = "us",
+def holding(points: DataFrame, keys: list[str], condition: Column, seconds: float | str, order: str = "us",
             block_seconds: int = 300) -> DataFrame:
-    """Stretches over which ``condition`` holds at every point, at least ``seconds`` long.
+    """Stretches over which ``condition`` holds at every point, at least ``seconds`` long (a number, or a column
+    that is the same for all points of a key).
 
     A break count (block prefix sums) numbers the stretches; each is then summed up map-side.
     """
-    rows = points.withColumn("_ok", F.coalesce(condition, F.lit(False))).withColumn("_break", F.when(F.col("_ok"), 0).otherwise(1))
+    hold = F.col(seconds) if isinstance(seconds, str) else F.lit(seconds)
+    rows = points.select(*keys, order, F.coalesce(condition, F.lit(False)).alias("_ok"), hold.alias("_hold"))
+    rows = rows.withColumn("_break", F.when(F.col("_ok"), 0).otherwise(1))
     numbered = running_totals(rows, keys, order, {"_run": "_break"}, block_seconds * SECOND)
     spans = numbered.filter("_ok").groupBy(*keys, "_run").agg(
-        F.min(order).alias("since"), F.max(order).alias("until"), F.count(F.lit(1)).alias("points"))
-    return spans.filter(F.col("until") - F.col("since") >= int(seconds * SECOND)).drop("_run")
+        F.min(order).alias("since"), F.max(order).alias("until"), F.count(F.lit(1)).alias("points"), F.max("_hold").alias("_hold"))
+    return spans.filter(F.col("until") - F.col("since") >= F.col("_hold") * SECOND).drop("_run", "_hold")
 
 
 def running_counter(events: DataFrame, labels: list[str], ts: str, step: str | None = None, block_seconds: int = 300) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwatch.operators.blocks import running_totals, trailing_sums
+from rillwatch.session import cut_lineage
 
 SECOND = 1_000_000
 
@@ -178,15 +179,14 @@ def every_nth(flows: DataFrame, n: int, **kw) -> DataFrame:
 def trailing_counts(flows: DataFrame, sizes=(30, 60, 300), ts: str = "flow_ts") -> DataFrame:
     """Per flow, flows of its source over the last ``sizes`` seconds, both ends included."""
     facts = flows.withColumn("_us", micros(ts)).withColumn("_one", F.lit(1))
-    width = 60 * SECOND
-    return trailing_sums(facts, facts, ["src_ip"], "_us", "flow_id", {"flows": "_one"},
-                         {str(s): s * SECOND for s in sizes}, width)
+    return trailing_sums(facts, None, ["src_ip"], "_us", "flow_id", {"flows": "_one"},
+                         {str(s): s * SECOND for s in sizes}, 60 * SECOND)
 
 
 def checkpoint_totals(flows: DataFrame, n: int, seconds: int, ts: str = "flow_ts") -> DataFrame:
     """At every ``n``-th flow, totals over ``[t - seconds, t]``."""
     packets = F.coalesce(F.col("tot_fwd_pkts"), F.lit(0)) + F.coalesce(F.col("tot_bwd_pkts"), F.lit(0))
     facts = flows.withColumn("_us", micros(ts)).withColumns({"_one": F.lit(1), "_pk": packets})
-    marks = every_nth(flows, n).select(micros(ts).alias("_us"), F.col("rn"))
+    marks = cut_lineage(every_nth(flows, n).select(micros(ts).alias("_us"), F.col("rn")))  # 1 / n of the rows
     return trailing_sums(facts, marks, [], "_us", "rn", {"flows": "_one", "packets": "_pk"},
                          {f"{seconds}s": seconds * SECOND}, 60 * SECOND)

@@ -11,6 +11,7 @@ from rillwatch.operators.windows import SECOND, micros, window_number
 from rillwatch.plans.q_alerts import scored
 from rillwatch.plans.q_flows import rounded, unmatched
 from rillwatch.plans.registry import CHECK_VIEWS, query
+from rillwatch.session import cut_lineage
 
 CHECK_VIEWS.update({
     "stepped": """
@@ -173,21 +174,19 @@ def web_points(t):
     ).withColumn("us", F.col("win") * 10 * SECOND)
 
 
-def _fired(points, keys, rules):
-    parts = [ts.holding(points, keys, F.col(m) > th, sec).select(F.lit(a).alias("alert"), *keys, "since", "until", "points") for a, m, th, sec in rules]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _judged(points, key, rules):
+    """Every rule's verdict on every point, in one long table (a point is copied once per rule, after aggregation)."""
+    verdicts = [F.struct(F.lit(a).alias("alert"), (F.col(m) > th).alias("ok"), F.lit(float(sec)).alias("hold")) for a, m, th, sec in rules]
+    return points.select(F.col(key).alias("host"), "us", F.inline(F.array(*verdicts)))
 
 
 @query("ts_alert_rules", holding_sql(f"{_WEB_LONG} UNION ALL {_GAUGE_LONG}", ["alert", "host"]))
 def _(t):
-    web = _fired(web_points(t), ["host"], WEB_ALERTS)
-    gauges = t.view("metrics").select("name", F.col("instance").alias("host"), "value", micros("ts").alias("us"))
-    cpu = _fired(gauges.filter("name = 'node_cpu_seconds_total'").drop("name"), ["host"], [("HighCPUUsage", "value", 2000, 120)])
-    mem = _fired(ts.named(gauges, FREE).drop("name"), ["host"], [("HighMemoryUsage", "value", 100000000, 120)])
-    return web.unionByName(cpu).unionByName(mem)
+    web = _judged(cut_lineage(web_points(t)), "host", WEB_ALERTS)  # the log itself is read once
+    gauges = ts.named(t.view("metrics"), "node_cpu_seconds_total", FREE).withColumn("us", micros("ts"))
+    both = web.unionByName(_judged(gauges.filter(F.col("name") != FREE), "instance", [("HighCPUUsage", "value", 2000, 120)])).unionByName(
+        _judged(ts.named(gauges, FREE), "instance", [("HighMemoryUsage", "value", 100000000, 120)]))
+    return ts.holding(both, ["alert", "host"], F.col("ok"), "hold")
 
 
 @query("alert_for_duration", holding_sql("SELECT name, instance, device, epoch_us(ts) AS us, value > 5000 AS ok, 30000000 AS hold FROM metrics", ["name", "instance", "device"]))

@@ -64,7 +64,7 @@ SELECT src_ip, CAST(session AS BIGINT) AS session, min(us) AS first_us, max(us)
  OVER (PARTITION BY src_ip ORDER BY us) AS session FROM (SELECT src_ip, epoch_us(flow_ts) AS us, lag(epoch_us(flow_ts)) OVER (PARTITION BY src_ip ORDER BY flow_ts, flow_id) AS pu FROM rest) a) b GROUP BY 1, 2"""
 
 
-@query("session_attacks", _BURSTS)
+@query("session_attacks", f"SELECT src_ip, first_us, last_us, flows FROM ({_BURSTS}) x")
 def _(t):
     return sessions.bursts(unmatched(t))
 

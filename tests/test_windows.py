@@ -99,7 +99,18 @@ def test_previous_row(skewed):
 
 def test_sessions_split_only_at_longer_pauses(flows):
     f = flows([(t, "a", 1, 6, 1, 1, 0, 0) for t in (0, 60, 120.000001, 700, 1400)])
-    assert [(r["session"], r["flows"]) for r in sessions.bursts(f).orderBy("session").collect()] == [(1, 2), (2, 1), (3, 1), (4, 1)]
+    assert [r["flows"] for r in sessions.bursts(f).orderBy("first_us").collect()] == [2, 1, 1, 1]
+
+
+def test_sessions_across_many_blocks(spark):
+    r = np.random.default_rng(8)
+    t = np.cumsum(np.where(r.random(3000) < 0.03, r.integers(61_000_000, 900_000_000, 3000), r.integers(0, 60_000_001, 3000)))
+    pdf = pd.DataFrame({"k": "hot", "us": t, "id": range(3000)})
+    want = pdf["us"].diff().gt(60_000_000).cumsum()
+    want = pdf["us"].groupby(want).transform("min")
+    out = sessions.mark_sessions(spark.createDataFrame(pdf), ["k"], "us", "id", 60_000_000, 300_000_000).toPandas().sort_values("id")
+    assert out["session"].tolist() == want.tolist()
+    assert out["prev_us"].tolist()[1:] == pdf["us"].tolist()[:-1]
 
 
 def test_packets_both_directions(spark):
