@@ -27,12 +27,15 @@ def build_session(app: str = "rillwatch", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when that is unset (unit tests, a laptop) a temporary folder takes its place.
+    In local mode, where one machine does everything, a temporary folder takes its place if it is unset; on a cluster
+    that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="rillwatch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
