@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, pii, simhash
+from rillwatch.llm import byte_bpe, pii, simhash, substring
 from rillwatch.llm.tables import read
 
 
@@ -23,5 +23,23 @@ def op6_byte_bpe(spark, sf_dir):
                                  public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op5_personal_data, op6_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op9_remove_repeats(spark, sf_dir):
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op5_personal_data, op6_byte_bpe, op9_remove_repeats)}
+
+#: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
+#: brute force in tests/llm
+ORACLES: dict[str, str] = {
+    "op9_remove_repeats": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+ rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(35)) AS j FROM win JOIN rep USING (k))),
+ word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - COALESCE(n, 0) AS BIGINT) AS n_removed,
+ sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+}

@@ -18,10 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the shared folder and read back: later steps survive lost executors without redoing it."""
-    path = run_dir(df.sparkSession, name)
+    """``df`` written below the shared folder and read back: later steps survive lost executors without redoing it.
+
+    What the written plan shuffled is not needed any more; the engine deletes it once the driver has let go of it.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = run_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

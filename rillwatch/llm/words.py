@@ -9,7 +9,6 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import xxhash
 
 #: odd multipliers of the position-dependent sums below
@@ -34,13 +33,8 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word; equal words of a batch are hashed once."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    column = np.empty(len(words), object)
-    column[:] = words
-    codes, uniques = pd.factorize(column)
-    return np.fromiter(map(xxhash.xxh64_intdigest, uniques), np.uint64, len(uniques))[codes]
+    """64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def run_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -59,15 +53,3 @@ def run_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
             part = mix(part[: len(part) - width] * factor + part[width:])
             width *= 2
     return mix(out[: len(h) - k + 1] + factor)
-
-
-def slide(a: np.ndarray, w: int, pick) -> np.ndarray:
-    """``pick`` (np.minimum or np.maximum) over ``w`` neighbours from each place on."""
-    if len(a) < w:
-        return a[:0]
-    have, out = 1, a
-    while have * 2 <= w:
-        out = pick(out[: len(out) - have], out[have:])
-        have *= 2
-    rest = w - have
-    return out if not rest else pick(out[: len(out) - rest], out[rest:])
