@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, pii, simhash, substring
+from rillwatch.llm import byte_bpe, decontaminate, pii, simhash, substring, token_counts
 from rillwatch.llm.tables import read
 
 
@@ -14,6 +14,10 @@ def op2_simhash_near_duplicates(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op5_personal_data(spark, sf_dir):
     return pii.digests(pii.personal_data(read(spark, sf_dir, "documents")))
 
@@ -27,7 +31,12 @@ def op9_remove_repeats(spark, sf_dir):
     return substring.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op5_personal_data, op6_byte_bpe, op9_remove_repeats)}
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_simhash_near_duplicates, op4_token_counts, op5_personal_data, op6_byte_bpe, op9_remove_repeats, op10_benchmark_decontamination)}
 
 #: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
 #: brute force in tests/llm
