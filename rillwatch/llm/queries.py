@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, decontaminate, pii, simhash, substring, token_counts
+from rillwatch.llm import byte_bpe, decontaminate, pii, quality_rules, simhash, substring, token_counts
 from rillwatch.llm.tables import read
 
 
@@ -14,6 +14,11 @@ def op2_simhash_near_duplicates(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark, sf_dir):
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents"), trusted)
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -36,7 +41,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_duplicates, op4_token_counts, op5_personal_data, op6_byte_bpe, op9_remove_repeats, op10_benchmark_decontamination)}
+    op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data, op6_byte_bpe, op9_remove_repeats, op10_benchmark_decontamination)}
 
 #: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
 #: brute force in tests/llm
