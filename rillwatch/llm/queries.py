@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, decontaminate, pii, quality_model, quality_rules, simhash, substring, token_counts
+from rillwatch.llm import byte_bpe, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substring, token_counts
 from rillwatch.llm.tables import read
 
 
@@ -32,6 +32,11 @@ def op6_byte_bpe(spark, sf_dir):
                                  public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_language_id(spark, sf_dir):
+    docs, path = read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return language_id.identify(docs, path, language_id.learn(docs, path))
+
+
 def op8_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_model.score_documents(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
@@ -46,7 +51,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data, op6_byte_bpe, op8_quality_classifier,
+    op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data, op6_byte_bpe, op7_language_id, op8_quality_classifier,
     op9_remove_repeats, op10_benchmark_decontamination)}
 
 #: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
