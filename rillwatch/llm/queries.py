@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substring, token_counts
+from rillwatch.llm import byte_bpe, chat, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substring, token_counts
 from rillwatch.llm.tables import read
 
 
+def op1_preference_pairs(spark, sf_dir):
+    chosen, rejected = chat.swapped_answers(read(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_preferences(chosen, rejected, "conv_id"), "conv_id")
+
+
 def op2_simhash_near_duplicates(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -51,12 +56,30 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data, op6_byte_bpe, op7_language_id, op8_quality_classifier,
-    op9_remove_repeats, op10_benchmark_decontamination)}
+    op1_preference_pairs, op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data,
+    op6_byte_bpe, op7_language_id, op8_quality_classifier, op9_remove_repeats, op10_benchmark_decontamination)}
 
 #: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
 #: brute force in tests/llm
 ORACLES: dict[str, str] = {
+    "op1_preference_pairs": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ answer AS (SELECT conv_id, max(turn) AS spot, max_by(text, turn) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+ swap AS (SELECT a.conv_id, a.spot, b.text AS other FROM answer a JOIN answer b ON a.conv_id = b.conv_id + 1),
+ pair AS (SELECT t.*, CASE WHEN turn = spot AND role = 'assistant' THEN other ELSE text END AS other FROM t JOIN swap USING (conv_id)),
+ placed AS (SELECT *, row_number() OVER w AS i, min(CASE WHEN text <> other THEN turn END) OVER (PARTITION BY conv_id) AS differ
+  FROM pair WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ line AS (SELECT *, differ IS NULL OR turn < differ AS shared, '<|im_start|>' || role || chr(10) AS head,
+   '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS r FROM placed),
+ spans AS (SELECT *, COALESCE(sum(length(c)) OVER w, 0) + length(head) AS c_at, COALESCE(sum(length(r)) OVER w, 0) + length(head) AS r_at
+  FROM line WINDOW w AS (PARTITION BY conv_id, shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_chosen, CAST(count(*) AS INTEGER) AS n_rejected, CAST(count(*) FILTER (shared) AS INTEGER) AS n_prefix,
+ sha256(COALESCE(string_agg(c, '' ORDER BY i) FILTER (shared), '')) AS prompt_sha256,
+ sha256(COALESCE(string_agg(c, '' ORDER BY i) FILTER (NOT shared), '')) AS chosen_sha256,
+ sha256(COALESCE(string_agg(r, '' ORDER BY i) FILTER (NOT shared), '')) AS rejected_sha256,
+ COALESCE(string_agg(CAST(c_at AS BIGINT) || ':' || CAST(c_at + length(text) + 10 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND role = 'assistant'), '') AS chosen_mask,
+ COALESCE(string_agg(CAST(r_at AS BIGINT) || ':' || CAST(r_at + length(other) + 10 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
+FROM spans GROUP BY conv_id""",
     "op9_remove_repeats": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
