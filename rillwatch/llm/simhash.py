@@ -106,13 +106,15 @@ def near_links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that join all at most MAX_BITS bits apart, directly or by steps."""
     rows, links = fps.select(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "fp"), []
     for level in range(3):
-        variants = _cut(rows, level)
+        # the rows are few and wide open: deal them out before each becomes many
+        variants = _cut(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), level)
         shared = staged(
             variants.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"),
             f"variants{level}")
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
         links.append(shared.filter("n = 2").filter(near).select("a", "b"))
-        members = variants.join(shared.filter("n > 2").select("k1", "k2", "n"), ["k1", "k2"])
+        # the keys grow with the table: never a broadcast, which would also hide the shuffle on small tables
+        members = variants.join(shared.filter("n > 2").select("k1", "k2", "n").hint("merge"), ["k1", "k2"])
         fits = members if level == 2 else members.filter(F.col("n") <= group)
         links.append(_forests(fits.groupBy("k1", "k2").agg(F.collect_list("fp").alias("fps"))))
         if level == 2 or shared.filter(F.col("n") > group).isEmpty():
