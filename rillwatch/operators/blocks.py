@@ -63,34 +63,53 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[st
 
 
 def trailing_sums(df: DataFrame, probes: DataFrame | None, keys: list[str], order: str, probe_id: str,
-                  sums: dict[str, str], sizes: dict[str, int], width: int) -> DataFrame:
-    """For each probe, totals of ``df`` over ``[t - size, t]`` for every named size.
-
-    A total is the running total at ``t`` minus the one just before ``t - size``, so no flow is paired with a
-    probe and no frame is summed again for every row. ``probes`` has ``keys``, ``order`` and ``probe_id``; without
-    it every row of ``df`` is its own probe and ``df`` is read once for both.
+                  sums: dict[str, str], sizes: dict[str, int]) -> DataFrame:
+    """For each probe, totals of ``df`` over ``[t - size, t]`` for every named size (all above 0), in the type that a sum has.
+
+    Blocks are as wide as the smallest size, so a window begins in an earlier block than it ends in. Its total is what
+    its first block holds from the window's begin on, plus whole blocks, plus what its last block holds up to ``t``:
+    nothing is subtracted and nothing outside the window is added, so small values stay right beside huge ones. No
+    flow is paired with a probe. ``probes`` has ``keys``, ``order`` and ``probe_id``; without it every row of ``df`` is
+    its own probe and ``df`` is read once for both.
     """
     asked = df if probes is None else probes
-    id_type = asked.schema[probe_id].dataType
-    # doubled order: a probe "just before x" sits at 2x, rows at x and probes at x sit at 2x + 1
-    at = F.col(order) * 2 + 1
+    id_type, width = asked.schema[probe_id].dataType, min(sizes.values())
+    kinds = {n: df.agg(F.sum(c).alias(n)).schema[n].dataType for n, c in sums.items()}
 
     def mark(end, pos, row_id, amounts):
         return F.struct(F.lit(end).cast("string").alias("_end"), pos.alias("_pos"), row_id.alias(probe_id),
-                        *[a.cast("double").alias(f"_v_{n}") for n, a in amounts.items()])
+                        *[a.cast(kinds[n]).alias(f"_v_{n}") for n, a in amounts.items()])
 
-    none, zero = F.lit(None).cast(id_type), {n: F.lit(0.0) for n in sums}
-    fact = mark(None, at, none, {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in sums.items()})
-    ends = [mark("at", at, F.col(probe_id), zero),
-            *[mark(s, (F.col(order) - us) * 2, F.col(probe_id), zero) for s, us in sizes.items()]]
+    none, zero, at = F.lit(None).cast(id_type), {n: F.lit(0) for n in sums}, F.col(order)
+    fact = mark(None, at, none, {n: F.coalesce(F.col(c), F.lit(0)) for n, c in sums.items()})
+    ends = [mark("at", at, F.col(probe_id), zero), *[mark(s, at - us, F.col(probe_id), zero) for s, us in sizes.items()]]
     if probes is None:
         points = df.select(*keys, F.inline(F.array(fact, *ends)))
     else:
         points = df.withColumn(probe_id, none).select(*keys, F.inline(F.array(fact))).unionByName(
             probes.select(*keys, F.inline(F.array(*ends))))
-    run = running_totals(points, keys, "_pos", {f"_r_{n}": f"_v_{n}" for n in sums}, 2 * width)
-    out = [
-        F.sum(F.when(F.col("_end") == "at", F.col(f"_r_{n}")).when(F.col("_end") == s, -F.col(f"_r_{n}"))).alias(f"{n}_{s}")
-        for n in sums for s in sizes
-    ]
-    return run.filter(F.col("_end").isNotNull()).groupBy(*keys, probe_id).agg(*out)
+    points = points.withColumn(BLOCK, block_of("_pos", width))
+    ids = [*keys, BLOCK]
+    # totals of the whole blocks between a window's ends: as many as fit, or one more if it begins late in a block
+    per_block = points.groupBy(*ids).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], F.max(F.col("_end") == "at").alias("_asked"))
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
+    most = {s: us // width for s, us in sizes.items()}
+
+    def before(n, blocks):
+        if blocks < 1:
+            return F.lit(0).cast(kinds[n])
+        return F.coalesce(F.sum(f"_t_{n}").over(over.rangeBetween(-blocks, -1)), F.lit(0).cast(kinds[n]))
+
+    middle = per_block.select(*ids, "_asked", *[before(n, b).alias(f"_m_{n}_{s}_{k}") for n in sums for s in sizes for k, b in ((0, most[s] - 1), (1, most[s]))])
+    up, down = Window.partitionBy(*ids).orderBy("_pos"), Window.partitionBy(*ids).orderBy(F.desc("_pos"))
+    run = points.withColumns({f"_u_{n}": F.sum(f"_v_{n}").over(up) for n in sums}).withColumns(
+        {f"_d_{n}": F.sum(f"_v_{n}").over(down) for n in sums}).filter(F.col("_end").isNotNull())
+    run = run.join(middle.filter("_asked").drop("_asked"), ids, "left")
+
+    def part(n, s):
+        first_block = F.expr(f"(_pos - {sizes[s]}L - pmod(_pos - {sizes[s]}L, {width}L)) div {width}L")
+        whole = F.when(F.col(BLOCK) - first_block - 1 == most[s], F.col(f"_m_{n}_{s}_1")).otherwise(F.col(f"_m_{n}_{s}_0"))
+        return F.when(F.col("_end") == "at", F.col(f"_u_{n}") + whole).when(F.col("_end") == s, F.col(f"_d_{n}"))
+
+    out = [F.sum(part(n, s)).cast(kinds[n]).alias(f"{n}_{s}") for n in sums for s in sizes]
+    return run.groupBy(*keys, probe_id).agg(*out)

@@ -61,15 +61,17 @@ def class_weight(df: DataFrame, y: str) -> DataFrame:
     return one.withColumn("weight", F.coalesce(F.try_divide(F.col("neg").cast("double"), F.col("pos")), F.lit(1.0)))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, blocks: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, block_rows: int = 100_000) -> DataFrame:
     """Exact area under the ROC curve: for each distinct score, positives times negatives below it, ties half.
 
     Equal scores are counted together first. Running counts over the remaining distinct scores are made in blocks
-    between approximate quantiles, so there is no single sorted partition; the quantiles only balance the work.
+    of about ``block_rows`` between approximate quantiles, so there is no single sorted partition; the quantiles only
+    balance the work.
     """
     per = cut_lineage(df.groupBy(F.col(score).alias("s")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg")))
-    cuts = sorted(set(per.approxQuantile("s", [i / blocks for i in range(1, blocks)], 0.5 / blocks)))
+    blocks = per.count() // block_rows + 1
+    cuts = sorted(set(per.approxQuantile("s", [i / blocks for i in range(1, blocks)], 0.5 / blocks))) if blocks > 1 else []
     inf = float("inf")
     if cuts:
         per = Bucketizer(splits=[-inf, *cuts, inf], inputCol="s", outputCol="part").transform(per)

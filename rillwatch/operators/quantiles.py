@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 512
-COLLECT_AT_MOST = 2000
+#: ranks that one approximate pass tells apart: a column of fewer values needs one narrowing, each further one divides
+#: the values left by about half of this
+ACCURACY = 100_000
 
 
 def _usable(column: str):
@@ -19,60 +20,54 @@ def _usable(column: str):
 def order_statistics(df: DataFrame, ranks: dict[str, list]) -> dict[str, dict]:
     """Values at 0-based ranks of each column, NULL, NaN and infinities left out.
 
-    ``ranks[column]`` holds whole numbers, or functions of the column's count that give lists of them. Each
-    pass counts values in equal-width bins inside the brackets that hold wanted ranks (one aggregation with at
-    most brackets x BINS groups, summed map-side) and narrows the brackets; a bracket with few values left is
-    fetched. The driver only ever sees those counts.
+    ``ranks[column]`` holds whole numbers, or functions of the column's count that give lists of them. The result has
+    under each rank the value, under ``("below", rank)`` how many values are smaller, and the column's ``count``.
+
+    One pass counts. Then approximate quantiles propose two values around each rank and a pass counts what lies below
+    and between them, until the two are one value; the counts decide, so the result is exact. Each pass is one
+    aggregation without groups, and brings two numbers for each rank to the driver, whatever the values are.
     """
     cols = list(ranks)
-    summary = df.select([_usable(c).alias(f"c{i}") for i, c in enumerate(cols)]).agg(
-        *[f(f"c{i}").alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    found: dict[str, dict] = {c: {} for c in cols}
-    open_targets = []  # (column, wanted rank, rank inside bracket, low, high, values in bracket)
+    used = df.select([_usable(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    summary = used.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found: dict[str, dict] = {c: {"count": summary[f"n{i}"]} for i, c in enumerate(cols)}
+    targets = []  # column number, rank, bounds of its value, values below them and within
     for i, c in enumerate(cols):
-        n = summary[f"n{i}"]
-        found[c]["count"] = n
-        wanted = set()
+        n, wanted = summary[f"n{i}"], set()
         for r in ranks[c]:
             wanted.update(r(n) if callable(r) else [r])
-        for r in wanted:
-            if n and 0 <= r < n:
-                open_targets.append((c, r, r, summary[f"lo{i}"], summary[f"hi{i}"], n))
-    while open_targets:
-        still = []
-        for t in open_targets:
-            if t[3] == t[4]:
-                found[t[0]][t[1]] = t[3]
+        targets += [(i, r, summary[f"lo{i}"], summary[f"hi{i}"], 0, n) for r in sorted(wanted) if 0 <= r < n]
+
+    def settled(t):
+        if t[2] == t[3]:
+            found[cols[t[0]]][t[1]] = t[2]
+            found[cols[t[0]]]["below", t[1]] = t[4]
+        return t[2] == t[3]
+
+    targets = [t for t in targets if not settled(t)]
+    while targets:
+        proposals = []
+        for k, (i, r, lo, hi, below, n) in enumerate(targets):
+            slack = 0 if n <= ACCURACY else n // ACCURACY + 1
+            at = [min(max((r - below + d + 0.5) / n, 0.0), 1.0) for d in (-slack, slack)]
+            inside = F.when(F.col(f"c{i}").between(lo, hi), F.col(f"c{i}"))
+            proposals.append(F.percentile_approx(inside, at, ACCURACY).alias(f"q{k}"))
+        found_at = used.agg(*proposals).first()
+        counts = []
+        for k, (i, _, lo, hi, _, _) in enumerate(targets):
+            v, (a, b) = F.col(f"c{i}"), found_at[f"q{k}"]
+            counts += [F.count(F.when(v < a, 1)).alias(f"a{k}"), F.count(F.when(v <= b, 1)).alias(f"b{k}"),
+                       F.max(F.when((v < a) & (v >= lo), v)).alias(f"p{k}"), F.min(F.when((v > b) & (v <= hi), v)).alias(f"s{k}")]
+        counted, still = used.agg(*counts).first(), []
+        for k, (i, r, lo, hi, below, n) in enumerate(targets):
+            (a, b), less, upto = found_at[f"q{k}"], counted[f"a{k}"], counted[f"b{k}"]
+            if r < less:  # the proposal was too high: the values before it are left
+                still.append((i, r, lo, counted[f"p{k}"], below, less - below))
+            elif r >= upto:
+                still.append((i, r, counted[f"s{k}"], hi, upto, below + n - upto))
             else:
-                still.append(t)
-        few = [t for t in still if t[5] <= COLLECT_AT_MOST]
-        many = [t for t in still if t[5] > COLLECT_AT_MOST]
-        brackets = sorted({(t[0], t[3], t[4], t in few) for t in still})
-        if not brackets:
-            break
-        items = []
-        for b, (c, lo, hi, fetch) in enumerate(brackets):
-            v = _usable(c)
-            width = hi - lo
-            spot = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * BINS), F.lit(BINS - 1)).cast("double") if not fetch and math.isfinite(width) and width > 0 else v
-            items.append(F.when(v.between(lo, hi), F.struct(F.lit(b).alias("b"), spot.alias("bin"), v.alias("v"))))
-        counted = (
-            df.select(F.inline(F.filter(F.array(*items), lambda s: s.isNotNull())))
-            .groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        )
-        bins: dict[int, list] = {}
-        for row in counted.collect():
-            bins.setdefault(row["b"], []).append((row["lo"], row["hi"], row["n"]))
-        index = {k: b for b, k in enumerate(brackets)}
-        open_targets = []
-        for t in [*few, *many]:
-            c, wanted, inside, lo, hi, _ = t
-            for b_lo, b_hi, n in sorted(bins[index[(c, lo, hi, t in few)]]):
-                if inside < n:
-                    open_targets.append((c, wanted, inside, b_lo, b_hi, n))
-                    break
-                inside -= n
+                still.append((i, r, a, b, less, upto - less))
+        targets = [t for t in still if not settled(t)]
     return found
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rillwatch.operators.clean import binary_label
 from rillwatch.operators.quantiles import order_statistics
 
-MAX_CLASSES = 1000
+#: classes looked at in one pass
+CLASSES = 100
 
 
 def hash_number(id_col: str) -> Column:
@@ -18,57 +19,55 @@ def hash_number(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 13), 16, 10).cast("double")
 
 
-def _smallest(df: DataFrame, id_col: str, wanted: dict) -> DataFrame:
-    """Per group value, the ``n`` rows with the smallest id hashes. ``wanted`` maps (column, value) to n or a
-    function of the group's size."""
-    hashed = df.withColumn("_h", hash_number(id_col))
-    groups = list(wanted)
-    cols, ranks, sizes = {}, {}, {}
-    for i, (c, v) in enumerate(groups):
-        cols[f"_g{i}"] = F.col("_h") if c is None else F.when(F.col(c) == v, F.col("_h"))
-        n_of = wanted[(c, v)] if callable(wanted[(c, v)]) else (lambda n, k=wanted[(c, v)]: min(k, n))
-
-        def ranks_of(n, i=i, n_of=n_of):
-            sizes[i] = n_of(n)
-            return [sizes[i] - 1] if sizes[i] > 0 else []
-
-        ranks[f"_g{i}"] = [ranks_of]
-    wide = hashed.withColumns(cols)
-    found = order_statistics(wide, ranks)
-    parts = []
-    for i in range(len(groups)):
-        k = sizes.get(i, 0)
-        if k <= 0:
-            continue
-        edge, g = found[f"_g{i}"][k - 1], F.col(f"_g{i}")
-        below = wide.filter(g < edge)
-        # ids whose 52 bits tie at the edge are a handful; the full hash and the id decide among them
-        at_edge = wide.filter(g == edge).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(max(k - below.count(), 0))
-        parts.append(below.unionByName(at_edge))
-    if not parts:
-        return df.limit(0)
-    return reduce(DataFrame.unionByName, parts).select(df.columns)
+def _among_smallest(df: DataFrame, id_col: str, wanted: dict) -> list[Column]:
+    """Per group (column, value), a condition that holds for the ``n`` rows with the smallest id hashes.
+
+    ``wanted`` maps (column, value) to n or a function of the group's size. The table is only aggregated: what comes
+    back is one hash for each group, and the few ids that tie with it in 52 bits.
+    """
+    h, full = hash_number(id_col), F.struct(F.md5(F.col(id_col).cast("string").cast("binary")), F.col(id_col))
+    groups, out = list(wanted), []
+    for at in range(0, len(groups), CLASSES):
+        part, sizes, cols, ranks = groups[at:at + CLASSES], {}, {}, {}
+        for i, (c, v) in enumerate(part):
+            cols[f"_g{i}"] = h if c is None else F.when(F.col(c) == v, h)
+            n_of = wanted[(c, v)] if callable(wanted[(c, v)]) else (lambda n, k=wanted[(c, v)]: min(k, n))
+
+            def ranks_of(n, i=i, n_of=n_of):
+                sizes[i] = n_of(n)
+                return [sizes[i] - 1] if sizes[i] > 0 else []
+
+            ranks[f"_g{i}"] = [ranks_of]
+        found = order_statistics(df.select(*[v.alias(k) for k, v in cols.items()]), ranks)
+        for i, (c, v) in enumerate(part):
+            k = sizes.get(i, 0)
+            if k <= 0:
+                out.append(F.lit(False))
+                continue
+            edge, left = found[f"_g{i}"][k - 1], k - found[f"_g{i}"]["below", k - 1]
+            ties = df.filter(cols[f"_g{i}"] == edge).select(full.alias("t")).orderBy("t").limit(left).agg(F.max("t")).first()[0]
+            own = (h < edge) | ((h == edge) & (full <= F.struct(F.lit(ties[0]), F.lit(ties[1]).cast(df.schema[id_col].dataType))))
+            out.append(own if c is None else (F.col(c) == v) & own)
+    return out
 
 
 def exact_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """``n`` rows chosen by id hash: repeatable and independent of order and partitions."""
-    return _smallest(df, id_col, {(None, None): n})
+    return df.filter(_among_smallest(df, id_col, {(None, None): n})[0])
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, share: float = 0.1) -> DataFrame:
     """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes."""
-    values = [r[0] for r in df.select(label).distinct().take(MAX_CLASSES + 1)]
-    if len(values) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
-    chosen = _smallest(df.select(id_col, label), id_col, {(label, v): (lambda n: int(n * share)) for v in values})
-    return df.join(chosen.select(id_col).withColumn("is_validation", F.lit(True)), id_col, "left").fillna(False, ["is_validation"])
+    values = [r[0] for r in df.select(label).distinct().collect()]
+    chosen = _among_smallest(df, id_col, {(label, v): (lambda n: int(n * share)) for v in values if v is not None})
+    return df.withColumn("is_validation", F.coalesce(reduce(Column.__or__, chosen, F.lit(False)), F.lit(False)))
 
 
 def mix_attacks(train: DataFrame, other: DataFrame, id_col: str, label: str = "y", share: float = 0.03) -> DataFrame:
     """``train`` plus a share of the other set's attacks, at least one."""
     attacks = other.filter(F.col(label) == 1)
-    picked = _smallest(attacks, id_col, {(None, None): (lambda n: min(n, max(1, int(n * share))))})
-    return train.unionByName(picked, allowMissingColumns=True)
+    picked = _among_smallest(attacks, id_col, {(None, None): (lambda n: min(n, max(1, int(n * share))))})[0]
+    return train.unionByName(attacks.filter(picked), allowMissingColumns=True)
 
 
 def attacks_and_benign(df: DataFrame, label: str = "label") -> DataFrame:

@@ -180,7 +180,7 @@ def trailing_counts(flows: DataFrame, sizes=(30, 60, 300), ts: str = "flow_ts")
     """Per flow, flows of its source over the last ``sizes`` seconds, both ends included."""
     facts = flows.withColumn("_us", micros(ts)).withColumn("_one", F.lit(1))
     return trailing_sums(facts, None, ["src_ip"], "_us", "flow_id", {"flows": "_one"},
-                         {str(s): s * SECOND for s in sizes}, 60 * SECOND)
+                         {str(s): s * SECOND for s in sizes})
 
 
 def checkpoint_totals(flows: DataFrame, n: int, seconds: int, ts: str = "flow_ts") -> DataFrame:
@@ -189,4 +189,4 @@ def checkpoint_totals(flows: DataFrame, n: int, seconds: int, ts: str = "flow_ts
     facts = flows.withColumn("_us", micros(ts)).withColumns({"_one": F.lit(1), "_pk": packets})
     marks = cut_lineage(every_nth(flows, n).select(micros(ts).alias("_us"), F.col("rn")))  # 1 / n of the rows
     return trailing_sums(facts, marks, [], "_us", "rn", {"flows": "_one", "packets": "_pk"},
-                         {f"{seconds}s": seconds * SECOND}, 60 * SECOND)
+                         {f"{seconds}s": seconds * SECOND})

@@ -243,9 +243,9 @@ def _(t):
 
 
 @query("trailing_counts", """
-SELECT flow_id, src_ip, CAST(count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW) AS DOUBLE) AS flows_30,
- CAST(count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS DOUBLE) AS flows_60,
- CAST(count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS DOUBLE) AS flows_300
+SELECT flow_id, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW) AS flows_30,
+ count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS flows_60,
+ count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS flows_300
 FROM (SELECT *, epoch_us(flow_ts) AS us FROM kept) x""")
 def _(t):
     return windows.trailing_counts(kept(t))
@@ -259,7 +259,7 @@ def _(t):
 
 @query("checkpoint_range_join", """
 WITH n AS (SELECT epoch_us(flow_ts) AS us, tot_fwd_pkts + tot_bwd_pkts AS p, row_number() OVER (ORDER BY flow_ts, flow_id) AS rn FROM rest)
-SELECT c.rn, CAST(count(*) AS DOUBLE) AS flows_60s, CAST(sum(f.p) AS DOUBLE) AS packets_60s
+SELECT c.rn, count(*) AS flows_60s, CAST(sum(f.p) AS BIGINT) AS packets_60s
 FROM n c JOIN n f ON f.us BETWEEN c.us - 60000000 AND c.us WHERE c.rn % 100 = 0 GROUP BY 1""")
 def _(t):
     return windows.checkpoint_totals(unmatched(t), 100, 60)

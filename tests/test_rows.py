@@ -203,3 +203,30 @@ def test_exact_sample_and_split(spark):
     split = sampling.stratified_split(df, "id", "y").groupBy("y", "is_validation").count().collect()
     assert {(r["y"], r["is_validation"]): r["count"] for r in split} == {(0, False): 4050, (0, True): 450, (1, False): 450, (1, True): 50}
     assert sampling.mix_attacks(df.filter("id < 100"), df.filter("id >= 100 AND id < 120"), "id").count() == 101
+
+
+def test_order_statistics_over_extreme_values(spark):
+    """Ends near the largest double overflow any width; many distinct values, ties and one huge outlier."""
+    from rillwatch.operators import quantiles
+
+    rows = [(float(i % 7000),) for i in range(20000)] + [(1.7e308,), (-1.7e308,), (None,), (float("nan"),), (float("inf"),)]
+    values = sorted(v for v, in rows if v is not None and v == v and abs(v) != float("inf"))
+    df = spark.createDataFrame(rows, "v double")
+    wanted = [0, 1, 5000, 10000, 20000, 20001]
+    old = quantiles.ACCURACY
+    try:
+        for quantiles.ACCURACY in (old, 50):  # many narrowing rounds
+            got = quantiles.order_statistics(df, {"v": wanted})["v"]
+            assert [got[r] for r in wanted] == [values[r] for r in wanted]
+            assert [got["below", r] for r in wanted] == [sum(v < values[r] for v in values) for r in wanted]
+    finally:
+        quantiles.ACCURACY = old
+
+
+def test_split_over_many_classes(spark):
+    from rillwatch.operators import sampling
+
+    df = spark.range(6000).selectExpr("id", "id % 120 as c")
+    out = sampling.stratified_split(df, "id", "c", 0.1)
+    assert out.count() == 6000
+    assert {(r["c"], r["n"]) for r in out.filter("is_validation").groupBy("c").count().withColumnRenamed("count", "n").collect()} == {(c, 5) for c in range(120)}

@@ -161,3 +161,24 @@ def test_histogram_quantile_above_last_bound(spark):
     b = timeseries.histogram(df, ["h"], "v", [1.0, 2.0])
     q = lambda p: timeseries.histogram_quantile(b, ["h"], p).first()["value"]
     assert q(0.25) == 1.0 and q(0.5) == 1.5 and q(0.99) == 2.0
+
+
+def test_trailing_sums_keep_small_values_beside_huge_ones(spark):
+    """Six values of 0.1 within 5 s after one of 1e17 on the same key, and every window against a plain loop."""
+    import random
+
+    from rillwatch.operators import blocks
+
+    rng, rows = random.Random(1), [(0, "a", 0, 1e17, 2**60)] + [(i, "a", 3_000 + i, 0.1, 1) for i in range(1, 7)]
+    rows += [(100 + i, rng.choice("bc"), rng.randrange(40_000), float(rng.randrange(9)), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v double, w long")
+    out = blocks.trailing_sums(df, None, ["k"], "t", "id", {"v": "v", "w": "w"}, {"s": 1_000, "m": 2_500, "l": 7_000})
+    assert dict(out.dtypes)["w_s"] == "bigint" and dict(out.dtypes)["v_s"] == "double"
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, k, t, _, _ in rows:
+        for s, us in (("s", 1_000), ("m", 2_500), ("l", 7_000)):
+            inside = [r for r in rows if r[1] == k and t - us <= r[2] <= t]
+            assert got[i][f"w_{s}"] == sum(r[4] for r in inside)
+            assert abs(got[i][f"v_{s}"] - sum(r[3] for r in inside)) <= 1e-9 * max(1.0, sum(r[3] for r in inside))
+    assert round(got[6]["v_s"], 9) == 0.6
