@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -45,9 +45,10 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
-def weighted(df: DataFrame, y: str) -> DataFrame:
-    """Positives weigh as much in total as negatives."""
-    w = class_weight(df, y).first()["weight"]
+def weighted(df: DataFrame, y: str, validation: str | None = None) -> DataFrame:
+    """Positives weigh as much in total as negatives, counted without the rows that ``validation`` flags."""
+    counted = df if validation is None else df.filter(~F.col(validation))
+    w = class_weight(counted, y).first()["weight"]
     return df.withColumn("weight", F.when(F.col(y) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
 
 
@@ -56,7 +57,7 @@ def train_gbt(df: DataFrame, features: list[str], y: str, validation: str | None
     gbt = GBTClassifier(labelCol=y, weightCol="weight", seed=42, **{**GBT, "maxIter": 100, **params})
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[assembler(features), gbt]).fit(weighted(df, y))
+    return Pipeline(stages=[assembler(features), gbt]).fit(weighted(df, y, validation))
 
 
 def importances(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
@@ -112,9 +113,9 @@ def calibrate(df: DataFrame, features: list[str], y: str, id_col: str, folds: in
     return PipelineModel(stages)
 
 
-def attack_probability(df: DataFrame) -> Column:
-    """Probability of the attack class: mean over calibration folds, or the trees' own."""
-    folds = [c for c in df.columns if c.startswith("p_") and c[2:].isdigit()] or ["probability"]
+def attack_probability(model: PipelineModel) -> Column:
+    """Probability of the attack class: mean over the model's calibration folds, or the trees' own."""
+    folds = [s.getProbabilityCol() for s in model.stages if isinstance(s, LogisticRegressionModel)] or ["probability"]
     return sum((vector_to_array(c)[1] for c in folds), F.lit(0.0)) / F.lit(float(len(folds)))
 
 
@@ -122,7 +123,7 @@ def add_scores(model: PipelineModel, df: DataFrame, features: list[str], name: s
     """``df`` with the model's attack probability; bad feature values count as 0, other columns stay as they are."""
     clean = usable_features(df.withColumn("_row", F.struct(*df.columns)), features)
     out = model.transform(clean)
-    return out.select("_row.*", attack_probability(out).alias(name), F.struct(*features).alias("_features"))
+    return out.select("_row.*", attack_probability(model).alias(name), F.struct(*features).alias("_features"))
 
 
 def score_flows(model: PipelineModel, flows: DataFrame, features: list[str], threshold: float = config.SCORE_THRESHOLD,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rillwatch import config
 from rillwatch.operators.quantiles import exact_quantiles
 from rillwatch.schema import numeric_columns
+from rillwatch.session import cut_lineage
 
 
 def _per_column(df: DataFrame, conditions: dict, name: str) -> DataFrame:
@@ -53,13 +54,10 @@ def label_column(df: DataFrame, names: list[str] | None = None) -> str | None:
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    """Rows and percent per label. The total comes from the few label counts, not from a second scan."""
-    counts = df.groupBy(F.col(label).alias("label_value")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.array_agg(F.struct("label_value", "n")).alias("_all"))  # one entry per label
-    total = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
-    return whole.select(F.inline("_all"), total.alias("_t")).select(
-        "label_value", "n", F.round(F.col("n") * 100.0 / F.col("_t"), 3).alias("percent")
-    )
+    """Rows and percent per label. The total comes from the label counts, not from a second scan."""
+    counts = cut_lineage(df.groupBy(F.col(label).alias("label_value")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.select("label_value", "n", F.round(F.col("n") * 100.0 / F.lit(total), 3).alias("percent"))
 
 
 def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ CHECK_VIEWS.update({
 SELECT count(CASE WHEN y = 1 AND predicted = 1 THEN 1 END) AS tp, count(CASE WHEN y = 0 AND predicted = 1 THEN 1 END) AS fp,
  count(CASE WHEN y = 0 AND predicted = 0 THEN 1 END) AS tn, count(CASE WHEN y = 1 AND predicted = 0 THEN 1 END) AS fn FROM judged""",
 })
-# small trees keep the check runs short; the library defaults are the full settings
+# few, shallow trees: these queries show that fits, scores and files work; they are no measure of a full fit
 QUICK = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
 
 
@@ -33,13 +33,14 @@ def training(t):
     return model.usable_features(df, model.FLOW_FEATURES)
 
 
-@query("feature_vector")
+@query("feature_vector", """
+SELECT flow_id, CAST(unnest(range(20)) AS INTEGER) AS i, round(COALESCE(unnest(CAST([dst_port, protocol, d, tot_fwd_pkts, tot_bwd_pkts, totlen_fwd_pkts, totlen_bwd_pkts, syn_flag_cnt, ack_flag_cnt, tp, tb, tp / d, tb / d, COALESCE(tb / NULLIF(tp, 0), 0), COALESCE(tot_fwd_pkts / NULLIF(tp, 0), 0), greatest(flow_iat_max - flow_iat_min, 0), ln(1 + tp / d), ln(1 + tb / d), ln(1 + tb), ln(1 + tp)] AS DOUBLE[])), 0), 4) AS value
+FROM (SELECT *, CAST(greatest(flow_duration, 0) AS DOUBLE) + 1e-6 AS d, CAST(tot_fwd_pkts + tot_bwd_pkts AS DOUBLE) AS tp, CAST(totlen_fwd_pkts + totlen_bwd_pkts AS DOUBLE) AS tb FROM judged) x""")
 def _(t):
     packed = model.assembler(model.FLOW_FEATURES).transform(training(t))
     from pyspark.ml.functions import vector_to_array
 
-    v = vector_to_array("features")
-    return packed.select("flow_id", F.size(v).alias("n_features"), F.array_join(F.transform(v, lambda x: F.round(x, 4).cast("string")), "|").alias("vector"))
+    return packed.select("flow_id", F.posexplode(vector_to_array("features")).alias("i", "value")).withColumn("value", F.round("value", 4))
 
 
 _MIX = """
@@ -158,7 +159,7 @@ def _(t):
     return model.score_flows(fit, t.view("flows"), model.FLOW_FEATURES, 0.5).withColumn("features", F.to_json("features"))
 
 
-@query("sink_model_artifacts")
+@query("sink_model_artifacts", f"SELECT '{'|'.join(model.FLOW_FEATURES)}' AS features, CAST({len(model.FLOW_FEATURES)} AS BIGINT) AS num_features, 'check run' AS note, CAST(0.98 AS DOUBLE) AS threshold")
 def _(t):
     _df, fit = fitted(t, maxIter=3)
     path = run_dir(t.spark, "artifacts")

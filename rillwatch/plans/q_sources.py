@@ -32,12 +32,14 @@ def _(t):
     return flat(finish(t, files.stream_flow_files(t.spark, f"{where}/flows_*.csv", pattern=None), "csvstream"))
 
 
-@query("src_flow_csv_validate", """
-SELECT 'good' AS folder, count(*) AS data_rows, true AS valid, '' AS missing FROM flows UNION ALL SELECT 'lacking', count(*), false, 'tot_fwd_pkts' FROM flows""")
+@query("src_flow_csv_validate", f"""
+SELECT 'good' AS folder, count(*) AS data_rows, true AS valid, '' AS missing FROM flows UNION ALL SELECT 'lacking', count(*), false, 'tot_fwd_pkts' FROM flows
+UNION ALL SELECT 'nothing', 0, false, '{"|".join(config.REQUIRED_FLOW_COLUMNS)}'""")
 def _(t):
     where = run_dir(t.spark, "landing")
     sinks.write_csv_dataset(flow_columns(t), f"{where}/good")
     sinks.write_csv_dataset(flow_columns(t).drop("tot_fwd_pkts"), f"{where}/lacking")
+    t.spark.createDataFrame([], "value string").coalesce(1).write.text(f"{where}/nothing")  # a file of no bytes
     checked = files.check_files(t.spark, f"{where}/*")
     return checked.groupBy(F.element_at(F.split("file", "/"), -2).alias("folder")).agg(
         F.sum("data_rows").alias("data_rows"), F.every("valid").alias("valid"), F.max(F.array_join("missing", "|")).alias("missing"))
@@ -49,7 +51,20 @@ def _(t):
     noted = t.view("flows").select("flow_id", "src_ip", F.when(F.col("flow_id") % 2 == 0, "café").otherwise("naïve").alias("note"))
     for name, keep, encoding in (("utf8", 0, "UTF-8"), ("latin", 1, "ISO-8859-1")):
         noted.filter(F.col("flow_id") % 2 == keep).write.option("header", True).option("encoding", encoding).csv(f"{where}/{name}")
-    return files.read_csv_by_encoding(t.spark, f"{where}/*", noted.schema)
+    return files.read_csv_by_encoding(t.spark, f"{where}/*", noted.schema).filter("corrupt_record IS NULL").drop("corrupt_record")
+
+
+@query("src_flow_corrupt_rows", "SELECT CAST(flow_id AS VARCHAR) AS flow_id, src_ip, flow_id % 50 = 0 AS dead FROM flows")
+def _(t):
+    """Every fiftieth line has a word where a number belongs: it comes back whole as a dead letter."""
+    where = run_dir(t.spark, "spoiled")
+    spoiled = flow_columns(t).select("flow_id", "src_ip", F.when(F.col("flow_id") % 50 == 0, "many").otherwise(F.col("dst_port").cast("string")).alias("dst_port"))
+    sinks.write_csv_dataset(spoiled, f"{where}/flows")
+    rows = files.read_flow_files(t.spark, f"{where}/flows", flow_columns(t).select("flow_id", "src_ip", "dst_port").schema, pattern=None, corrupt="_line")
+    good, dead = files.dead_letters(rows, "_line")
+    fields = F.split("line", ",")
+    return good.select(F.col("flow_id").cast("string").alias("flow_id"), "src_ip", F.lit(False).alias("dead")).unionByName(
+        dead.select(fields[0].alias("flow_id"), fields[1].alias("src_ip"), F.lit(True).alias("dead")))
 
 
 @query("src_parquet_multi", "SELECT flow_id, protocol, CASE WHEN protocol = 6 THEN syn_flag_cnt END AS syn_flag_cnt FROM flows")
@@ -123,11 +138,14 @@ def _(t):
 @query("sink_ip_state", """
 SELECT ip, count(*) AS alert_count, CAST(sum(flow_count) AS BIGINT) AS flow_count FROM by_ip GROUP BY 1""")
 def _(t):
-    table = sinks.VersionedTable(t.spark, run_dir(t.spark, "ipstate"), "ip")
-    every = t.view("alerts")
-    cut = micros("alert_ts") < 1704067200000000 + 1800 * 1000000
-    table.merge(alerts.fold_ip_state(every.filter(cut)))  # first half hour, then replaced by the whole
-    return table.merge(alerts.fold_ip_state(every)).select("ip", "alert_count", "flow_count")
+    every, where = t.view("alerts"), run_dir(t.spark, "ipstate")
+    early = micros("alert_ts") < 1704067200000000 + 1800 * 1000000
+    alerts.fold_ip_state(every.filter(early)).write.parquet(f"{where}/first")  # the first half hour
+    states = alerts.fold_ip_state(every)
+    later = alerts.fold_ip_state(every.filter(~early)).select("ip")
+    changed = states.join(later, "ip", "left_semi")  # addresses without a later alert keep their record
+    sinks.upsert(t.spark.read.parquet(f"{where}/first"), changed, "ip").write.parquet(f"{where}/second")
+    return t.spark.read.parquet(f"{where}/second").select("ip", "alert_count", "flow_count")
 
 
 @query("src_rules_config", """

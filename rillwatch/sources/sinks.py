@@ -45,37 +45,9 @@ def write_csv_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("timestampFormat", MICROS).csv(path)
 
 
-class VersionedTable:
-    """A keyed table kept as numbered Parquet versions and a pointer to the newest complete one.
-
-    A merge writes a whole new version, then the pointer; readers see the old or the new version, never a mix,
-    and a job that dies half-way leaves the old one in place.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path, key
-
-    def _versions(self) -> list[str]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if not s.getPath().getName().startswith("_"))
-
-    def read(self) -> DataFrame | None:
-        names = self._versions()
-        return self.spark.read.parquet(f"{self.path}/data/{names[-1]}") if names else None
-
-    def merge(self, changes: DataFrame) -> DataFrame:
-        """Rows of ``changes`` replace those with the same key; the others stay."""
-        old = self.read()
-        merged = changes if old is None else old.join(changes.select(self.key).distinct(), self.key, "left_anti").unionByName(
-            changes, allowMissingColumns=True)
-        name = f"{len(self._versions()):08d}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(f"{self.path}/data/{name}")
-        pointer = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/{name}")
-        pointer.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(pointer, False).close()
-        return self.read()
+def upsert(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows of ``changes`` replace those with the same key; the others stay. Write the result to a new folder."""
+    return old.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
 def expire(states: DataFrame, as_of_us: int) -> DataFrame:

@@ -32,7 +32,7 @@ def test_check_files(spark, tmp_path):
     write(tmp_path / "other.csv", "x\n1\n")
     out = {r["file"].split("/")[-1]: (r["valid"], r["data_rows"], r["missing"]) for r in files.check_files(spark, str(tmp_path), pattern="flows_*.csv").collect()}
     assert out == {"flows_ok.csv": (True, 2, []), "flows_quoted.csv": (True, 1, []), "flows_lacking.csv": (False, 1, ["tot_fwd_pkts"]),
-                   "flows_header.csv": (False, 0, [])}
+                   "flows_header.csv": (False, 0, []), "flows_empty.csv": (False, 0, ["src_ip", "dst_ip", "tot_fwd_pkts"])}
 
 
 def test_csv_encodings(spark, tmp_path):
@@ -40,6 +40,7 @@ def test_csv_encodings(spark, tmp_path):
     write(tmp_path / "b.csv", "n,t\n3,café\nbroken,row\n", "latin1")
     out = files.read_csv_by_encoding(spark, str(tmp_path), StructType.fromDDL("n int, t string"))
     assert {(r["n"], r["t"]) for r in out.collect() if r["n"]} == {(1, "café"), (2, "naïve"), (3, "café")}
+    assert [r["corrupt_record"] for r in out.collect() if r["corrupt_record"]] == ["broken,row"]
 
 
 def test_settled_files_only(spark, tmp_path):
@@ -72,11 +73,8 @@ def test_messages_keep_microseconds(spark):
     assert back.select(F.unix_micros("alert_ts")).first()[0] == T0 + 123456
 
 
-def test_versioned_table(spark, tmp_path):
-    table = sinks.VersionedTable(spark, str(tmp_path / "t"), "ip")
-    assert table.read() is None
-    table.merge(spark.createDataFrame([("a", 1), ("b", 1)], "ip string, n int"))
-    out = table.merge(spark.createDataFrame([("b", 2), ("c", 2)], "ip string, n int"))
+def test_upsert(spark):
+    out = sinks.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "ip string, n int"), spark.createDataFrame([("b", 2), ("c", 2)], "ip string, n int"), "ip")
     assert sorted(tuple(r) for r in out.collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
