@@ -3,8 +3,9 @@
 One key may hold most of the data, so a key is cut into time blocks and every (key, block) is folded on its
 own. The first pass assumes each block starts from scratch; then blocks whose predecessor ended in another
 state than assumed are folded again, until nothing changes. The result equals one fold over the whole key:
-each round settles at least the next block of every key, and in practice most states forget their past within
-a block, so one or two rounds do. A task holds one block of one key at a time.
+each round settles at least the next block of every key. Steps that forget within a block (cooldowns far shorter than
+it) need one or two rounds; a state that is carried on and on, like a summary's, needs a round for each block. A task
+holds one block of one key at a time.
 """
 
 from __future__ import annotations

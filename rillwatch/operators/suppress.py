@@ -47,7 +47,7 @@ class Gate:
         s = state or {}
         self.sent = s.get("sent", [])
         self.by_rule = s.get("rules", {})
-        self.ids = set(s.get("ids", []))
+        self.ids = s.get("ids", {})  # sent ids, each with the time up to which it can come again, None: for ever
         self.until = s.get("until")
         self.bypass = critical_bypass
 
@@ -56,11 +56,11 @@ class Gate:
         return {
             "sent": [t for t in self.sent if t > now - config.NOTIFY_WINDOW * SECOND],
             "rules": {r: t for r, t in self.by_rule.items() if now - t < config.NOTIFY_MIN_INTERVAL * SECOND},
-            "ids": sorted(self.ids),
+            "ids": {i: t for i, t in self.ids.items() if t is None or t >= now},
             "until": self.until if self.until is not None and now < self.until else None,
         }
 
-    def decide(self, now: int, rule: str, alert_id: str, severity: str) -> tuple[bool, str]:
+    def decide(self, now: int, rule: str, alert_id: str, severity: str, comes_until: int | None = None) -> tuple[bool, str]:
         if alert_id in self.ids:
             return False, "duplicate"
         critical = severity.upper() == "CRITICAL"
@@ -78,7 +78,7 @@ class Gate:
                 return False, f"min_interval_{rule}"
         self.sent.append(now)
         self.by_rule[rule] = now
-        self.ids.add(alert_id)
+        self.ids[alert_id] = comes_until
         return True, "critical" if critical else "ok"
 
 
@@ -118,13 +118,15 @@ class Summary:
 
 
 def _gate_cells(alerts: DataFrame, tick_us: int, channel: str | None) -> DataFrame:
-    """Alerts alike in channel, clock tick, rule, id and severity become one row with their number."""
+    """Alerts alike in channel, clock tick, rule, id and severity become one row with their number, and the id's last tick."""
     chat = F.col(channel) if channel else F.lit("chat")
     tick = F.floor(micros("alert_ts") / F.lit(tick_us)).cast("long")
-    return alerts.groupBy(
+    cells = alerts.groupBy(
         chat.alias("channel"), tick.alias("tick"), F.coalesce("rule_id", F.lit("unknown")).alias("rule_id"),
         F.coalesce("alert_id", F.lit("unknown")).alias("alert_id"), F.coalesce("severity", F.lit("unknown")).alias("severity"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min(micros("alert_ts")).alias("first_us"))
+    last = cells.groupBy("channel", "alert_id").agg(F.max("tick").alias("last_tick"))
+    return cells.join(last, ["channel", "alert_id"])
 
 
 _GATE_ORDER = ["tick", "first_us", "alert_id", "severity"]
@@ -134,18 +136,24 @@ def gate_step(tick_us: int, critical_bypass: bool, summaries: bool):
     def step(state, rows, next_block):
         saved = json.loads(state) if state else {}
         gate = Gate(saved.get("gate"), critical_bypass)
-        summary = Summary(saved.get("summary"))
+        summary = Summary(saved.get("summary")) if summaries else None
         decided = []
-        for tick, rule, alert_id, severity, n in rows[["tick", "rule_id", "alert_id", "severity", "n"]].itertuples(index=False):
+        # a stream does not know when an id comes last, a table does: the state then holds only ids that come again
+        until = [int(t) * tick_us for t in rows["last_tick"]] if "last_tick" in rows else [None] * len(rows)
+        for (tick, rule, alert_id, severity, n), last in zip(rows[["tick", "rule_id", "alert_id", "severity", "n"]].itertuples(index=False), until):
             now, left = int(tick) * tick_us, int(n)
             while left:
-                send, reason = gate.decide(now, rule, alert_id, severity)
+                send, reason = gate.decide(now, rule, alert_id, severity, last)
                 # the first of a cell may be sent or start a cooldown; the rest all meet the same answer
                 take = 1 if send or reason == "rate_limit" else left
                 decided.append((tick, rule, alert_id, severity, send, reason, take))
-                summary.after(now, severity, 0 if send else take)
+                if summaries:
+                    summary.after(now, severity, 0 if send else take)
                 left -= take
-        out = json.dumps({"gate": gate.dump(next_block * tick_us), "summary": summary.dump()}, sort_keys=True)
+        kept = {"gate": gate.dump(next_block * tick_us)}
+        out = json.dumps(kept | {"summary": summary.dump()}, sort_keys=True) if summaries else None
+        if not summaries and any(kept["gate"].values()):  # a gate that remembers nothing is a fresh one
+            out = json.dumps(kept, sort_keys=True)
         if summaries:
             frame = pd.DataFrame(summary.flushed, columns=["at_us", "alerts", "severities"])
         else:

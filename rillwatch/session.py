@@ -16,6 +16,7 @@ def build_session(app: str = "rillwatch", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # methods above 8000 bytes of bytecode are never compiled by the JVM; give those stages up for plain operators
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }

@@ -234,3 +234,17 @@ def test_dedup_and_summary(spark):
     s = {r["ip"]: (r["alert_count"], [tuple(x) for x in r["severities"]]) for r in alerts.attacker_summary(frame).collect()}
     assert s == {"a": (3, [("high", 1), ("low", 2)]), "b": (1, [("high", 1)])}
     assert {tuple(r) for r in alerts.top_attackers_with_rest(frame, 1).collect()} == {("a", 3, 1)}
+
+
+def test_gate_forgets_between_blocks(spark, monkeypatch):
+    """Ids that never come again and a quiet time between blocks leave no state: the rounds do not grow with the blocks."""
+    from rillwatch.operators import folds
+
+    calls = []
+    real = folds.cut_lineage
+    monkeypatch.setattr(folds, "cut_lineage", lambda df: calls.append(1) or real(df))
+    rows = [(f"id{b}-{k}", "r1", "high", b * 3600 + k) for b in range(12) for k in range(3)]
+    df = spark.createDataFrame(rows, "alert_id string, rule_id string, severity string, s long").withColumn("alert_ts", F.timestamp_seconds("s"))
+    got = suppress.notify_gate(df, block_seconds=3600)
+    assert got.filter("sent").count() >= 12
+    assert len(calls) <= 4
