@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwatch import config
 from rillwatch.operators import scoring, windows
 from rillwatch.operators.windows import SECOND
+from rillwatch.session import cut_lineage
 
 
 def flow_alerts(matched: DataFrame, ts: str = "flow_ts") -> DataFrame:
@@ -196,6 +197,6 @@ def severity_counts(alerts: DataFrame) -> DataFrame:
 
 def top_attackers_with_rest(alerts: DataFrame, top_n: int = 10) -> DataFrame:
     """The addresses with most alerts, each row with how many more there are."""
-    counts = per_attacker(alerts).groupBy("ip").agg(F.count(F.lit(1)).alias("alert_count"))
+    counts = cut_lineage(per_attacker(alerts).groupBy("ip").agg(F.count(F.lit(1)).alias("alert_count")))  # used twice
     more = max(counts.count() - top_n, 0)  # one number
     return counts.orderBy(F.desc("alert_count"), "ip").limit(top_n).withColumn("n_more", F.lit(more).cast("long"))

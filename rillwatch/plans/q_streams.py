@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from rillwatch.operators import rules, scoring, sessions, windows
@@ -92,13 +94,20 @@ WITH RECURSIVE c AS (SELECT rule_id, min(epoch_us(alert_ts)) AS us FROM alerts G
  UNION ALL SELECT c.rule_id, (SELECT min(epoch_us(a.alert_ts)) FROM alerts a WHERE a.rule_id = c.rule_id AND epoch_us(a.alert_ts) >= c.us + 60000000) FROM c WHERE c.us IS NOT NULL)
 SELECT c.rule_id AS key, c.us, min(a.alert_id) AS alert_id FROM c JOIN alerts a ON a.rule_id = c.rule_id AND epoch_us(a.alert_ts) = c.us GROUP BY 1, 2""")
 def _(t):
-    return finish(t, with_state_store(t, stateful.stream_cooldown(t.stream("alerts"), "rule_id", 60)), "cooldown")
+    with rocksdb_state(t):
+        return finish(t, stateful.stream_cooldown(t.stream("alerts"), "rule_id", 60), "cooldown")
 
 
-def with_state_store(t, stream):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream
+@contextmanager
+def rocksdb_state(t):
+    """The state store that stateful processors need, for the streams started inside only."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        t.spark.conf.set(name, before)
 
 
 @query("stream_alert_dedup", "SELECT DISTINCT alert_id FROM alerts")
@@ -144,6 +153,20 @@ def _(t):
     return t.spark.read.parquet(f"{where}/alerts").select("rule_id", micros("alert_ts").alias("us"), "alert_id")
 
 
+_CLOSED = f"""SELECT c.* FROM candidates c, (SELECT ({_MARK.replace("rest", "kept")} // 60000000) * 60000000 AS upto) m
+ WHERE CASE WHEN rule_id LIKE 'PF%' THEN us < upto ELSE us <= upto END"""
+
+
+@query("stream_rule_alerts", f"""
+WITH RECURSIVE closed AS ({_CLOSED}), c AS (SELECT rule_id, min(us) AS us FROM closed GROUP BY 1
+ UNION ALL SELECT c.rule_id, (SELECT min(a.us) FROM closed a WHERE a.rule_id = c.rule_id AND a.us >= c.us + 60000000) FROM c WHERE c.us IS NOT NULL)
+SELECT rule_id, us FROM c WHERE us IS NOT NULL""")
+def _(t):
+    where = run_dir(t.spark, "rule-alerts")
+    jobs.stream_rule_alerts(t.stream("flows"), f"{where}/out", f"{where}/checkpoint", DELAY).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{where}/out/alerts").select("rule_id", micros("alert_ts").alias("us"))
+
+
 @query("stream_model_detector", f"""
 SELECT 'ddos_' || CAST((win + 1) * 30 AS VARCHAR) AS alert_id, severity, suspicious_flows AS flow_count FROM ml_level WHERE severity IS NOT NULL AND (win + 1) * 30000000 <= {_MARK.replace("rest", "flows")}""")
 def _(t):

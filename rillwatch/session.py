@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "rillwatch", **conf: str) -> SparkSession:
-    """A session with the settings every job here relies on; cluster settings win over these."""
-    builder = SparkSession.builder.appName(app)
+    """A session with the settings every job here relies on; ``conf`` and what spark-submit or the cluster set win over these."""
+    builder, given = SparkSession.builder.appName(app), dict(SparkConf().getAll())
     defaults = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -20,7 +21,7 @@ def build_session(app: str = "rillwatch", **conf: str) -> SparkSession:
         # methods above 8000 bytes of bytecode are never compiled by the JVM; give those stages up for plain operators
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
-    for key, value in {**defaults, **conf}.items():
+    for key, value in {**{k: v for k, v in defaults.items() if k not in given}, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

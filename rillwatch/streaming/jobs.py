@@ -21,10 +21,15 @@ def rule_alerts_from_flows(flows: DataFrame, sizes: tuple[int, ...] = (60,), all
     (``all_windows`` tries all rules on all windows).
     """
     hit, rest = rules.split_by_rules(ipfilter.drop_filtered(flows), per_flow)
-    found = alerts.flow_alerts(hit)
     pane = math.gcd(*sizes)
     # read once into (pane, source, port) sums; all windows and their top sources start from there
     panes = cut_lineage(windows.flow_panes(rest, pane))
+    return _with_window_alerts(alerts.flow_alerts(hit), panes, pane, sizes, all_windows, aggregate)
+
+
+def _with_window_alerts(found: DataFrame, panes: DataFrame, pane: int, sizes: tuple[int, ...], all_windows: bool,
+                        aggregate: list[dict] | None) -> DataFrame:
+    """``found`` and the alerts of all window rules over sums of ``pane`` seconds."""
     for seconds in sizes:
         these = windows.widen(panes, seconds // pane)
         fired = rules.window_matches(windows.pane_stats(these), aggregate, None if all_windows else f"{seconds}s")
@@ -38,7 +43,10 @@ def rule_alerts(flows: DataFrame, window_names: list[str] | None = None, **kw) -
     names = config.ENABLED_WINDOWS if window_names is None else window_names
     every = rule_alerts_from_flows(flows, tuple(sorted({config.WINDOW_SECONDS[n] for n in names})), **kw)
     timed = cut_lineage(every.withColumn("us", windows.micros("alert_ts")))  # folded and then looked up again
-    passed = suppress.cooldown(timed, "rule_id", config.RULE_COOLDOWN_SECONDS)
+    return _passed_only(timed, suppress.cooldown(timed, "rule_id", config.RULE_COOLDOWN_SECONDS))
+
+
+def _passed_only(timed: DataFrame, passed: DataFrame) -> DataFrame:
     # alerts alike in rule, time and id (two flows in one microsecond) stand for one
     named = timed.withColumn("_key", F.concat_ws("#", "rule_id", "alert_id", F.col("us").cast("string")))
     one = alerts.first_of_each(named, ["attacker_ips"], "_key").drop("_key")
@@ -57,6 +65,49 @@ def model_alerts_from_flows(flows: DataFrame, fitted: PipelineModel, features: l
 
 # streams -----------------------------------------------------------------------------------------------------
 
+def stream_rule_alerts(flows: DataFrame, path: str, checkpoint: str, delay: str = "2 minutes", window_names: list[str] | None = None,
+                       per_flow: list[dict] | None = None, aggregate: list[dict] | None = None, all_windows: bool = False,
+                       ts: str = "flow_ts"):
+    """The whole rule detector over a stream of raw flows, as ``rule_alerts`` does it; a writer to be started.
+
+    Address filter, per-flow rules, all enabled windows and the cooldown per rule. The source is read once: one
+    aggregation sums unmatched flows per (pane, source, port) and passes on when flows met a per-flow rule, grouped
+    into the longest window, so all that a window needs comes in the micro-batch that closes it. The cooldown starts
+    each micro-batch from the last alert that passed for each rule, kept beside the alerts under the batch number.
+    """
+    names = config.ENABLED_WINDOWS if window_names is None else window_names
+    sizes = tuple(sorted({config.WINDOW_SECONDS[n] for n in names}))
+    pane, longest = math.gcd(*sizes), math.lcm(*sizes)
+    tagged = rules.per_flow_match(ipfilter.drop_filtered(flows), per_flow).withWatermark(ts, delay)
+    hit = F.col("match").isNotNull()
+    keyed = tagged.withColumn("dst_port", F.when(~hit, F.col("dst_port")))
+    facts = windows._facts(keyed, F.window(ts, f"{longest} seconds").alias("window"), windows.window_number(ts, pane).alias("win"),
+                           F.col("match"), F.when(hit, F.col(ts)).alias("seen"))
+    sums = facts.groupBy("window", "win", "match", "seen", "src_ip", "dst_port").agg(
+        F.count(F.lit(1)).alias("flows"), *[F.sum(c).alias(c) for c in windows._SUMS])
+
+    def each(df: DataFrame, batch: int) -> None:
+        spark, closed = df.sparkSession, df.persist()
+        try:
+            found = alerts.flow_alerts(closed.filter("match IS NOT NULL").withColumnRenamed("seen", ts), ts)
+            panes = closed.filter("match IS NULL").select("win", "src_ip", "dst_port", "flows", *windows._SUMS)
+            every = _with_window_alerts(found, panes, pane, sizes, all_windows, aggregate)
+            timed = cut_lineage(every.withColumn("us", windows.micros("alert_ts")))
+            turns = timed.select("rule_id", "us", "alert_id")
+            if batch:
+                last = spark.read.schema("rule_id string, us long").parquet(f"{path}/passed/batch={batch - 1}")
+                turns = turns.unionByName(last.withColumn("alert_id", F.lit("")))  # an id that no alert has, before all of them
+            passed = cut_lineage(suppress.cooldown(
+                turns.withColumn("alert_ts", F.timestamp_micros("us")), "rule_id", config.RULE_COOLDOWN_SECONDS))
+            passed.groupBy("rule_id").agg(F.max("us").alias("us")).write.mode("overwrite").parquet(f"{path}/passed/batch={batch}")
+            _passed_only(timed, passed).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+        finally:
+            closed.unpersist()
+
+    return sums.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+
 def _per_closed_windows(panes: DataFrame, seconds: int, find, path: str, checkpoint: str):
     """Run ``find`` on the rows of windows the watermark has closed and append what it finds below ``path``.
 
@@ -75,10 +126,9 @@ def _per_closed_windows(panes: DataFrame, seconds: int, find, path: str, checkpo
 
 def stream_rule_detector(flows: DataFrame, path: str, checkpoint: str, seconds: int = 60, ts: str = "flow_ts",
                          aggregate: list[dict] | None = None, all_windows: bool = False):
-    """Window rules over a watermarked stream of flows that met no per-flow rule; a writer to be started.
+    """Window rules of one length, without cooldown, over a watermarked stream of flows that met no per-flow rule.
 
-    Per-flow matches leave earlier, through ``sources.sinks.fan_out``. The cooldown runs over the alert table
-    (``streaming.stateful.stream_cooldown``).
+    A writer to be started; ``stream_rule_alerts`` is the whole detector.
     """
     facts = windows._facts(flows, F.window(ts, f"{seconds} seconds").alias("window"))
     panes = facts.groupBy("window", "src_ip", "dst_port").agg(
