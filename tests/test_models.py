@@ -22,7 +22,7 @@ def test_auc_with_ties(scored):
     pos, neg = s[y == 1], s[y == 0]
     want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert evaluate.roc_auc(df, "y", "s").first()["auc"] == pytest.approx(want, abs=1e-12)
-    assert evaluate.roc_auc(df, "y", "s", blocks=7).first()["auc"] == pytest.approx(want, abs=1e-12)
+    assert evaluate.roc_auc(df, "y", "s", block_rows=7).first()["auc"] == pytest.approx(want, abs=1e-12)
 
 
 def test_auc_without_positives(spark):
