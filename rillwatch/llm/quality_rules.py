@@ -90,7 +90,9 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, n_raw over all documents, n_trusted over those whose doc_id is in ``trusted``; one pass over the texts."""
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("good", F.lit(1)), "doc_id", "left")
+    # trusted ids grow with the table: never a broadcast, which would also hide the shuffle of the texts on small tables
+    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("merge")
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
     grams = marked.select("good", F.explode(buckets(word_hashes(F.col("text")))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.count("good").alias("n_trusted"))
 
