@@ -197,10 +197,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = texts_of(docs).withColumn("rid", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     edges = staged(edges_of(rows), "edges")
+    # counts are written before they are joined: a join of two plain shuffles is one that the engine splits at hot keys
     nodes = edges.groupBy("node").agg(F.count("*").alias("n"), (F.min("edge") != F.max("edge")).alias("branches")).filter("n > 1")
-    edges = staged(edges.join(nodes.drop("n"), "node").drop("node"), "repeated-nodes")
+    edges = staged(edges.join(staged(nodes.drop("n"), "nodes"), "node").drop("node"), "repeated-nodes")
     split = edges.filter("branches").drop("branches")
-    speakers = split.groupBy("edge").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("speaker"))
+    speakers = staged(split.groupBy("edge").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("speaker")), "speakers")
     state = F.when(F.col("n") == 1, OPEN).when(F.col("speaker") == F.struct("rid", "at"), SPEAKS).otherwise(KNOWN)
     states = split.join(speakers, "edge").select("rid", "at", state.alias("state")).unionByName(
         edges.filter("not branches").select("rid", "at", F.lit(KNOWN).alias("state")))
@@ -216,7 +217,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                               "h1 array<long>, h2 array<long>", rows=SLICE), "judged")
     windows = judged.select("rid", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select(
         "rid", "w.starts", "w.h1", "w.h2")
-    again = windows.join(repeated(windows, "h1", "h2"), ["h1", "h2"]).groupBy("rid").agg(F.collect_list("starts").alias("again"))
+    again = windows.join(staged(repeated(windows, "h1", "h2"), "repeated-windows"), ["h1", "h2"]).groupBy("rid").agg(F.collect_list("starts").alias("again"))
     rest = per_batch(judged.filter("z is not null").select("rid", "doc_id", "z", "paths").join(again, "rid", "left"), _settle,
                      f"doc_id {kind}, {_RESULT}", rows=SLICE)
     return judged.filter("z is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(rest)
