@@ -24,8 +24,9 @@ def order_statistics(df: DataFrame, ranks: dict[str, list]) -> dict[str, dict]:
     under each rank the value, under ``("below", rank)`` how many values are smaller, and the column's ``count``.
 
     One pass counts. Then approximate quantiles propose two values around each rank and a pass counts what lies below
-    and between them, until the two are one value; the counts decide, so the result is exact. Each pass is one
-    aggregation without groups, and brings two numbers for each rank to the driver, whatever the values are.
+    and between them and how often the two occur; the counts decide, so the result is exact. A rank that neither of
+    the two has lies strictly between, below or above them, so every round drops a value at least. Each pass is one
+    aggregation without groups, and brings a few numbers for each rank to the driver, whatever the values are.
     """
     cols = list(ranks)
     used = df.select([_usable(c).alias(f"c{i}") for i, c in enumerate(cols)])
@@ -57,16 +58,22 @@ def order_statistics(df: DataFrame, ranks: dict[str, list]) -> dict[str, dict]:
         for k, (i, _, lo, hi, _, _) in enumerate(targets):
             v, (a, b) = F.col(f"c{i}"), found_at[f"q{k}"]
             counts += [F.count(F.when(v < a, 1)).alias(f"a{k}"), F.count(F.when(v <= b, 1)).alias(f"b{k}"),
+                       F.count(F.when(v <= a, 1)).alias(f"ea{k}"), F.count(F.when(v < b, 1)).alias(f"eb{k}"),
+                       F.min(F.when((v > a) & (v < b), v)).alias(f"l{k}"), F.max(F.when((v > a) & (v < b), v)).alias(f"h{k}"),
                        F.max(F.when((v < a) & (v >= lo), v)).alias(f"p{k}"), F.min(F.when((v > b) & (v <= hi), v)).alias(f"s{k}")]
         counted, still = used.agg(*counts).first(), []
         for k, (i, r, lo, hi, below, n) in enumerate(targets):
-            (a, b), less, upto = found_at[f"q{k}"], counted[f"a{k}"], counted[f"b{k}"]
+            (a, b), less, upto, to_a, to_b = found_at[f"q{k}"], *(counted[f"{x}{k}"] for x in ("a", "b", "ea", "eb"))
             if r < less:  # the proposal was too high: the values before it are left
                 still.append((i, r, lo, counted[f"p{k}"], below, less - below))
             elif r >= upto:
                 still.append((i, r, counted[f"s{k}"], hi, upto, below + n - upto))
+            elif r < to_a:
+                still.append((i, r, a, a, less, to_a - less))
+            elif r >= to_b:
+                still.append((i, r, b, b, to_b, upto - to_b))
             else:
-                still.append((i, r, a, b, less, upto - less))
+                still.append((i, r, counted[f"l{k}"], counted[f"h{k}"], to_a, to_b - to_a))
         targets = [t for t in still if not settled(t)]
     return found
 

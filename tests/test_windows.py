@@ -135,6 +135,27 @@ def test_exact_quantiles(spark, kind):
     assert got["y"] == pytest.approx(list(np.quantile(2 * data[np.isfinite(data)], probs)), rel=1e-12)
 
 
+@pytest.mark.parametrize("accuracy, rows, values", [(20, 1000, 2), (20, 1000, 4), (20, 999, 2), (None, 200_002, 2)])
+def test_ranks_at_the_border_of_frequent_values_settle(spark, monkeypatch, accuracy, rows, values):
+    """Proposals are the two values beside the rank, which narrows nothing: the loop has to end all the same."""
+    from rillwatch.operators import quantiles
+
+    rounds, proposed = [], F.percentile_approx
+
+    def counted(*a):
+        rounds.append(a)
+        assert len(rounds) < 20, "no end"
+        return proposed(*a)
+
+    monkeypatch.setattr(quantiles.F, "percentile_approx", counted)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy or quantiles.ACCURACY)
+    data = sorted(i % values for i in range(rows))
+    border = [rows * k // values + d for k in range(1, values) for d in (-1, 0)]
+    got = quantiles.order_statistics(spark.range(rows).selectExpr(f"double(id % {values}) as v"), {"v": border})["v"]
+    assert [got[r] for r in border] == [data[r] for r in border]
+    assert [got["below", r] for r in border] == [data.index(data[r]) for r in border]
+
+
 def test_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]) == {"x": [None]}
 
