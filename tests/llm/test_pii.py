@@ -44,6 +44,25 @@ def test_context_decides_on_weak_kinds():
     assert kinds("to DE89 3704 0044 0532 0130 00 today") == ["iban"] and kinds("to DE88 3704 0044 0532 0130 00 today") == []
 
 
+def test_iban_ends_where_its_country_says():
+    found = lambda t: [t[b:e] for k, b, e, _ in pii.find_spans(t) if k == "iban"]
+    de, grouped, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for one in (de, grouped, gb, "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+        for after in ("", " BIC COBADEFFXXX", " BIC", " EUR 500", " I sent", " Invoice", " 500 EUR", " AB12 CD34", ". Thanks", " today"):
+            assert found(f"IBAN {one}{after}") == [one], one + after
+    assert found(f"{de} {gb} {grouped}") == [de, gb, grouped]
+    assert found(f"REF AB12 {gb} EUR") == [gb]
+    assert found(de + "4") == found(de + "x") == found(de[:-1]) == found(grouped + "00 BIC") == []
+    own = "ZZ" + next(f"{c:02}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02}123456789012")) + "123456789012"
+    assert found(own + " PAID IN FULL") == [own]  # a country without a length
+    assert pii.redact(f"to {de} BIC COBADEFFXXX") == "to <iban> BIC COBADEFFXXX"
+
+
+def test_iban_starts_stay_linear():
+    for t in ("DE89 " * 60_000, "ZZ12 " * 20_000, "AB12" * 75_000, "DE89" + " 1" * 150_000):
+        pii.find_spans(t)
+
+
 def test_added_spans_never_touch_base_spans():
     t = "call +1 (212) 555-0199 now"
     assert [s[0] for s in pii.find_spans(t)] == ["phone"]
