@@ -5,7 +5,9 @@ all ways to cut it into pieces, which a forward algorithm gives; a text's is the
 probabilities are learned by expectation maximisation: a pass over the learning texts adds up how often each piece is
 expected in each language under the current ones, backward and forward, and only those sums leave a task.
 
-All distinct words of a batch that have the same length are worked on at once.
+All distinct words of a batch that have the same length are worked on at once. Words of more than ``MAX_WORD`` letters,
+as in scripts without spaces, are worked through letter by letter with logarithms, since their probabilities may be
+smaller than any double.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ from pyspark.sql import functions as F
 
 from rillwatch.llm.tables import held_out, once, per_batch
 
-MAX_PIECE = 6
-#: longer runs of letters are cut into stretches of so many
+#: letters of a word whose probability a double holds
 MAX_WORD = 32
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
 _FILTER_BITS = 22
@@ -41,20 +42,22 @@ class Pieces:
                     piece = base64.b64decode(line.split()[0]).decode().strip(" ").lower()
                 except UnicodeDecodeError:
                     continue
-                if 0 < len(piece) <= MAX_PIECE and piece.isalpha():
+                if piece.isalpha():
                     found.add(piece)
         self.names = sorted(found)
-        self.size = len(self.names)
-        codes = np.zeros(self.size, np.uint64)
+        self.size, self.longest = len(self.names), max(map(len, self.names), default=0)
+        codes, begun = np.zeros(self.size, np.uint64), []
         for i, name in enumerate(self.names):
             h = self.begin(1)
             for c in name:
+                begun.append(h[0])
                 h = self.add(h, np.array([ord(c)], np.uint64))
             codes[i] = h[0]
         order = np.argsort(codes)
         self.codes, self.ids = codes[order], order
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self._slot(codes)] = True
+        self.filter = np.zeros(1 << _FILTER_BITS, np.uint8)  # 1: a piece, 2: the beginning of a longer one
+        self.filter[self._slot(codes)] = 1
+        self.filter[self._slot(np.array(begun, np.uint64))] |= 2
 
     @staticmethod
     def begin(n: int) -> np.ndarray:
@@ -69,12 +72,13 @@ class Pieces:
     def _slot(h):
         return ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows whose hash is a piece, and the piece."""
-        rows = np.flatnonzero(self.filter[self._slot(h)])
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows whose hash is a piece, the piece, and the rows that may begin a longer one."""
+        marks = self.filter[self._slot(h)]
+        rows = np.flatnonzero(marks & 1)
         at = np.minimum(np.searchsorted(self.codes, h[rows]), self.size - 1)
         hit = self.codes[at] == h[rows]
-        return rows[hit], self.ids[at[hit]]
+        return rows[hit], self.ids[at[hit]], np.flatnonzero(marks & 2)
 
 
 def pieces(path: str) -> Pieces:
@@ -89,21 +93,27 @@ def letters(words: list[str]) -> list[np.ndarray]:
     return {n: np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64) for n, ws in by_length.items()}
 
 
+def arcs_at(vocabulary: Pieces, chars: np.ndarray, i: int):
+    """(from, to, rows, piece) for every piece that begins at letter ``i``."""
+    n, length = chars.shape
+    every, h = np.arange(n), vocabulary.begin(n)
+    for k in range(1, min(max(1, vocabulary.longest), length - i) + 1):
+        h = vocabulary.add(h, chars[every, i + k - 1])
+        hit, ids, on = vocabulary.lookup(h)
+        if k == 1 and len(hit) < n:
+            known = np.full(n, vocabulary.size)
+            known[hit] = ids
+            yield i, i + 1, every, known
+        elif len(hit):
+            yield i, i + k, every[hit], ids
+        if not len(on):
+            return
+        every, h = every[on], h[on]
+
+
 def arcs(vocabulary: Pieces, chars: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, rows, piece) for every piece in words of one length; a letter that is no piece gets the piece ``size``."""
-    n, length = chars.shape
-    out = []
-    for i in range(length):
-        h = vocabulary.begin(n)
-        for k in range(1, min(MAX_PIECE, length - i) + 1):
-            h = vocabulary.add(h, chars[:, i + k - 1])
-            rows, ids = vocabulary.lookup(h)
-            if k == 1 and len(rows) < n:
-                every = np.full(n, vocabulary.size)
-                every[rows] = ids
-                rows, ids = np.arange(n), every
-            out.append((i, i + k, rows, ids))
-    return out
+    return [a for i in range(chars.shape[1]) for a in arcs_at(vocabulary, chars, i)]
 
 
 def forward(steps, n: int, length: int, prob: np.ndarray) -> np.ndarray:
@@ -115,6 +125,14 @@ def forward(steps, n: int, length: int, prob: np.ndarray) -> np.ndarray:
     return a
 
 
+def _add(total: np.ndarray, ids: np.ndarray, share: np.ndarray, weight: np.ndarray) -> None:
+    if len(ids) < 200:  # few rows are not worth a column of all pieces
+        np.add.at(total, ids, share * weight)
+        return
+    for g in range(weight.shape[1]):
+        total[:, g] += np.bincount(ids, share[:, g if share.shape[1] > 1 else 0] * weight[:, g], len(total))
+
+
 def expected(steps, n: int, length: int, prob: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
     """Adds to ``total`` (piece, language) how often each piece is expected in words that occur ``weight`` (word, language) times."""
     a, b = forward(steps, n, length, prob), np.zeros((length + 1, n, prob.shape[1]))
@@ -123,12 +141,51 @@ def expected(steps, n: int, length: int, prob: np.ndarray, weight: np.ndarray, t
         b[i, rows] += b[j, rows] * prob[ids]
     for i, j, rows, ids in steps:
         share = a[i, rows] * prob[ids] * b[j, rows] / a[length, rows]
-        for g in range(weight.shape[1]):
-            total[:, g] += np.bincount(ids, share[:, g if share.shape[1] > 1 else 0] * weight[rows, g], len(total))
+        _add(total, ids, share, weight[rows])
 
 
-def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words (lower case letters, at most MAX_WORD), the word of each occurrence, and the words of each text."""
+def log_forward(vocabulary: Pieces, chars: np.ndarray, prob: np.ndarray, keep: bool = False) -> np.ndarray:
+    """Logarithm of ``forward``'s last column, or with ``keep`` of all; held are as many columns as a piece has letters."""
+    n, length = chars.shape
+    width = vocabulary.longest + 1
+    window, log = np.zeros((width, n, prob.shape[1])), np.zeros((n, prob.shape[1]))
+    window[0] = 1
+    kept = [log] if keep else None
+    for i in range(length):
+        here = window[i % width]
+        for _, j, rows, ids in arcs_at(vocabulary, chars, i):
+            window[j % width, rows] += here[rows] * prob[ids]
+        here[:] = 0
+        scale = window[(i + 1) % width].copy()
+        log = log + np.log(scale)
+        window /= scale
+        if keep:
+            kept.append(log)
+    return np.stack(kept) if keep else log
+
+
+def expected_long(vocabulary: Pieces, chars: np.ndarray, prob: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+    """``expected`` for words of any length: the same sums, with the backward columns held as ``log_forward`` holds its own."""
+    n, length = chars.shape
+    width = vocabulary.longest + 1
+    a = log_forward(vocabulary, chars, prob, keep=True)
+    window, log = np.zeros((width, n, prob.shape[1])), np.zeros((n, prob.shape[1]))
+    window[length % width] = 1
+    for i in reversed(range(length)):
+        window[i % width] = 0
+        near = np.exp(a[i] + log - a[length])
+        for _, j, rows, ids in arcs_at(vocabulary, chars, i):
+            part = prob[ids] * window[j % width, rows]
+            window[i % width, rows] += part
+            share = part * near[rows]
+            _add(total, ids, share, weight[rows])
+        scale = window[i % width].copy()
+        log = log + np.log(scale)
+        window /= scale
+
+
+def words_of(texts: list[str | None], longest: int | None = MAX_WORD) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (lower case letters, cut after ``longest`` if given), the word of each occurrence, and the words of each text."""
     found = [_WORD.findall(t.lower()) if t else [] for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     column = np.empty(int(counts.sum()), object)
@@ -137,7 +194,8 @@ def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray
     cut, first = [], np.zeros(len(uniques) + 1, np.int64)
     for i, w in enumerate(uniques):
         w = w if w.isalpha() else "".join(filter(str.isalpha, w))
-        parts = [w] if 0 < len(w) <= MAX_WORD else [w[k:k + MAX_WORD] for k in range(0, len(w), MAX_WORD)]
+        size = longest or max(1, len(w))
+        parts = [w] if 0 < len(w) <= size else [w[k:k + size] for k in range(0, len(w), size)]
         cut += parts
         first[i + 1] = len(cut)
     if len(cut) != len(uniques) or any(map(str.__ne__, cut, uniques)):  # a word of several parts, or of none
@@ -169,10 +227,13 @@ def expected_counts(docs: DataFrame, path: str, langs: list[str], prob: np.ndarr
         number = {g: i for i, g in enumerate(langs)}
         for batch in batches:
             lang = np.array([number[g] for g in batch["lang"].to_pylist()], np.int64)
-            words, codes, counts = words_of(batch["text"].to_pylist())
+            words, codes, counts = words_of(batch["text"].to_pylist(), None)
             weight = np.bincount(codes * len(langs) + np.repeat(lang, counts), minlength=len(words) * len(langs)).reshape(-1, len(langs))
             for at, chars in _by_length(words):
-                expected(arcs(book, chars), *chars.shape, now, weight[at].astype(float), total)
+                if chars.shape[1] > MAX_WORD:
+                    expected_long(book, chars, now, weight[at].astype(float), total)
+                else:
+                    expected(arcs(book, chars), *chars.shape, now, weight[at].astype(float), total)
         piece, g = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(g.astype(np.int32)), "piece": pa.array(piece.astype(np.int32)), "n": pa.array(total[piece, g])})
 
@@ -208,13 +269,13 @@ def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.
     rows = docs.select("doc_id", "text")
 
     def step(batch):
-        words, codes, counts = words_of(batch["text"].to_pylist())
+        words, codes, counts = words_of(batch["text"].to_pylist(), None)
         logs = np.zeros((len(words), max(1, len(langs))))
         if langs:
             book = pieces(path)
             for at, chars in _by_length(words):
                 n, length = chars.shape
-                logs[at] = np.log(forward(arcs(book, chars), n, length, prob)[length])
+                logs[at] = log_forward(book, chars, prob) if length > MAX_WORD else np.log(forward(arcs(book, chars), n, length, prob)[length])
         ends = np.cumsum(counts)
         sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs[codes], axis=0)])
         total = sums[ends] - sums[ends - counts] + (prior if langs else 0)

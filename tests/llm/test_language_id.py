@@ -73,6 +73,50 @@ def test_expected_counts_are_posteriors():
         assert np.allclose(total, want, rtol=1e-9)
 
 
+def test_pieces_of_every_length():
+    found = set()
+    for line in open(PATH, "rb"):
+        try:
+            piece = L.base64.b64decode(line.split()[0]).decode().strip(" ").lower()
+        except UnicodeDecodeError:
+            continue
+        found |= {piece} if piece.isalpha() else set()
+    book = L.pieces(PATH)
+    assert book.names == sorted(found) and book.longest == max(map(len, found)) > 6
+    prob, number = random_model(book), {n: i for i, n in enumerate(book.names)}
+    for w in sorted(found, key=lambda x: (-len(x), x))[:5]:
+        steps = L.arcs(book, np.array([[ord(c) for c in w]], np.uint64))
+        assert any((i, j) == (0, len(w)) and number[w] in ids for i, j, _, ids in steps)
+        assert {(i, j) for i, j, _, _ in steps if j - i > 1} == {(i, j) for i in range(len(w)) for j in range(i + 2, len(w) + 1) if w[i:j] in number}
+        if len(w) < 15:
+            assert np.allclose(L.forward(steps, 1, len(w), prob)[len(w)][0], plain(w, book, prob), rtol=1e-12)
+
+
+def test_long_runs_are_summed_whole():
+    book = L.pieces(PATH)
+    prob, number = random_model(book), {n: i for i, n in enumerate(book.names)}
+    for words in (["internationalisierung", "zqjxkverantwortlichke"], ["nationalversammlung" * 3]):
+        chars = np.array([[ord(c) for c in w] for w in words], np.uint64)
+        n, length = chars.shape
+        steps = L.arcs(book, chars)
+        a = L.forward(steps, n, length, prob)
+        assert np.allclose(L.log_forward(book, chars, prob), np.log(a[length]), rtol=1e-12)
+        assert np.allclose(L.log_forward(book, chars, prob, keep=True)[0:length + 1:7], np.log(a[::7]), rtol=1e-9)
+        weight = np.arange(1.0, 1 + 3 * n).reshape(n, 3)
+        want, got = np.zeros((book.size + 1, 3)), np.zeros((book.size + 1, 3))
+        L.expected(steps, n, length, prob, weight, want)
+        L.expected_long(book, chars, prob, weight, got)
+        assert np.allclose(got, want, rtol=1e-9)
+    w = "漢字the" * 500  # smaller than any double: held against sums of logarithms, letter by letter
+    logs = [np.zeros(3)]
+    for j in range(1, len(w) + 1):
+        parts = [logs[i] + np.log(prob[number.get(w[i:j], book.size)]) for i in range(max(0, j - book.longest), j) if w[i:j] in number or j == i + 1]
+        logs.append(np.logaddexp.reduce(parts, axis=0))
+    got = L.log_forward(book, np.array([[ord(c) for c in w]], np.uint64), prob)[0]
+    assert np.allclose(got, logs[-1], rtol=1e-10) and (got < -750).all()
+    assert L.words_of(["ab " + "x" * 70], None)[0] == ["ab", "x" * 70]
+
+
 def test_long_words_are_cut_and_odd_ones_cleaned():
     words, codes, counts = L.words_of(["ab " + "x" * 70 + " ab", None, "", "12 _ ½", "y²z"])
     assert [[words[c] for c in part] for part in np.split(codes, np.cumsum(counts)[:-1])] == [
