@@ -10,7 +10,8 @@ from rillwatch.llm.tables import read
 
 
 def op1_preference_pairs(spark, sf_dir):
-    chosen, rejected = chat.swapped_answers(read(spark, sf_dir, "conversations"))
+    turns = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))  # an answer may be NULL
+    chosen, rejected = chat.swapped_answers(turns)
     return chat.digests(chat.format_preferences(chosen, rejected, "conv_id"), "conv_id")
 
 

@@ -69,3 +69,18 @@ def test_swapped_answers(spark):
     chosen, rejected = chat.swapped_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert sorted(map(tuple, chosen.collect())) == [(2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (2, 2, "user", "bye")]
     assert sorted(map(tuple, rejected.collect())) == [(2, 0, "user", "q2"), (2, 1, "assistant", "a1"), (2, 2, "user", "bye")]
+
+
+def test_query_takes_a_null_answer_as_empty_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    from rillwatch.llm import queries
+
+    rows = [(4, 0, "user", "q4"), (4, 1, "assistant", "a4"), (5, 0, "user", "q5"), (5, 1, "assistant", None), (6, 0, "user", None), (6, 1, "assistant", "a6"),
+            (8, 0, "assistant", "a8")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, queries.op1_preference_pairs(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert [r[0] for r in got] == [5, 6]
+    assert got == sorted(db.sql(queries.ORACLES["op1_preference_pairs"]).fetchall())
