@@ -18,7 +18,7 @@ CHECK_VIEWS.update({
 SELECT count(CASE WHEN y = 1 AND predicted = 1 THEN 1 END) AS tp, count(CASE WHEN y = 0 AND predicted = 1 THEN 1 END) AS fp,
  count(CASE WHEN y = 0 AND predicted = 0 THEN 1 END) AS tn, count(CASE WHEN y = 1 AND predicted = 0 THEN 1 END) AS fn FROM judged""",
 })
-# few, shallow trees: these queries show that fits, scores and files work; they are no measure of a full fit
+# few, shallow trees, for calibration alone, which has no early stopping; that is no measure of a full fit
 QUICK = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
 
 
@@ -110,7 +110,7 @@ def _(t):
 
 def fitted(t, features=None, **extra):
     df = cut_lineage(sampling.stratified_split(training(t), "flow_id", "y"))  # read once per boosting round and more
-    return df, model.train_gbt(df, features or model.FLOW_FEATURES, "y", validation="is_validation", **{**QUICK, **extra})
+    return df, model.train_gbt(df, features or model.FLOW_FEATURES, "y", validation="is_validation", **extra)
 
 
 @query("train_gbt")
@@ -130,8 +130,8 @@ def _(t):
 @query("feature_select_retrain")
 def _(t):
     df, fit = fitted(t)
-    best = model.top_features(fit, model.FLOW_FEATURES, 8)
-    again = model.train_gbt(df, best, "y", validation="is_validation", **QUICK)
+    best = model.top_features(fit, model.FLOW_FEATURES)
+    again = model.train_gbt(df, best, "y", validation="is_validation")
     return evaluate.roc_auc(model.add_scores(again, df, best).filter("is_validation"), "y", "score").withColumn("features", F.lit("|".join(best)))
 
 
@@ -161,7 +161,7 @@ def _(t):
 
 @query("sink_model_artifacts", f"SELECT '{'|'.join(model.FLOW_FEATURES)}' AS features, CAST({len(model.FLOW_FEATURES)} AS BIGINT) AS num_features, 'check run' AS note, CAST(0.98 AS DOUBLE) AS threshold")
 def _(t):
-    _df, fit = fitted(t, maxIter=3)
+    _df, fit = fitted(t)
     path = run_dir(t.spark, "artifacts")
     model.save_artifacts(fit, model.FLOW_FEATURES, 0.98, path, t.spark, "check run")
     return t.spark.read.json(f"{path}/meta").withColumn("features", F.array_join("features", "|"))
@@ -169,7 +169,7 @@ def _(t):
 
 @query("src_model_artifacts")
 def _(t):
-    _df, fit = fitted(t, maxIter=3)
+    _df, fit = fitted(t)
     path = run_dir(t.spark, "artifacts")
     model.save_artifacts(fit, model.FLOW_FEATURES, 0.5, path, t.spark)
     loaded, features, threshold = model.load_artifacts(t.spark, path)

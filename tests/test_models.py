@@ -113,3 +113,13 @@ def test_lists_around_the_model(spark, learnable):
     ip = lambda x: spark.createDataFrame([(x,)], "ip string")
     out = {r["src_ip"]: (r["prediction"], r["confidence"], r["features"]) for r in model.score_flows(fit, flows, ["tot_fwd_pkts"], whitelist=ip("w"), blacklist=ip("b")).collect()}
     assert set(out) == {"b", "n"} and out["b"][:2] == ("DDoS", 1.0) and out["n"][0] == "BENIGN" and out["n"][2] == {"tot_fwd_pkts": 0.0}
+
+
+def test_queries_fit_with_the_library_defaults(spark):
+    from rillwatch.fixtures import Inputs
+    from rillwatch.plans import q_models
+
+    _df, fit = q_models.fitted(Inputs(spark, "/root/testdata/sf0.001"))
+    trees = fit.stages[-1]
+    assert (trees.getMaxDepth(), trees.getStepSize(), trees.getMaxIter()) == (8, 0.03, 100)
+    assert trees.getValidationIndicatorCol() == "is_validation"
