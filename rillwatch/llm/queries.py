@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwatch.llm import byte_bpe, chat, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substring, token_counts
+from rillwatch.llm import byte_bpe, chat, decontaminate, hard_negatives, language_id, licenses, pii, quality_model, quality_rules, simhash, substring, token_counts, whitening
 from rillwatch.llm.tables import read
 
 
@@ -56,9 +56,25 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
+
+
+def op12_license_scan(spark, sf_dir):
+    return licenses.digests(licenses.license_spans(read(spark, sf_dir, "documents")))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    """``deviation`` is NULL where it does not fit a long."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_preference_pairs, op2_simhash_near_duplicates, op3_quality_rules, op4_token_counts, op5_personal_data,
-    op6_byte_bpe, op7_language_id, op8_quality_classifier, op9_remove_repeats, op10_benchmark_decontamination)}
+    op6_byte_bpe, op7_language_id, op8_quality_classifier, op9_remove_repeats, op10_benchmark_decontamination,
+    op11_hard_negatives, op12_license_scan, op13_embedding_whitening)}
 
 #: 64-bit hashes, byte-level tokens, span positions and fitted models are beyond SQL; those queries are held against
 #: brute force in tests/llm
@@ -91,4 +107,17 @@ WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - COALESCE(n, 0) AS BIGINT) AS n_removed,
  sha256(COALESCE(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ pair AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+   CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ positive AS (SELECT * FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id,
+ CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+ n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3""",
 }
