@@ -102,16 +102,16 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
 
 
-def edges_of(texts: DataFrame) -> DataFrame:
-    """One row for each anchor: row, place in the document, hash of the anchor and of its edge."""
+def edges_of(packed: DataFrame) -> DataFrame:
+    """One row for each anchor of each packed text: row, place in the document, hash of the anchor and of its edge."""
 
     def step(batch):
-        p, _ = _places(utf8(batch["text"]))
+        p, _ = _places([zstandard.decompress(z) for z in batch["z"].to_pylist()])
         node, edge = p.edges()
         rows = batch["rid"].to_numpy()[p.doc]
         return {"rid": pa.array(rows), "at": pa.array((p.at - p.starts[p.doc]).astype(np.int32)), "node": _signed(node), "edge": _signed(edge)}
 
-    return per_batch(texts, step, "rid long, at int, node long, edge long", rows=SLICE)
+    return per_batch(packed.select("rid", "z"), step, "rid long, at int, node long, edge long", rows=SLICE)
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -191,12 +191,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if it lies in a window of 35 words of its document that also starts anywhere else, in the same
     document too. A NULL, empty or blank text has no words. Rows that repeat are places of their own, so they remove
-    each other if they have 35 words. A NULL doc_id is kept. An empty table gives no rows. ``docs`` must be read from
-    files or a staged table: its rows are numbered, and numbered alike when a task is repeated.
+    each other if they have 35 words. A NULL doc_id is kept. An empty table gives no rows. Rows are numbered once, in a
+    written table that all later scans read, so it does not matter how a scan is cut into tasks.
     """
     rows = texts_of(docs).withColumn("rid", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    edges = staged(edges_of(rows), "edges")
+
+    def pack(batch):
+        return {"rid": batch["rid"], "doc_id": batch["doc_id"],
+                "z": pa.array([zstandard.compress(t, 1) for t in utf8(batch["text"])], pa.binary())}
+
+    packed = staged(per_batch(rows, pack, f"rid long, doc_id {kind}, z binary"), "texts")
+    edges = staged(edges_of(packed), "edges")
     # counts are written before they are joined: a join of two plain shuffles is one that the engine splits at hot keys
     nodes = edges.groupBy("node").agg(F.count("*").alias("n"), (F.min("edge") != F.max("edge")).alias("branches")).filter("n > 1")
     edges = staged(edges.join(staged(nodes.drop("n"), "nodes"), "node").drop("node"), "repeated-nodes")
@@ -206,12 +212,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     states = split.join(speakers, "edge").select("rid", "at", state.alias("state")).unionByName(
         edges.filter("not branches").select("rid", "at", F.lit(KNOWN).alias("state")))
     found = states.groupBy("rid").agg(F.collect_list(F.col("at") * 4 + F.col("state")).alias("found"))
-
-    def pack(batch):
-        return {"rid": batch["rid"], "doc_id": batch["doc_id"],
-                "z": pa.array([zstandard.compress(t, 1) for t in utf8(batch["text"])], pa.binary())}
-
-    packed = per_batch(rows, pack, f"rid long, doc_id {kind}, z binary")
     judged = packed.join(found, "rid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
     judged = staged(per_batch(judged, _judge, f"rid long, doc_id {kind}, {_RESULT}, z binary, paths binary, starts array<int>, "
                               "h1 array<long>, h2 array<long>", rows=SLICE), "judged")

@@ -75,3 +75,23 @@ def test_helpers():
             assert run_hash(other, k)[50] != r[50]
         small = h % np.uint64(7)
         assert (substring.leftmost_least(small, k) == np.arange(200 - k + 1) + np.lib.stride_tricks.sliding_window_view(small, k).argmin(1)).all()
+
+
+def test_scans_cut_differently_give_the_same_rows(spark, tmp_path, monkeypatch):
+    """The number of tasks of a scan follows the cores that happen to be there: each scan here is cut in another way."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 300").repartition(40)
+    docs.write.parquet(str(tmp_path / "d"))
+    own, calls = substring.staged, []
+
+    def staged(df, name):
+        calls.append(name)
+        spark.conf.set("spark.sql.files.minPartitionNum", str(3 + 7 * len(calls)))
+        return own(df, name)
+
+    monkeypatch.setattr(substring, "staged", staged)
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")
+    try:
+        agree(spark.read.parquet(str(tmp_path / "d")))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(calls) > 3
