@@ -2,47 +2,77 @@
 
 A window of 15 words is cut into five blocks of three. If at most three words were changed, two blocks at least are
 whole, so one of ten fixed masks, each of which looks at two blocks and ignores the rest, gives the same hash for the
-document and the benchmark item: no overlap of that similarity (0.8) is missed. Hashes are joined by equality and the
-windows compared word by word.
+document and the benchmark item: no overlap of that similarity (0.8) is missed. Items of 8 to 14 words are one window,
+cut into two blocks more than words that may be changed, and items of fewer words are one block. Hashes are joined by
+equality and the windows compared word by word.
 
-Before the join, documents drop hashes that no item has by two bitmaps of fixed size. Their size does not grow with the
-benchmark: a larger benchmark lets more hashes through to the join, which decides alone.
+A window that a text repeats is compared once, whatever its places, and so is one that an item repeats.
+
+Before the join, documents drop hashes that no item has by two bitmaps. Their size follows the benchmark up to a bound;
+beyond it more hashes get through to the join, which decides alone.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwatch.llm.tables import per_batch, utf8
+from rillwatch.llm.tables import free_names, per_batch, staged, utf8
 from rillwatch.llm.words import hash_words, mix, run_hash, split_words
 
-SPAN, PIECE, LEAST_EQUAL = 15, 3, 12
-#: each mask keeps two of the five blocks
-MASKS = tuple(combinations(range(SPAN // PIECE), 2))
-#: items of fewer words than SPAN must occur whole; fewer than this prove nothing
-LEAST_WORDS = 8
-#: bits of the two bitmaps, as powers of two: 1 and 2 MB
-BITS = (23, 24)
+#: words of a window, and of the shortest item in which a word may be changed
+SPAN, LEAST_CHANGED = 15, 8
+SIMILAR = 0.8
+#: bits of the first bitmap, as powers of two (the second has twice as many): 1 MB to 32 MB, about 16 bits a seed
+BITS = (23, 28)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def seeds(h: np.ndarray, ends: np.ndarray):
-    """(places, hashes) of each mask over word hashes ``h``; ``ends`` is the end of the text that each word is in."""
-    piece = run_hash(h, PIECE)
-    at = np.flatnonzero(np.arange(len(h)) + SPAN <= ends)
-    for i, (a, b) in enumerate(MASKS):
-        yield at, piece[at + PIECE * a] * _A + piece[at + PIECE * b] * _B + np.uint64(i)
+def least_equal(n: int) -> int:
+    """Words of a window of ``n`` that are equal at least."""
+    return ceil(round(SIMILAR * n, 6)) if n >= LEAST_CHANGED else n
+
+
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(begin, length) of the blocks of a window of ``n`` words: two more than words that may be changed."""
+    k = n - least_equal(n) + 2 if n >= LEAST_CHANGED else 1
+    cuts = [i * n // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def short_seeds(h: np.ndarray, ends: np.ndarray, n: int):
+def seeds(h: np.ndarray, ends: np.ndarray, n: int = SPAN):
+    """(places, hashes) of each mask over the windows of ``n`` words; ``ends`` is the end of the text that each word hash in ``h`` is in."""
     at = np.flatnonzero(np.arange(len(h)) + n <= ends)
-    return at, run_hash(h, n, salt=n)[at]
+    cut = blocks(n)
+    part = {size: run_hash(h, size) for _, size in cut}
+    if len(cut) == 1:
+        yield at, part[n][at] * _A + np.uint64(n << 8)
+    for i, ((a, x), (b, y)) in enumerate(combinations(cut, 2)):
+        yield at, part[x][at + a] * _A + part[y][at + b] * _B + np.uint64((n << 8) + i)
+
+
+def windows(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, keep):
+    """doc, seed, first and last place of each distinct window of ``n`` words under each seed of it that ``keep`` lets through."""
+    doc, seed, at = [], [], []
+    for places, hashes in seeds(h, ends, n):
+        chosen = keep(hashes)
+        seed.append(hashes[chosen])
+        at.append(places[chosen])
+    seed, at = np.concatenate(seed), np.concatenate(at)
+    doc = np.searchsorted(starts, at, side="right") - 1
+    if not len(at):
+        return doc, seed, at, at
+    one, two = run_hash(h, n, salt=1)[at], run_hash(h, n, salt=2)[at]
+    order = np.lexsort((at, two, one, seed, doc))
+    doc, seed, at, one, two = doc[order], seed[order], at[order], one[order], two[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (seed[1:] != seed[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    return doc[new], seed[new], at[new], at[np.append(new[1:], len(at)) - 1]
 
 
 def _lower(texts: list[bytes]):
@@ -50,48 +80,50 @@ def _lower(texts: list[bytes]):
     return words, starts, hash_words(words), np.repeat(starts[1:], np.diff(starts))
 
 
+def _texts(words: list[bytes], at: np.ndarray, n: int) -> list[str]:
+    return [b" ".join(words[p:p + n]).decode() for p in at]
+
+
 def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows of seed, item_id, place and the words compared, for every window of every item."""
+    """Rows of seed, item_id, n and the words compared, for every distinct window of every item."""
     rows = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def step(batch):
         words, starts, h, ends = _lower(utf8(batch["text"]))
-        places, hashes, sizes = [], [], []
-        for at, seed in seeds(h, ends):
-            places.append(at)
-            hashes.append(seed)
-            sizes.append(np.full(len(at), SPAN))
-        for d, n in enumerate(np.diff(starts)):
-            if LEAST_WORDS <= n < SPAN:
-                places.append(starts[d:d + 1])
-                hashes.append(run_hash(h[starts[d]:starts[d + 1]], int(n), salt=int(n)))
-                sizes.append(np.array([n]))
-        places, hashes, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, hashes, sizes))
-        doc = np.searchsorted(starts, places, side="right") - 1
-        return {"seed": pa.array(hashes.astype(np.uint64).view(np.int64)), "item_id": batch["item_id"].take(pa.array(doc)),
-                "item_at": pa.array((places - starts[doc]).astype(np.int32)),
-                "item_words": pa.array([b" ".join(words[p:p + n]).decode() for p, n in zip(places, sizes)], pa.string())}
+        sizes = np.diff(starts)
+        found = {"seed": [], "doc": [], "n": [], "words": []}
+        for n in sorted(set(np.minimum(sizes, SPAN).tolist()) - {0}):
+            whole = np.repeat(sizes >= SPAN if n == SPAN else sizes == n, sizes)
+            doc, seed, at, _ = windows(h, starts, np.where(whole, ends, -1), n, lambda x: slice(None))
+            found["seed"].append(seed)
+            found["doc"].append(doc)
+            found["n"].append(np.full(len(at), n, np.int32))
+            found["words"] += _texts(words, at, n)
+        seed, doc, n = (np.concatenate(found[c]) if found[c] else np.zeros(0, np.int64) for c in ("seed", "doc", "n"))
+        return {"seed": pa.array(seed.astype(np.uint64).view(np.int64)), "item_id": batch["item_id"].take(pa.array(doc.astype(np.int64))),
+                "n": pa.array(n.astype(np.int32)), "item_words": pa.array(found["words"], pa.string())}
 
     kind = rows.schema["item_id"].dataType.simpleString()
-    return per_batch(rows, step, f"seed long, item_id {kind}, item_at int, item_words string")
+    return per_batch(rows, step, f"seed long, item_id {kind}, n int, item_words string").distinct()
 
 
-def _bit(seed: np.ndarray, level: int) -> np.ndarray:
-    return (mix(seed) if level else seed) >> np.uint64(64 - BITS[level])
+def _bit(seed: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return (mix(seed) if level else seed) >> np.uint64(64 - bits)
 
 
 def bitmaps(seed_rows: DataFrame) -> list[np.ndarray]:
-    """Two bitmaps of the seeds; what reaches the driver is bounded by their fixed size."""
+    """Two bitmaps of the seeds; what reaches the driver is bounded by BITS."""
+    bits = min(max(BITS[0], ceil(log2(max(1, seed_rows.count()))) + 4), BITS[1])
 
     def step(batch):
         seed = batch["seed"].to_numpy().view(np.uint64)
-        out = [(level, bit) for level in (0, 1) for bit in np.unique(_bit(seed, level))]
+        out = [(level, bit) for level in (0, 1) for bit in np.unique(_bit(seed, level, bits + level))]
         return {"level": pa.array([x for x, _ in out], pa.int32()), "byte": pa.array([int(b) >> 3 for _, b in out], pa.int64()),
                 "bits": pa.array([1 << (int(b) & 7) for _, b in out], pa.int32())}
 
     found = per_batch(seed_rows.select("seed"), step, "level int, byte long, bits int")
     table = found.groupBy("level", "byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    maps = [np.zeros(1 << (b - 3), np.uint8) for b in BITS]
+    maps = [np.zeros(1 << (bits + level - 3), np.uint8) for level in (0, 1)]
     for level in (0, 1):
         own = table["level"].to_numpy() == level
         maps[level][table["byte"].to_numpy()[own]] = table["bits"].to_numpy()[own]
@@ -100,9 +132,9 @@ def bitmaps(seed_rows: DataFrame) -> list[np.ndarray]:
 
 def _passes(maps, seed):
     keep = np.arange(len(seed))
-    for level in (0, 1):
-        bit = _bit(seed[keep], level)
-        keep = keep[(maps[level][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    for level, m in enumerate(maps):
+        bit = _bit(seed[keep], level, len(m).bit_length() + 2)
+        keep = keep[(m[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     return keep
 
 
@@ -115,36 +147,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """Rows of key1, key2 (a document's row), item_id, first and last start of matching windows, most equal words.
 
     Words are lower-cased in A-Z. A window matches if 12 of its 15 words at least are equal in place; an item of 8 to
-    14 words matches if it occurs whole; shorter items, NULL and empty texts never match.
+    14 words is one window of which four in five words are equal; an item of fewer words must occur whole. NULL and
+    empty texts and items never match.
     """
-    items = benchmark_seeds(benchmark)
+    items = staged(benchmark_seeds(benchmark, "item_id", "text"), "benchmark-seeds")
     maps = bitmaps(items)
-    short = sorted({r[0] for r in items.select(F.size(F.split("item_words", " ")).alias("n")).filter(F.col("n") < SPAN).distinct().collect()})
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # at most SPAN
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.select(*_row_key(), "text")
 
     def step(batch):
         words, starts, h, ends = _lower(utf8(batch["text"]))
-        places, hashes, sizes = [], [], []
-        found = [(SPAN, *s) for s in seeds(h, ends)] + [(n, *short_seeds(h, ends, n)) for n in short]
-        for n, at, seed in found:
-            keep = _passes(maps, seed)
-            places.append(at[keep])
-            hashes.append(seed[keep])
-            sizes.append(np.full(len(keep), n))
-        places, hashes, sizes = map(np.concatenate, (places, hashes, sizes))
-        doc = np.searchsorted(starts, places, side="right") - 1
+        found, texts = [], []
+        for n in sizes:
+            found.append(windows(h, starts, ends, n, lambda seed: _passes(maps, seed)))
+            texts += _texts(words, found[-1][2], n)
+        doc, seed, first, last = map(np.concatenate, zip(*found))
         take = pa.array(doc)
-        return {"key1": batch["key1"].take(take), "key2": batch["key2"].take(take), "seed": pa.array(hashes.view(np.int64)),
-                "doc_at": pa.array((places - starts[doc]).astype(np.int32)),
-                "doc_words": pa.array([b" ".join(words[p:p + n]).decode() for p, n in zip(places, sizes)], pa.string())}
-
-    hits = per_batch(rows, step, "key1 long, key2 long, seed long, doc_at int, doc_words string", rows=500)
+        return {"key1": batch["key1"].take(take), "key2": batch["key2"].take(take), "seed": pa.array(seed.view(np.int64)),
+                "first": pa.array((first - starts[doc]).astype(np.int32)), "last": pa.array((last - starts[doc]).astype(np.int32)),
+                "doc_words": pa.array(texts, pa.string())}
+
+    schema = "key1 long, key2 long, seed long, first int, last int, doc_words string"
+    hits = per_batch(rows if sizes else rows.limit(0), step, schema, rows=500)
+    # rows with the same id and text are one here; copies of a text that very many rows hold meet before the join
+    hits = hits.groupBy("key1", "key2", "seed", "doc_words").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     equal = F.size(F.filter(F.zip_with(F.split("doc_words", " "), F.split("item_words", " "), lambda a, b: a == b), lambda x: x))
-    pairs = hits.join(items, "seed").withColumn("n_equal", equal).withColumn("n_words", F.size(F.split("item_words", " ")))
-    sure = pairs.filter(F.when(F.col("n_words") < SPAN, F.col("doc_words") == F.col("item_words")).otherwise(F.col("n_equal") >= LEAST_EQUAL))
-    return sure.groupBy("key1", "key2", "item_id").agg(
-        F.min("doc_at").alias("first"), F.max("doc_at").alias("last"), F.max("n_equal").cast("int").alias("most_equal"))
+    least = F.when(F.col("n") < LEAST_CHANGED, F.col("n")).otherwise(F.ceil(F.round(F.col("n") * SIMILAR, 6)))
+    pairs = hits.join(items, "seed").filter(F.size(F.split("doc_words", " ")) == F.col("n")).withColumn("n_equal", equal)
+    return pairs.filter(F.col("n_equal") >= least).groupBy("key1", "key2", "item_id").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("n_equal").cast("int").alias("most_equal"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -163,9 +195,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap an item."""
-    bad = overlaps(docs, benchmark).select("key1", "key2").distinct()
-    keyed = docs.withColumns({"_key1": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))),
-                              "_key2": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id")})
-    on = (F.col("_key1") == bad["key1"]) & (F.col("_key2") == bad["key2"])
-    return keyed.join(bad, on, "left_anti").drop("_key1", "_key2")
+    """``docs`` without the rows that overlap an item.
+
+    Rows with a NULL or empty text, and all rows if the benchmark is empty, stay; rows that repeat stay or go together,
+    with or without a doc_id; columns may have any name and type. An empty table gives no rows.
+    """
+    names = free_names(docs, "key1", "key2")
+    bad = overlaps(docs, benchmark).select(F.col("key1").alias(names[0]), F.col("key2").alias(names[1])).distinct()
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({names[0]: F.xxhash64("doc_id", text), names[1]: F.xxhash64(F.lit(1), text, "doc_id")})
+    return keyed.join(bad, names, "left_anti").select(*[f"`{c}`" for c in docs.columns])

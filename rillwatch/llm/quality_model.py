@@ -154,7 +154,12 @@ def score_documents(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` without the rows that the trees reject."""
+    """``docs`` without the rows that the trees reject: those of a score below THRESHOLD; a score equal to it stays.
+
+    A NULL text scores as an empty one and, like any short text, stays or goes by its score; rows of equal text stay or
+    go together, whatever their ids; without usable labels every score is one half and all rows stay. Columns may have
+    any name and type. An empty table gives no rows.
+    """
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwatch.llm.components import components
-from rillwatch.llm.tables import per_batch, staged, texts_of
+from rillwatch.llm.tables import free_names, per_batch, staged, texts_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -126,6 +126,12 @@ def near_links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def rooted(fps: DataFrame) -> DataFrame:
+    """``fps`` with ``root``, one fingerprint of the component that ``fp`` is in."""
+    roots = components(near_links(fps.select("fp"))).withColumnRenamed("node", "fp")
+    return staged(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
@@ -135,23 +141,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows.
     """
     marks = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(near_links(fps))
-    grouped = staged(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                     .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
+    grouped = rooted(staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct"))
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marks.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each group.
+    """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, of rows that share it the first read.
 
-    Rows that share a doc_id are one document, the smallest row stays. Rows without a doc_id cannot be named by a
-    group and stay.
+    Rows are told apart as rows: different texts under one doc_id are different documents, and both stay if they are no
+    near-duplicates; equal rows leave one. Rows without a doc_id cannot be named by a group and stay. Columns may have
+    any name and type. An empty table gives no rows.
     """
-    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
-    return one.select("doc_id", *[F.col("_row").getField(c).alias(c) for c in rest]).select(*[f"`{c}`" for c in docs.columns]).unionByName(
-        docs.filter(F.col("doc_id").isNull()))
+    (row,) = free_names(docs, "row")
+    held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marks = staged(fingerprints(held.select(row, "text"), row).withColumnRenamed("doc_id", row), "fingerprints")
+    # the rows' ids meet their fingerprints by number: both are narrow
+    named = held.select("doc_id", row).filter("doc_id is not null").join(marks, row).select(
+        "fp", F.struct("doc_id", F.col(row).alias("at")).alias("who"))
+    firsts = named.groupBy("fp").agg(F.min("who").alias("who"))
+    fps = staged(marks.groupBy("fp").agg(F.count("*").alias("n")).join(firsts, "fp", "left").select("fp", "who"), "distinct")
+    stay = rooted(fps).groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.at").alias(row))
+    return held.join(stay, row, "left_semi").unionByName(held.filter("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])

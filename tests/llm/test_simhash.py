@@ -110,3 +110,17 @@ def test_keep_one_on_repeated_and_unnamed_rows(spark, make_docs):
     docs = make_docs(["a b c d"] * 2).union(make_docs(["a b c d"])).union(spark.sql("select cast(null as bigint), 'z', 'en', 's', 1L"))
     assert sorted((r.doc_id is None, r.doc_id) for r in simhash.keep_one(docs).collect() if r.doc_id is not None) == [(False, 0)]
     assert simhash.keep_one(docs).filter("doc_id is null").count() == 1
+
+
+def test_keep_one_tells_rows_apart(spark):
+    """Different texts under one id both stay; equal rows leave one; columns of any type and name come through."""
+    docs = spark.sql("""select 1L as doc_id, 'a b c d e f' as text, map('k', 1) as m, 5 as row, 6 as fp
+     union all select 1L, 'quite another text with words of its own', map('k', 2), 5, 6
+     union all select 1L, 'a b c d e f', map('k', 1), 5, 6
+     union all select 0L, 'A B c d e f', map('k', 4), 5, 6
+     union all select cast(null as bigint), 'a b c d e f', map('k', 3), 5, 6""")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id, r.text, r.m["k"]) for r in got.collect()) == [
+        (False, 0, "A B c d e f", 4), (False, 1, "quite another text with words of its own", 2), (True, None, "a b c d e f", 3)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
