@@ -36,12 +36,21 @@ IBAN_LENGTHS = {c: n for n, codes in {
 
 #: score before context, after the checksum
 START = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "national_phone": 0.3}
-#: words (lower case) within ``NEARBY`` characters before or after a span that speak for it
+#: words (lower case, English, German, French, Spanish) within ``NEARBY`` characters before or after a span that speak for it
+_CALL = ("phone", "phones", "telephone", "call", "calls", "tel", "mobile", "cell", "fax", "telefon", "handy", "anruf", "anrufen", "mobil", "rufnummer",
+         "téléphone", "téléphoner", "appel", "appeler", "appelez", "portable", "teléfono", "móvil", "llamar", "llame", "llamada")
 CONTEXT = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"), "iban": ("iban", "account", "bank"),
-    "ssn": ("ssn", "social security"), "national_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "email": ("mail", "email", "e-mail", "contact", "write", "kontakt", "schreiben", "courriel", "contacter", "écrire", "correo", "contacto", "escribir"),
+    "ip": ("ip", "address", "host", "server", "adresse", "rechner", "serveur", "hôte", "dirección", "servidor"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "kreditkarte", "zahlung", "carte", "crédit", "paiement", "tarjeta", "crédito", "pago"),
+    "phone": _CALL,
+    "iban": ("iban", "account", "bank", "konto", "kontonummer", "überweisung", "compte", "banque", "virement", "cuenta", "banco", "transferencia"),
+    "ssn": ("ssn", "social security", "sozialversicherung", "sozialversicherungsnummer", "sécurité sociale", "seguridad social", "seguro social"),
+    "national_phone": _CALL,
 }
+_NEAR = {kind: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)") for kind, words in CONTEXT.items()}
+#: added kinds whose checksum is proof enough to stay even where a base span lies within
+CONFIRMED = ("iban",)
 NEARBY, GAIN, THRESHOLD = 40, 0.3, 0.6
 
 
@@ -116,13 +125,16 @@ _SEARCHES = (("ip", _IP, _valid_ip), ("card", _CARD, _valid_card), ("phone", _PH
 
 
 def score(text: str, kind: str, begin: int, end: int) -> float:
-    around = (text[max(0, begin - NEARBY):begin] + " " + text[end:end + NEARBY]).lower()
-    found = any(re.search(rf"\b{w}", around) for w in CONTEXT[kind])
+    left = max(0, begin - NEARBY)
+    # one more character on the far side tells whether a word there is whole
+    before, after = text[max(0, left - 1):begin].lower(), text[end:end + NEARBY + 1].lower()
+    behind = _NEAR[kind].search(after)
+    found = _NEAR[kind].search(before, min(left, 1)) is not None or behind is not None and behind.end() <= NEARBY
     return round(min(1.0, START[kind] + GAIN * found), 3)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by kind, then start; added kinds stay if they reach THRESHOLD and cover no base span."""
+    """(kind, start, end, score) by kind, then start; added kinds stay if they reach THRESHOLD and, unless CONFIRMED, share nothing with a base span."""
     by_kind: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if "@" in text:
         by_kind["email"] = list(emails(text))
@@ -136,7 +148,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     for kind in KINDS:
         for begin, end in by_kind[kind]:
             points = score(text, kind, begin, end)
-            if kind not in BASE_KINDS and (points < THRESHOLD or any(b < end and begin < e for b, e in base)):
+            if kind not in BASE_KINDS and (points < THRESHOLD or kind not in CONFIRMED and any(b < end and begin < e for b, e in base)):
                 continue
             out.append((kind, begin, end, points))
     return out
@@ -173,14 +185,16 @@ def digests(spans: DataFrame) -> DataFrame:
 
 
 def redact(text: str) -> str:
-    """``text`` with every span replaced by its kind in angle brackets; of spans that overlap the first stays."""
-    out, done = [], 0
-    for kind, begin, end, _ in sorted(find_spans(text), key=lambda s: (s[1], KINDS.index(s[0]))):
-        if begin >= done:
-            out += [text[done:begin], f"<{kind}>"]
-            done = end
-        elif end > done:  # the rest of a span that overlaps
-            done = end
+    """``text`` with every span replaced by its kind in angle brackets; spans that overlap go as one, named by the longest, then the first of them."""
+    out, done, held = [], 0, None
+    for kind, begin, end, _ in [*sorted(find_spans(text), key=lambda s: (s[1], KINDS.index(s[0]))), (None, len(text) + 1, 0, 0)]:
+        if held and begin < held[2]:
+            held = (kind if end - begin > held[3] else held[0], held[1], max(end, held[2]), max(end - begin, held[3]))
+            continue
+        if held:
+            out += [text[done:held[1]], f"<{held[0]}>"]
+            done = held[2]
+        held = (kind, begin, end, end - begin)
     return "".join(out) + text[done:]
 
 
