@@ -6,8 +6,8 @@ probabilities are learned by expectation maximisation: a pass over the learning
 expected in each language under the current ones, backward and forward, and only those sums leave a task.
 
 All distinct words of a batch that have the same length are worked on at once. Words of more than ``MAX_WORD`` letters,
-as in scripts without spaces, are worked through letter by letter with logarithms, since their probabilities may be
-smaller than any double.
+as in scripts without spaces, and words whose probability comes near the smallest double, are worked through letter by
+letter with logarithms.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from rillwatch.llm.tables import held_out, once, per_batch
 
-#: letters of a word whose probability a double holds
-MAX_WORD = 32
+#: letters of a word, and probability of a word, up to and down to which products are taken without logarithms
+MAX_WORD, LEAST = 32, 1e-250
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
 _FILTER_BITS = 22
 _WORD = re.compile(r"[^\W\d_]+")
@@ -133,15 +133,38 @@ def _add(total: np.ndarray, ids: np.ndarray, share: np.ndarray, weight: np.ndarr
         total[:, g] += np.bincount(ids, share[:, g if share.shape[1] > 1 else 0] * weight[:, g], len(total))
 
 
-def expected(steps, n: int, length: int, prob: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total`` (piece, language) how often each piece is expected in words that occur ``weight`` (word, language) times."""
+def expected(steps, n: int, length: int, prob: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Adds to ``total`` (piece, language) how often each piece is expected in words that occur ``weight`` (word, language) times.
+
+    Words whose probability is below LEAST in a language where they occur are left out; their rows are returned.
+    """
     a, b = forward(steps, n, length, prob), np.zeros((length + 1, n, prob.shape[1]))
+    small = ((a[length] < LEAST) & (weight > 0)).any(axis=1)
+    if small.any():
+        weight = np.where(small[:, None], 0.0, weight)
+    whole = np.where(a[length] < LEAST, 1.0, a[length])  # weight is 0 there
     b[length] = 1
     for i, j, rows, ids in reversed(steps):
         b[i, rows] += b[j, rows] * prob[ids]
     for i, j, rows, ids in steps:
-        share = a[i, rows] * prob[ids] * b[j, rows] / a[length, rows]
+        share = a[i, rows] * prob[ids] * b[j, rows] / whole[rows]
         _add(total, ids, share, weight[rows])
+    return np.flatnonzero(small)
+
+
+def log_word(vocabulary: Pieces, chars: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of each word in each language."""
+    n, length = chars.shape
+    if length > MAX_WORD:
+        return log_forward(vocabulary, chars, prob)
+    last = forward(arcs(vocabulary, chars), n, length, prob)[length]
+    small = np.flatnonzero((last < LEAST).any(axis=1))
+    if len(small):
+        last[small] = 1.0
+    out = np.log(last)
+    if len(small):
+        out[small] = log_forward(vocabulary, chars[small], prob)
+    return out
 
 
 def log_forward(vocabulary: Pieces, chars: np.ndarray, prob: np.ndarray, keep: bool = False) -> np.ndarray:
@@ -230,10 +253,10 @@ def expected_counts(docs: DataFrame, path: str, langs: list[str], prob: np.ndarr
             words, codes, counts = words_of(batch["text"].to_pylist(), None)
             weight = np.bincount(codes * len(langs) + np.repeat(lang, counts), minlength=len(words) * len(langs)).reshape(-1, len(langs))
             for at, chars in _by_length(words):
-                if chars.shape[1] > MAX_WORD:
-                    expected_long(book, chars, now, weight[at].astype(float), total)
-                else:
-                    expected(arcs(book, chars), *chars.shape, now, weight[at].astype(float), total)
+                own = weight[at].astype(float)
+                small = slice(None) if chars.shape[1] > MAX_WORD else expected(arcs(book, chars), *chars.shape, now, own, total)
+                if chars.shape[1] > MAX_WORD or len(small):
+                    expected_long(book, chars[small], now, own[small], total)
         piece, g = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(g.astype(np.int32)), "piece": pa.array(piece.astype(np.int32)), "n": pa.array(total[piece, g])})
 
@@ -274,8 +297,7 @@ def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.
         if langs:
             book = pieces(path)
             for at, chars in _by_length(words):
-                n, length = chars.shape
-                logs[at] = log_forward(book, chars, prob) if length > MAX_WORD else np.log(forward(arcs(book, chars), n, length, prob)[length])
+                logs[at] = log_word(book, chars, prob)
         ends = np.cumsum(counts)
         sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs[codes], axis=0)])
         total = sums[ends] - sums[ends - counts] + (prior if langs else 0)

@@ -148,3 +148,27 @@ def test_hard_rows(spark, hard_docs):
     assert L.identify(docs.limit(0), PATH, learned).count() == 0
     nothing = L.learn(docs.filter("lang is null"), PATH)
     assert {r.lang_pred for r in L.identify(docs, PATH, nothing).collect()} == {"und"}
+
+
+def test_tiny_probabilities_stay_numbers(spark):
+    """Counts as of a corpus of 1e12 pieces: letters unseen in a language give words a probability below any double."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    book = L.pieces(path)
+    prob = np.full((book.size + 1, 3), 0.05 / 1e12)
+    prob[:, 0] = 1.0 / book.size
+    word = "qxzjvwkyqxzjvwkyqxzjvwkyqxzjvw"
+    chars = np.array([[ord(c) for c in w] for w in (word, word[::-1])], np.uint64)
+    with np.errstate(all="raise", under="ignore"):
+        assert (L.forward(L.arcs(book, chars), 2, 30, prob)[30][:, 1:] < 1e-250).any()
+        assert np.isfinite(L.log_word(book, chars, prob)).all()
+        for weight in ([[1.0, 0, 0], [2.0, 0, 0]], [[1.0, 3.0, 0], [0, 0, 2.0]]):
+            total, want = np.zeros_like(prob), np.zeros_like(prob)
+            small = L.expected(L.arcs(book, chars), 2, 30, prob, np.array(weight), total)
+            if len(small):
+                L.expected_long(book, chars[small], prob, np.array(weight)[small], total)
+            L.expected_long(book, chars, prob, np.array(weight), want)
+            assert np.isfinite(total).all() and np.allclose(total, want, rtol=1e-6)
+            assert (total[:, np.array(weight).sum(axis=0) == 0] == 0).all()
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate([word, word * 40, "x"])], "doc_id long, text string, lang string")
+    got = L.identify(docs, path, (["a", "b", "c"], np.log([1 / 3] * 3), prob)).collect()
+    assert all(r.lang_pred == "a" and 0 <= r.score <= 1 for r in got)
