@@ -2,8 +2,9 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. The probability of a word is the sum over
 all ways to cut it into pieces, which a forward algorithm gives; a text's is the product over its words. The piece
-probabilities are learned by expectation maximisation: a pass over the learning texts adds up how often each piece is
-expected in each language under the current ones, backward and forward, and only those sums leave a task.
+probabilities are learned by expectation maximisation: distinct words of the learning texts are counted per language
+once, and each round adds up how often each piece is expected in them under the current ones, backward and forward;
+only those sums leave a task.
 
 All distinct words of a batch that have the same length are worked on at once. Words of more than ``MAX_WORD`` letters,
 as in scripts without spaces, and words whose probability comes near the smallest double, are worked through letter by
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwatch.llm.tables import held_out, once, per_batch
+from rillwatch.llm.tables import held_out, once, per_batch, staged
 
 #: letters of a word, and probability of a word, up to and down to which products are taken without logarithms
 MAX_WORD, LEAST = 32, 1e-250
@@ -240,27 +241,40 @@ def _by_length(words: list[str]):
         yield np.flatnonzero(sizes == n), chars[n]
 
 
-def expected_counts(docs: DataFrame, path: str, langs: list[str], prob: np.ndarray | None) -> DataFrame:
-    """lang (its number), piece, n: expected pieces in ``docs`` (text, lang); without ``prob`` all pieces are alike."""
+def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """word, n: how often each distinct word of ``docs`` (text, lang) occurs in each of ``langs``."""
 
     def run(batches):
-        book = pieces(path)
-        now = np.full((book.size + 1, 1), 1.0 / book.size) if prob is None else prob
-        total = np.zeros((book.size + 1, len(langs)))
         number = {g: i for i, g in enumerate(langs)}
         for batch in batches:
             lang = np.array([number[g] for g in batch["lang"].to_pylist()], np.int64)
             words, codes, counts = words_of(batch["text"].to_pylist(), None)
-            weight = np.bincount(codes * len(langs) + np.repeat(lang, counts), minlength=len(words) * len(langs)).reshape(-1, len(langs))
-            for at, chars in _by_length(words):
-                own = weight[at].astype(float)
+            n = np.bincount(codes * len(langs) + np.repeat(lang, counts), minlength=len(words) * len(langs))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.FixedSizeListArray.from_arrays(
+                pa.array(n.astype(np.int64)), len(langs)).cast(pa.list_(pa.int64()))})
+
+    found = docs.select("text", "lang").mapInArrow(run, "word string, n array<long>")
+    return found.groupBy("word").agg(F.array(*[F.sum(F.col("n")[g]) for g in range(len(langs))]).alias("n"))
+
+
+def expected_counts(words: DataFrame, path: str, langs: list[str], prob: np.ndarray | None) -> DataFrame:
+    """lang (its number), piece, n: expected pieces in ``words`` (word, n); without ``prob`` all pieces are alike."""
+
+    def run(batches):
+        book = pieces(path)
+        now = np.full((book.size + 1, 1), 1.0 / book.size) if prob is None else prob
+        total = np.zeros((book.size + 1, len(langs)))
+        for batch in batches:
+            weight = batch["n"].flatten().to_numpy().reshape(-1, len(langs)).astype(float)
+            for at, chars in _by_length(batch["word"].to_pylist()):
+                own = weight[at]
                 small = slice(None) if chars.shape[1] > MAX_WORD else expected(arcs(book, chars), *chars.shape, now, own, total)
                 if chars.shape[1] > MAX_WORD or len(small):
                     expected_long(book, chars[small], now, own[small], total)
         piece, g = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(g.astype(np.int32)), "piece": pa.array(piece.astype(np.int32)), "n": pa.array(total[piece, g])})
 
-    return docs.select("text", "lang").mapInArrow(run, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -273,8 +287,9 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str],
     langs = [g for g, _ in share]
     prior = np.log(np.array([n for _, n in share], float) / max(1, sum(n for _, n in share)))
     prob, size = None, pieces(path).size
+    words = staged(word_counts(own, langs), "words") if langs and rounds else None
     for _ in range(rounds if langs else 0):
-        table = expected_counts(own, path, langs, prob).toArrow()
+        table = expected_counts(words, path, langs, prob).toArrow()
         total = np.zeros((size + 1, len(langs)))
         total[table["piece"].to_numpy(), table["lang"].to_numpy()] = np.round(table["n"].to_numpy(), 6)
         prob = (total + SMOOTHING) / (total.sum(axis=0) + SMOOTHING * (size + 1))
