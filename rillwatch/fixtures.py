@@ -105,6 +105,28 @@ SELECT name, instance, device, ts, CASE WHEN name = 'node_memory_MemAvailable_by
 FROM (SELECT event_id, name, instance, device, ts, value, ROW_NUMBER() OVER (PARTITION BY name, instance, device ORDER BY event_id) AS rn FROM samples) b
 UNION ALL
 SELECT 'node_memory_MemTotal_bytes', instance, device, ts, CAST(1000000000 AS DOUBLE) FROM samples WHERE name = 'node_memory_MemAvailable_bytes'""",
+    # what exporters would have counted or measured, one row for each event; `exposed` below adds up the counters
+    "exposed_steps": """
+SELECT {US} AS us, 'http_requests_total' AS name, host AS instance, CAST(status AS {STR}) AS status, '' AS device, '' AS mountpoint, '' AS fstype,
+  CASE WHEN ({US} {DIV} 60000000) % 5 < 2 THEN 600e0 ELSE 1e0 END AS step, 1 AS counts FROM (SELECT *, req_ts AS ts FROM http_log) h
+UNION ALL SELECT {US}, 'bruteforce_alerts_total', host, '', '', '', '', 1e0, 1 FROM (SELECT *, req_ts AS ts FROM http_log) h WHERE uri = '/login' AND status IN (403, 429)
+UNION ALL SELECT {US}, 'suspicious_inputs_total', host, '', '', '', '', CASE WHEN ({US} {DIV} 60000000) % 7 < 3 THEN 40e0 ELSE 1e0 END, 1
+  FROM (SELECT *, req_ts AS ts FROM http_log) h WHERE uri LIKE '/s?q=%' OR uri LIKE '/p?x=%' OR uri LIKE '/x?c=%'
+UNION ALL SELECT {US}, 'webapp_process_cpu_user_seconds_total', host, '', '', '', '', CASE WHEN ({US} {DIV} 60000000) % 10 < 4 THEN 0.9e0 ELSE 0.1e0 END, 0
+  FROM (SELECT *, req_ts AS ts FROM http_log) h WHERE req_id % 4 = 0
+UNION ALL SELECT {US}, 'webapp_process_resident_memory_bytes', host, '', '', '', '', CASE WHEN ({US} {DIV} 60000000) % 15 < 6 THEN 2147483648e0 ELSE 536870912e0 END, 0
+  FROM (SELECT *, req_ts AS ts FROM http_log) h WHERE req_id % 4 = 1
+UNION ALL SELECT {US}, CASE event_id % 4 WHEN 0 THEN 'node_network_receive_errs_total' WHEN 1 THEN 'node_network_transmit_errs_total' WHEN 2 THEN 'node_network_receive_drop_total' ELSE 'node_network_transmit_drop_total' END,
+  instance, '', device, '', '', 1e0 + CAST(event_id % 5 AS DOUBLE), 1 FROM samples WHERE event_id % 3 = 0
+UNION ALL SELECT {US}, 'node_filesystem_size_bytes', instance, '', device, CASE event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/data' WHEN 2 THEN '/tmp' ELSE '/var/lib/images' END,
+  CASE event_id % 4 WHEN 0 THEN 'ext4' WHEN 1 THEN 'xfs' WHEN 2 THEN 'tmpfs' ELSE 'overlay' END, 50000000000e0, 0 FROM samples
+UNION ALL SELECT {US}, 'node_filesystem_free_bytes', instance, '', device, CASE event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/data' WHEN 2 THEN '/tmp' ELSE '/var/lib/images' END,
+  CASE event_id % 4 WHEN 0 THEN 'ext4' WHEN 1 THEN 'xfs' WHEN 2 THEN 'tmpfs' ELSE 'overlay' END, CAST(FLOOR(value * 1000000) AS DOUBLE), 0 FROM samples WHERE event_id % 8 < 4""",
+    # counters begin at 0 again every 20 minutes
+    "exposed": """
+SELECT DISTINCT name, instance, status, device, mountpoint, fstype, us, CASE WHEN counts = 1 THEN
+  sum(step) OVER (PARTITION BY name, instance, status, device, mountpoint, fstype, us {DIV} 1200000000 ORDER BY us) ELSE
+  max(step) OVER (PARTITION BY name, instance, status, device, mountpoint, fstype, us) END AS value FROM exposed_steps""",
     "packets": """
 SELECT l_orderkey * 8 + l_linenumber AS pkt_id, {TS}(1704067200000000 + l_orderkey * 200000 + l_linenumber * 1000) AS pkt_ts,
   '203.0.113.' || CAST(l_suppkey % 25 AS {STR}) AS src_ip, '198.51.100.200' AS dst_ip, CAST(1024 + l_suppkey AS INT) AS src_port, CAST(l_partkey % 10 AS INT) AS dst_port,
@@ -166,6 +188,8 @@ class Inputs:
     def view(self, name: str) -> DataFrame:
         if name == "metrics":
             return self._metrics()
+        if name == "exposed":
+            return self._exposed()
         names = [*_chain(VIEWS[name], VIEWS), name]
         ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n], SPARK)})" for n in names)
         sql = f"WITH {ctes} SELECT * FROM {name}"
@@ -200,3 +224,14 @@ class Inputs:
             F.lit("node_memory_MemTotal_bytes").alias("name"), "instance", "device", "ts", F.lit(1e9).alias("value")
         )
         return counted.unionByName(total)
+
+    def _exposed(self) -> DataFrame:
+        """Samples of labelled counters and gauges; running sums come from blocks, as above."""
+        from rillwatch.operators.blocks import running_totals
+
+        series = ["name", "instance", "status", "device", "mountpoint", "fstype"]
+        at = self.view("exposed_steps").groupBy(*series, "us", "counts").agg(F.sum("step").alias("step"), F.max("step").alias("top"))
+        since = F.expr("us div 1200000000").alias("since")
+        counted = running_totals(at.filter("counts = 1").select("*", since), [*series, "since"], "us", {"value": "step"}, width=60_000_000)
+        gauges = at.filter("counts = 0").withColumn("value", F.col("top"))
+        return counted.select(*series, "us", "value").unionByName(gauges.select(*series, "us", "value"))

@@ -113,3 +113,27 @@ def trailing_sums(df: DataFrame, probes: DataFrame | None, keys: list[str], orde
 
     out = [F.sum(part(n, s)).cast(kinds[n]).alias(f"{n}_{s}") for n in sums for s in sizes]
     return run.groupBy(*keys, probe_id).agg(*out)
+
+
+def nearest(df: DataFrame, probes: DataFrame, keys: list[str], order: str, at: str, cols: list[str], width: int, name: str,
+            following: bool = False) -> DataFrame:
+    """``probes`` with struct ``name``: ``cols`` of the last row of ``df`` at or before ``at`` (the first one at or after it).
+
+    One row of ``df`` per key and ``order``. No row is paired with a probe: both lie in blocks of the key, a probe takes
+    the last row before it in its block, and only each block's last row is carried on.
+    """
+    sign = -1 if following else 1
+    others = [c for c in probes.columns if c not in keys]
+    payload = F.struct(*[F.col(f"`{c}`") for c in others])
+    row, asked = F.struct(*cols), probes.select(payload.alias("p")).schema["p"].dataType
+    marks = df.select(*keys, (F.col(order) * sign).alias("_pos"), F.lit(0).alias("_kind"), row.alias("_row"), F.lit(None).cast(asked).alias("_probe"))
+    kept = marks.schema["_row"].dataType
+    marks = marks.unionByName(probes.select(*keys, (F.col(at) * sign).alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(kept).alias("_row"),
+                                            payload.alias("_probe"))).withColumn(BLOCK, block_of("_pos", width))
+    ids = [*keys, BLOCK]
+    last = marks.groupBy(*ids).agg(F.max_by("_row", F.when(F.col("_kind") == 0, F.col("_pos"))).alias("_last"))
+    before = _over_blocks(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*ids, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*ids).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.join(carried, ids).withColumn(name, F.coalesce(F.last("_row", ignorenulls=True).over(inside), F.col("_carried")))
+    return found.filter("_kind = 1").select(*keys, "_probe.*", name)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rillwatch import config
-from rillwatch.functions import weblog
+from rillwatch.operators import rangevectors as rv
 from rillwatch.operators import timeseries as ts
 from rillwatch.operators.windows import SECOND, micros, window_number
 from rillwatch.plans.q_alerts import scored
@@ -21,11 +23,6 @@ WINDOW w AS (PARTITION BY name, instance, device, win ORDER BY us, value)""",
 SELECT name, instance, device, win, sum(d) AS increase, sum(d) / NULLIF((max(us) - min(us)) / 1e6, 0) AS rate, arg_max(lr, (us, value)) AS irate,
  count(CASE WHEN value <> pv THEN 1 END) AS changes, count(*) AS samples
 FROM (SELECT *, d / NULLIF((us - pu) / 1e6, 0) AS lr FROM (SELECT *, CASE WHEN value < pv THEN value ELSE value - pv END AS d FROM stepped) a) b GROUP BY 1, 2, 3, 4""",
-    "webrates": """
-SELECT host, epoch_us(req_ts) // 10000000 AS win, count(*) / 10.0 AS requests, count(CASE WHEN status BETWEEN 500 AND 599 THEN 1 END) / 10.0 AS errors,
- count(CASE WHEN uri LIKE '/login%' AND status IN (401, 403, 429) THEN 1 END) / 10.0 AS logins,
- count(CASE WHEN contains(uri, '../..') OR contains(lower(uri), 'eval(') OR lower(uri) LIKE '%union%select%' OR contains(lower(uri), '<script') OR contains(lower(uri), 'javascript:') THEN 1 END) / 10.0 AS suspicious
-FROM http_log GROUP BY 1, 2""",
 })
 RX, TX = "node_network_receive_bytes_total", "node_network_transmit_bytes_total"
 FREE, TOTAL = "node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes"
@@ -88,9 +85,51 @@ def _(t):
     return rounded(memory(t, F.try_divide("l", "r")))
 
 
-@query("ts_disk_usage", f"SELECT instance, device, epoch_us(ts) AS us, a.value - b.value AS value {_PAIR} WHERE device <> 'lo'")
+# labelled series: one text names a series in the check SQL too
+LABELS = ["instance", "status", "device", "mountpoint", "fstype"]
+CHECK_VIEWS.update({
+    "series": """
+SELECT *, concat_ws('|', name, instance, status, device, mountpoint, fstype) AS series,
+ CASE WHEN value < lag(value) OVER w THEN value ELSE value - COALESCE(lag(value) OVER w, value) END AS d
+FROM exposed WINDOW w AS (PARTITION BY name, instance, status, device, mountpoint, fstype ORDER BY us)""",
+    # every 15 s from a series' first sample to five minutes after its last
+    "steps": """
+SELECT *, unnest(range(((a + 14999999) // 15000000) * 15000000, b + 300000001, 15000000)) AS us
+FROM (SELECT name, instance, status, device, mountpoint, fstype, series, min(us) AS a, max(us) AS b FROM series GROUP BY ALL) x""",
+    "marks": """
+SELECT series, us, value, d, FALSE AS asked FROM series UNION ALL SELECT series, us, NULL, NULL, TRUE FROM steps""",
+    **{f"look{m}": f"""
+SELECT series, us, asked, count(value) OVER w AS n, min(us) FILTER (value IS NOT NULL) OVER w AS t0, max(us) FILTER (value IS NOT NULL) OVER w AS t1,
+ arg_min(value, us) FILTER (value IS NOT NULL) OVER w AS v0, arg_max(value, us) FILTER (value IS NOT NULL) OVER w AS v1,
+ sum(d) OVER w - arg_min(d, us) FILTER (value IS NOT NULL) OVER w AS grown
+FROM marks WINDOW w AS (PARTITION BY series ORDER BY us RANGE BETWEEN {m * 60000000} PRECEDING AND CURRENT ROW)""" for m in (1, 5)},
+    **{f"range{m}": f"""
+SELECT series, us AS tick, CASE WHEN n >= 2 THEN grown * (span + CASE WHEN grown > 0 AND v0 >= 0 THEN least(lead, span * v0 / grown) ELSE lead END
+  + CASE WHEN (us - t1) / 1e6 >= gap * 1.1 THEN gap / 2 ELSE (us - t1) / 1e6 END) / span END AS increase
+FROM (SELECT *, CASE WHEN (t0 - us) / 1e6 + {m * 60} >= gap * 1.1 THEN gap / 2 ELSE (t0 - us) / 1e6 + {m * 60} END AS lead
+ FROM (SELECT *, (t1 - t0) / 1e6 AS span, (t1 - t0) / 1e6 / NULLIF(n - 1, 0) AS gap FROM look{m} WHERE asked) x) y""" for m in (1, 5)},
+    "now": "SELECT series, us AS tick, v1 AS value FROM look5 WHERE asked",
+    "named": "SELECT DISTINCT series, name, instance, status, device, mountpoint, fstype FROM series",
+})
+
+
+def exposed(t):
+    """Samples with a label map, written once: several selections read them."""
+    return cut_lineage(rv.labelled(t.view("exposed"), LABELS))
+
+
+@query("ts_disk_usage", """
+SELECT z.instance, z.device, z.mountpoint, z.fstype, s.tick AS us, s.value - f.value AS value
+FROM (now JOIN named USING (series)) z JOIN now s ON s.series = z.series AND s.tick = z.tick
+JOIN (now JOIN named USING (series)) f ON f.name = 'node_filesystem_free_bytes' AND f.tick = z.tick AND (f.instance, f.device, f.mountpoint, f.fstype) = (z.instance, z.device, z.mountpoint, z.fstype)
+WHERE z.name = 'node_filesystem_size_bytes' AND NOT regexp_full_match(z.fstype, 'tmpfs|overlay') AND s.value - f.value IS NOT NULL""")
 def _(t):
-    return ts.drop_matching(memory(t, F.col("l") - F.col("r")), "device", "lo|overlay")
+    samples, real = exposed(t), ("fstype", "!~", "tmpfs|overlay")
+    size, free = (rv.instant_values(rv.select(samples, f"node_filesystem_{x}_bytes", real).withColumn("_k", F.to_json("labels")), ["series"]).join(
+        samples.filter(F.col("name") == f"node_filesystem_{x}_bytes").groupBy("series").agg(F.any_value("labels").alias("labels")), "series")
+        for x in ("size", "free"))
+    used = rv.combine(size, free, F.col("l") - F.col("r"))
+    return used.select(*[F.col("labels")[c].alias(c) for c in ("instance", "device", "mountpoint", "fstype")], F.col("at").alias("us"), "value")
 
 
 @query("ts_net_rate", f"SELECT name, instance, device, win, round(rate * 8 / 1000000, 9) AS mbit_per_s FROM rates WHERE name IN ('{RX}', '{TX}') AND device <> 'lo'")
@@ -99,10 +138,16 @@ def _(t):
     return m.select(*ts.SERIES, "win", F.round(F.col("rate") * 8 / 1000000, 9).alias("mbit_per_s"))
 
 
-@query("ts_pkt_err_drop", f"SELECT name, win, round(sum(rate), 6) AS rate FROM rates WHERE name IN ('{RX}', '{TX}', 'http_requests_total') AND device = 'ens33' GROUP BY 1, 2")
+ERRORS = [f"node_network_{way}_{what}_total" for what in ("errs", "drop") for way in ("receive", "transmit")]
+
+
+@query("ts_pkt_err_drop", f"""
+SELECT name, instance, device, tick AS us, round(increase / 60, 6) AS rate FROM range1 JOIN named USING (series)
+WHERE name IN ({", ".join(f"'{n}'" for n in ERRORS)}) AND device = 'ens33' AND increase IS NOT NULL""")
 def _(t):
-    m = rates(t, RX, TX, "http_requests_total").filter("device = 'ens33'")
-    return rounded(m.groupBy("name", "win").agg(F.sum("rate").alias("rate")))
+    chosen = t.view("exposed").filter(F.col("name").isin(*ERRORS) & (F.col("device") == "ens33"))
+    per_second = rv.range_values(chosen, ["name", "instance", "device"], 60).filter("rate IS NOT NULL")
+    return per_second.select("name", "instance", "device", F.col("at").alias("us"), F.round("rate", 6).alias("rate"))
 
 
 @query("ts_sum_by", "SELECT instance, win, round(sum(increase), 6) AS increase, round(sum(rate), 6) AS rate FROM rates WHERE name = 'http_requests_total' GROUP BY 1, 2")
@@ -146,14 +191,22 @@ def _(t):
 
 # alerts on series ------------------------------------------------------------------------------------------
 
-# (alert, measured, threshold, seconds it must hold); thresholds fit the fixture's request volume
-WEB_ALERTS = [("DDoSAttackDetected", "requests", 0.5, 30), ("HighErrorRate", "errors", 0.1, 60),
-              ("BruteForceAttack", "logins", 0.0, 0), ("SuspiciousInputSurge", "suspicious", 0.2, 30)]
-_WEB_LONG = " UNION ALL ".join(
-    f"SELECT '{a}' AS alert, host, win * 10000000 AS us, CAST({m} AS DOUBLE) AS value, {m} > {th} AS ok, {int(sec * SECOND)} AS hold FROM webrates" for a, m, th, sec in WEB_ALERTS)
-_GAUGE_LONG = " UNION ALL ".join(
-    f"SELECT '{a}' AS alert, instance AS host, epoch_us(ts) AS us, value, value > {th} AS ok, 120000000 AS hold FROM metrics WHERE name = '{n}'"
-    for a, n, th in (("HighCPUUsage", "node_cpu_seconds_total", 2000), ("HighMemoryUsage", FREE, 100000000)))
+# fixed values: alert, series, matchers, function, seconds of its range, divisor, threshold, seconds that it must hold
+ALERTS = [
+    ("DDoSAttackDetected", "http_requests_total", (), "rate", 60, 1, 100, 30),
+    ("HighErrorRate", "http_requests_total", (("status", "=~", "5.."),), "rate", 300, 1, 10, 60),
+    ("BruteForceAttack", "bruteforce_alerts_total", (), "increase", 300, 1, 0, 0),
+    ("SuspiciousInputSurge", "suspicious_inputs_total", (), "rate", 60, 1, 5, 30),
+    ("HighCPUUsage", "webapp_process_cpu_user_seconds_total", (), "value", None, 1, 0.8, 120),
+    ("HighMemoryUsage", "webapp_process_resident_memory_bytes", (), "value", None, 1024 ** 3, 1, 120),
+]
+
+
+def _points_sql(alert, name, matchers, how, seconds, divisor, least, hold):
+    where = " AND ".join([f"name = '{name}'", *[f"regexp_full_match({c}, '{p}')" for c, _, p in matchers]])
+    value = {"rate": f"increase / {seconds}", "increase": "increase", "value": f"value / {divisor}"}[how]
+    return (f"SELECT '{alert}' AS alert, instance, status, tick, {value} > {least} AS ok, {hold * 1000000} AS hold "
+            f"FROM {f'range{seconds // 60}' if seconds else 'now'} JOIN named USING (series) WHERE {where}")
 
 
 def holding_sql(points, keys):
@@ -163,30 +216,32 @@ SELECT {k}, min(us) AS since, max(us) AS until, count(*) AS points FROM (SELECT
 WHERE ok GROUP BY {k}, run, hold HAVING max(us) - min(us) >= hold"""
 
 
-def web_points(t):
-    """Per host and 10 s: requests, server errors, refused logins and suspicious requests per second."""
-    per = lambda cond: F.count(F.when(cond, 1)) / F.lit(10.0)
-    status = F.col("status")
-    return t.view("http_log").groupBy("host", window_number("req_ts", 10).alias("win")).agg(
-        (F.count("*") / F.lit(10.0)).alias("requests"), per(status.between(500, 599)).alias("errors"),
-        per(F.col("uri").startswith("/login") & status.isin(401, 403, 429)).alias("logins"),
-        per(F.size(weblog.suspicious_classes(F.col("uri"))) > 0).alias("suspicious"),
-    ).withColumn("us", F.col("win") * 10 * SECOND)
-
-
-def _judged(points, key, rules):
-    """Every rule's verdict on every point, in one long table (a point is copied once per rule, after aggregation)."""
-    verdicts = [F.struct(F.lit(a).alias("alert"), (F.col(m) > th).alias("ok"), F.lit(float(sec)).alias("hold")) for a, m, th, sec in rules]
-    return points.select(F.col(key).alias("host"), "us", F.inline(F.array(*verdicts)))
-
-
-@query("ts_alert_rules", holding_sql(f"{_WEB_LONG} UNION ALL {_GAUGE_LONG}", ["alert", "host"]))
+@query("ts_alert_rules", f"""
+WITH points AS ({" UNION ALL ".join(_points_sql(*a) for a in ALERTS)}),
+ runs AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY alert, instance, status ORDER BY tick) AS run FROM points),
+ held AS (SELECT *, min(tick) OVER (PARTITION BY alert, instance, status, run) AS since FROM runs WHERE ok)
+SELECT alert, instance, status, since, min(tick) AS fired, max(tick) AS until, count(*) AS steps FROM held WHERE tick - since >= hold GROUP BY 1, 2, 3, since""")
 def _(t):
-    web = _judged(cut_lineage(web_points(t)), "host", WEB_ALERTS)  # the log itself is read once
-    gauges = ts.named(t.view("metrics"), "node_cpu_seconds_total", FREE).withColumn("us", micros("ts"))
-    both = web.unionByName(_judged(gauges.filter(F.col("name") != FREE), "instance", [("HighCPUUsage", "value", 2000, 120)])).unionByName(
-        _judged(ts.named(gauges, FREE), "instance", [("HighMemoryUsage", "value", 100000000, 120)]))
-    return ts.holding(both, ["alert", "host"], F.col("ok"), "hold")
+    samples, keys = exposed(t), ["alert", "series", "instance", "status"]
+    label = lambda c: F.coalesce(F.col("labels")[c], F.lit("")).alias(c)
+
+    def chosen(a):
+        return rv.select(samples, a[1], *a[2]).select(F.lit(a[0]).alias("alert"), "series", label("instance"), label("status"), "us", "value",
+                                                      F.lit(float(a[4] or 0)).alias("seconds"))
+
+    def union(parts):
+        return reduce(lambda x, y: x.unionByName(y), parts)
+
+    # one evaluation for all range expressions, each with its own range
+    ranges = rv.range_values(union(chosen(a) for a in ALERTS if a[4]), keys, F.col("seconds"))
+    gauges = rv.instant_values(union(chosen(a) for a in ALERTS if not a[4]), keys)
+    value, least, hold = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for alert, _, _, how, _, divisor, over, seconds in ALERTS:
+        mine = F.col("alert") == alert
+        value = F.when(mine, F.col(how) / divisor).otherwise(value)
+        least, hold = F.when(mine, float(over)).otherwise(least), F.when(mine, float(seconds)).otherwise(hold)
+    points = ranges.withColumn("value", F.lit(None).cast("double")).unionByName(gauges, allowMissingColumns=True)
+    return rv.firing(points.select(*keys, "at", (value > least).alias("ok"), hold.alias("hold")), keys).drop("series")
 
 
 @query("alert_for_duration", holding_sql("SELECT name, instance, device, epoch_us(ts) AS us, value > 5000 AS ok, 30000000 AS hold FROM metrics", ["name", "instance", "device"]))
