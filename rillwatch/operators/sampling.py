@@ -2,71 +2,68 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwatch.operators.clean import binary_label
-from rillwatch.operators.quantiles import order_statistics
+from rillwatch.session import cut_lineage
 
-#: classes looked at in one pass
-CLASSES = 100
+#: rows that a stretch of the hashes holds on average
+STRETCH = 100_000
 
 
-def hash_number(id_col: str) -> Column:
-    """The first 52 bits of the id's md5 as a number, exact in a double."""
-    return F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 13), 16, 10).cast("double")
+def id_hash(id_col: str) -> Column:
+    """The id's md5; equal ids, and in practice no others, have equal ones."""
+    return F.md5(F.col(id_col).cast("string").cast("binary"))
 
 
-def _among_smallest(df: DataFrame, id_col: str, wanted: dict) -> list[Column]:
-    """Per group (column, value), a condition that holds for the ``n`` rows with the smallest id hashes.
+def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column], Column]) -> DataFrame:
+    """g, edge: for each group the largest (hash, id) among its ``wanted(n)`` rows of smallest hashes; no row if it wants none.
 
-    ``wanted`` maps (column, value) to n or a function of the group's size. The table is only aggregated: what comes
-    back is one hash for each group, and the few ids that tie with it in 52 bits.
+    Hashes are spread evenly, so stretches of equal length hold about the same number of rows. Rows are counted per
+    stretch, and only those of the one stretch in which a group's count is reached are looked at one by one. Nothing
+    goes through the driver, whatever the number of groups is.
     """
-    h, full = hash_number(id_col), F.struct(F.md5(F.col(id_col).cast("string").cast("binary")), F.col(id_col))
-    groups, out = list(wanted), []
-    for at in range(0, len(groups), CLASSES):
-        part, sizes, cols, ranks = groups[at:at + CLASSES], {}, {}, {}
-        for i, (c, v) in enumerate(part):
-            cols[f"_g{i}"] = h if c is None else F.when(F.col(c) == v, h)
-            n_of = wanted[(c, v)] if callable(wanted[(c, v)]) else (lambda n, k=wanted[(c, v)]: min(k, n))
-
-            def ranks_of(n, i=i, n_of=n_of):
-                sizes[i] = n_of(n)
-                return [sizes[i] - 1] if sizes[i] > 0 else []
-
-            ranks[f"_g{i}"] = [ranks_of]
-        found = order_statistics(df.select(*[v.alias(k) for k, v in cols.items()]), ranks)
-        for i, (c, v) in enumerate(part):
-            k = sizes.get(i, 0)
-            if k <= 0:
-                out.append(F.lit(False))
-                continue
-            edge, left = found[f"_g{i}"][k - 1], k - found[f"_g{i}"]["below", k - 1]
-            ties = df.filter(cols[f"_g{i}"] == edge).select(full.alias("t")).orderBy("t").limit(left).agg(F.max("t")).first()[0]
-            own = (h < edge) | ((h == edge) & (full <= F.struct(F.lit(ties[0]), F.lit(ties[1]).cast(df.schema[id_col].dataType))))
-            out.append(own if c is None else (F.col(c) == v) & own)
-    return out
+    rows = df.select(group.alias("g"), F.struct(id_hash(id_col).alias("h"), F.col(id_col).alias("id")).alias("at")).filter("g IS NOT NULL")
+    stretches = max(1, min(rows.count() // STRETCH + 1, 1 << 28))
+    rows = rows.withColumn("part", F.floor(F.conv(F.substring("at.h", 1, 13), 16, 10).cast("double") * (stretches / 2.0 ** 52)).cast("long"))
+    per = cut_lineage(rows.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = per.groupBy("g").agg(F.sum("n").alias("size")).withColumn("want", wanted(F.col("size")))
+    open_ = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "g").filter(
+        "want > 0 AND below < want AND below + n >= want").select("g", "part", (F.col("want") - F.col("below")).alias("left"))
+    # equal ids are counted together first
+    near = rows.join(open_, ["g", "part"]).groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("at"))
+    return near.withColumn("upto", upto).filter("upto >= left").groupBy("g").agg(F.min("at").alias("edge"))
+
+
+def _among_smallest(df: DataFrame, id_col: str, wanted: Callable[[Column], Column]) -> Column:
+    """A condition that holds for the ``wanted(n)`` rows of smallest id hash out of the ``n`` of ``df``; one row reaches the driver."""
+    found = _edges(df, id_col, F.lit(0), wanted).select("edge.h", "edge.id").first()
+    if found is None:
+        return F.lit(False)
+    return F.struct(id_hash(id_col), F.col(id_col)) <= F.struct(F.lit(found.h), F.lit(found.id).cast(df.schema[id_col].dataType))
 
 
 def exact_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """``n`` rows chosen by id hash: repeatable and independent of order and partitions."""
-    return df.filter(_among_smallest(df, id_col, {(None, None): n})[0])
+    return df.filter(_among_smallest(df, id_col, lambda size: F.least(size, F.lit(n))))
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, share: float = 0.1) -> DataFrame:
-    """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes."""
-    values = [r[0] for r in df.select(label).distinct().collect()]
-    chosen = _among_smallest(df, id_col, {(label, v): (lambda n: int(n * share)) for v in values if v is not None})
-    return df.withColumn("is_validation", F.coalesce(reduce(Column.__or__, chosen, F.lit(False)), F.lit(False)))
+    """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes; rows without a label are in none."""
+    edges = _edges(df, id_col, F.col(label), lambda size: F.floor(size * F.lit(float(share)))).withColumnsRenamed({"g": "_g", "edge": "_edge"})
+    own = F.struct(id_hash(id_col).alias("h"), F.col(id_col).alias("id")) <= F.col("_edge")
+    return df.join(edges, F.col(label) == F.col("_g"), "left").withColumn("is_validation", F.coalesce(own, F.lit(False))).drop("_g", "_edge")
 
 
 def mix_attacks(train: DataFrame, other: DataFrame, id_col: str, label: str = "y", share: float = 0.03) -> DataFrame:
     """``train`` plus a share of the other set's attacks, at least one."""
     attacks = other.filter(F.col(label) == 1)
-    picked = _among_smallest(attacks, id_col, {(None, None): (lambda n: min(n, max(1, int(n * share))))})[0]
+    picked = _among_smallest(attacks, id_col, lambda size: F.least(size, F.greatest(F.lit(1), F.floor(size * F.lit(float(share))))))
     return train.unionByName(attacks.filter(picked), allowMissingColumns=True)
 
 

@@ -230,3 +230,34 @@ def test_split_over_many_classes(spark):
     out = sampling.stratified_split(df, "id", "c", 0.1)
     assert out.count() == 6000
     assert {(r["c"], r["n"]) for r in out.filter("is_validation").groupBy("c").count().withColumnRenamed("count", "n").collect()} == {(c, 5) for c in range(120)}
+
+
+def test_samples_against_sorting(spark):
+    """Equal ids in bulk, NULL labels, text ids, stretches of a few rows: the same rows as sorting by hash picks."""
+    import hashlib
+    import random
+
+    from rillwatch.operators import sampling
+
+    rng = random.Random(4)
+    rows = [(f"id{rng.randrange(400)}" if i % 3 else "hot", None if i % 50 == 0 else rng.choice("abc")) for i in range(3000)] + [("only", "d")]
+    df = spark.createDataFrame(rows, "id string, y string")
+    digest = lambda x: (hashlib.md5(x.encode()).hexdigest(), x)
+    old = sampling.STRETCH
+    try:
+        for sampling.STRETCH in (old, 7):
+            for n in (1, 50, 999):
+                edge = sorted(digest(i) for i, _ in rows)[n - 1]
+                want = sorted(i for i, _ in rows if digest(i) <= edge)
+                assert sorted(r.id for r in sampling.exact_sample(df, "id", n).collect()) == want
+            out = sampling.stratified_split(df, "id", "y", 0.2)
+            assert out.columns == ["id", "y", "is_validation"] and out.count() == len(rows)
+            for y in "abcd":
+                mine = sorted(digest(i) for i, v in rows if v == y)
+                k = int(len(mine) * 0.2)
+                want = sorted(i for _, i in mine if k and digest(i) <= mine[k - 1])
+                assert sorted(r.id for r in out.filter(f"y = '{y}' AND is_validation").collect()) == want
+            assert out.filter("y IS NULL AND is_validation").count() == 0
+    finally:
+        sampling.STRETCH = old
+    assert sampling.exact_sample(df.limit(0), "id", 5).count() == 0 and sampling.exact_sample(df, "id", 0).count() == 0

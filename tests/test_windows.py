@@ -203,3 +203,23 @@ def test_trailing_sums_keep_small_values_beside_huge_ones(spark):
             assert got[i][f"w_{s}"] == sum(r[4] for r in inside)
             assert abs(got[i][f"v_{s}"] - sum(r[3] for r in inside)) <= 1e-9 * max(1.0, sum(r[3] for r in inside))
     assert round(got[6]["v_s"], 9) == 0.6
+
+
+def test_sketches_are_merged_in_two_levels(spark):
+    """No exchange brings the sketches of all tasks into one partition, and each task reads a bounded share of them."""
+    from rillwatch.operators import quantiles
+
+    values = spark.range(0, 60_000, 1, 200).selectExpr("cast(id % 2 as int) as k", "cast(id as double) as v")
+    plan = quantiles.sketches(values)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 2 and "_group" in plan
+    got = {r.k: r.n for r in quantiles.sketches(values).collect()}
+    assert got == {0: 30_000, 1: 30_000}
+
+
+def test_quantiles_of_many_columns_at_once(spark):
+    r = np.random.default_rng(10)
+    data = pd.DataFrame({f"c{i}": r.normal(size=30_000) * 10.0 ** i for i in range(12)} | {"same": 1.5, "two": r.integers(0, 2, 30_000).astype(float)})
+    data.loc[::7, "c3"] = np.nan
+    got = exact_quantiles(spark.createDataFrame(data).repartition(30), list(data.columns), [0.01, 0.25, 0.5, 0.75, 0.999])
+    for c in data.columns:
+        assert got[c] == pytest.approx(list(np.nanquantile(data[c], [0.01, 0.25, 0.5, 0.75, 0.999])), rel=1e-12)
