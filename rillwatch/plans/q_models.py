@@ -113,6 +113,21 @@ def fitted(t, features=None, **extra):
     return df, model.train_gbt(df, features or model.FLOW_FEATURES, "y", validation="is_validation", **extra)
 
 
+#: models fitted in this session, by application and data folder
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def shared_model(t):
+    """Folder of the model of this data set: fitted once in a session, saved, and loaded by every query that scores."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _FITTED:
+        _df, fit = fitted(t)
+        path = run_dir(t.spark, "artifacts")
+        model.save_artifacts(fit, model.FLOW_FEATURES, 0.5, path, t.spark, "shared")
+        _FITTED[key] = path
+    return _FITTED[key]
+
+
 @query("train_gbt")
 def _(t):
     df, fit = fitted(t)
@@ -155,13 +170,13 @@ def _(t):
 
 @query("score_flows")
 def _(t):
-    _df, fit = fitted(t)
-    return model.score_flows(fit, t.view("flows"), model.FLOW_FEATURES, 0.5).withColumn("features", F.to_json("features"))
+    fit, features, threshold = model.load_artifacts(t.spark, shared_model(t))
+    return model.score_flows(fit, t.view("flows"), features, threshold).withColumn("features", F.to_json("features"))
 
 
 @query("sink_model_artifacts", f"SELECT '{'|'.join(model.FLOW_FEATURES)}' AS features, CAST({len(model.FLOW_FEATURES)} AS BIGINT) AS num_features, 'check run' AS note, CAST(0.98 AS DOUBLE) AS threshold")
 def _(t):
-    _df, fit = fitted(t)
+    fit, _features, _threshold = model.load_artifacts(t.spark, shared_model(t))
     path = run_dir(t.spark, "artifacts")
     model.save_artifacts(fit, model.FLOW_FEATURES, 0.98, path, t.spark, "check run")
     return t.spark.read.json(f"{path}/meta").withColumn("features", F.array_join("features", "|"))
@@ -169,10 +184,7 @@ def _(t):
 
 @query("src_model_artifacts")
 def _(t):
-    _df, fit = fitted(t)
-    path = run_dir(t.spark, "artifacts")
-    model.save_artifacts(fit, model.FLOW_FEATURES, 0.5, path, t.spark)
-    loaded, features, threshold = model.load_artifacts(t.spark, path)
+    loaded, features, threshold = model.load_artifacts(t.spark, shared_model(t))
     return model.score_flows(loaded, t.view("flows"), features, threshold).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
@@ -180,6 +192,25 @@ def _(t):
 def _(t):
     from rillwatch.streaming.jobs import model_alerts_from_flows
 
-    _df, fit = fitted(t)
-    return model_alerts_from_flows(t.view("flows"), fit, model.FLOW_FEATURES, 0.5).withColumns(
-        {"attacker_ips": F.array_join("attacker_ips", "|"), "metrics": F.to_json("metrics")})
+    fit, features, threshold = model.load_artifacts(t.spark, shared_model(t))
+    return flat(model_alerts_from_flows(t.view("flows"), fit, features, threshold, whitelist=trusted(t)))
+
+
+def trusted(t):
+    """Addresses that administrators rejected as attackers, as a list of ``ip``."""
+    return t.view("admin_actions").filter("action = 'reject'").select("ip").distinct()
+
+
+def flat(found):
+    return found.withColumns({"attacker_ips": F.array_join("attacker_ips", "|"), "metrics": F.to_json("metrics")})
+
+
+@query("stream_ml_score_end_to_end")
+def _(t):
+    """The same model on a stream: alerts of the windows that the watermark closed."""
+    from rillwatch.streaming.jobs import stream_model_alerts
+
+    where = run_dir(t.spark, "model-alerts")
+    stream_model_alerts(t.stream("flows"), shared_model(t), f"{where}/out", f"{where}/checkpoint", whitelist=trusted(t)).trigger(
+        availableNow=True).start().awaitTermination()
+    return flat(t.spark.read.parquet(f"{where}/out/alerts").drop("batch", "model"))

@@ -143,13 +143,53 @@ def stream_rule_detector(flows: DataFrame, path: str, checkpoint: str, seconds:
 
 def stream_model_detector(scored: DataFrame, path: str, checkpoint: str, seconds: int = 30, ts: str = "flow_ts"):
     """Severity alerts over a watermarked stream of labelled flows; a writer to be started."""
+    return _per_closed_windows(_scored_panes(scored, seconds, ts), seconds, lambda closed: _model_alerts_of(closed, seconds), path, checkpoint)
+
+
+def _scored_panes(scored: DataFrame, seconds: int, ts: str) -> DataFrame:
+    """Flows and suspicious flows per window and source: the one stateful aggregation, a state row for each source of an open window."""
     bad = F.col("prediction") != "BENIGN"
-    panes = scored.groupBy(F.window(ts, f"{seconds} seconds").alias("window"), "src_ip").agg(
+    return scored.groupBy(F.window(ts, f"{seconds} seconds").alias("window"), "src_ip").agg(
         F.count(F.lit(1)).alias("flows"), F.count(F.when(bad, 1)).alias("bad"))
 
-    def find(closed: DataFrame) -> DataFrame:
-        worst = closed.filter("bad > 0").select("win", "src_ip", F.col("bad").alias("flows"))
-        stats = windows.scored_pane_stats(closed)
-        return alerts.model_alerts(stats, windows.top_list(windows.pane_top_sources(worst)), seconds)
 
-    return _per_closed_windows(panes, seconds, find, path, checkpoint)
+def _model_alerts_of(closed: DataFrame, seconds: int) -> DataFrame:
+    worst = closed.filter("bad > 0").select("win", "src_ip", F.col("bad").alias("flows"))
+    return alerts.model_alerts(windows.scored_pane_stats(closed), windows.top_list(windows.pane_top_sources(worst)), seconds)
+
+
+def stream_model_alerts(flows: DataFrame, artifacts: str, path: str, checkpoint: str, delay: str = "2 minutes", seconds: int = 30,
+                        cooldown: int = config.SEVERITY_COOLDOWN_SECONDS, threshold: float | None = None, ts: str = "flow_ts", **lists):
+    """The whole model detector over a stream of raw flows, as ``model_alerts_from_flows`` does it; a writer to be started.
+
+    A saved model scores every flow (``whitelist`` and ``blacklist`` as in ``score_flows``), one aggregation sums up
+    (window, source), and closed windows become alerts that pass the cooldown per severity. The cooldown starts each
+    micro-batch from the last alert that passed for each severity, kept below ``passed`` under the batch number, so a
+    restart, with this model or another, goes on from there. Alerts lie in ``alerts/batch=<n>`` and name their model in
+    column ``model``: a batch that is replayed overwrites its own folder, whichever model wrote it.
+    """
+    spark = flows.sparkSession
+    fitted, features, saved = model.load_artifacts(spark, artifacts)
+    scored = model.score_flows(fitted, flows, features, saved if threshold is None else threshold, **lists).withWatermark(ts, delay)
+
+    def each(df: DataFrame, batch: int) -> None:
+        closed = df.withColumn("win", windows.window_number("window.start", seconds)).drop("window").persist()
+        try:
+            before = spark.read.schema("severity string, us long").parquet(f"{path}/passed/batch={batch - 1}") if batch else None
+            if closed.isEmpty():  # no window closed: what passed before is carried on, and no alert is written
+                (before if batch else spark.createDataFrame([], "severity string, us long")).write.mode("overwrite").parquet(f"{path}/passed/batch={batch}")
+                _model_alerts_of(closed, seconds).limit(0).withColumn("model", F.lit(fitted.uid)).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+                return
+            found = cut_lineage(_model_alerts_of(closed, seconds).withColumn("us", windows.micros("alert_ts")))
+            turns = found.select("severity", "us", "alert_id")
+            if batch:
+                turns = turns.unionByName(before.withColumn("alert_id", F.lit("")))  # an id that no alert has
+            passed = cut_lineage(suppress.cooldown(turns.withColumn("alert_ts", F.timestamp_micros("us")), "severity", cooldown))
+            passed.groupBy("severity").agg(F.max("us").alias("us")).write.mode("overwrite").parquet(f"{path}/passed/batch={batch}")
+            found.drop("us").join(passed.select("severity", "alert_id"), ["severity", "alert_id"], "left_semi").withColumn(
+                "model", F.lit(fitted.uid)).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+        finally:
+            closed.unpersist()
+
+    panes = _scored_panes(scored, seconds, ts)
+    return panes.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
