@@ -17,7 +17,7 @@ _ALERT, _CUT = 0, 1
 
 STATE_SCHEMA = (
     "ip string, status string, severity string, attack_type string, confidence double, flow_count long, "
-    "alert_count long, first_us long, last_us long, expires_us long, whitelisted boolean, recheck_us long"
+    "alert_count long, first_us long, last_us long, expires_us long, duration_us long, whitelisted boolean, recheck_us long"
 )
 
 
@@ -41,7 +41,7 @@ class AddressState:
         if row is None:
             self.row = {"status": "pending", "rank": run["rank"], "attack_type": run["attack_type"],
                         "confidence": run["confidence"], "flow_count": run["flow_count"], "alert_count": run["n"],
-                        "first_us": run["first_us"], "last_us": run["last_us"], "expires_us": None}
+                        "first_us": run["first_us"], "last_us": run["last_us"], "expires_us": None, "duration_us": self.ttl}
             return None
         # a record that is no longer blocked keeps its old expiry, which may fall inside the run
         due = row["expires_us"]
@@ -51,16 +51,20 @@ class AddressState:
         row["flow_count"] += run["flow_count"]
         row["rank"] = max(row["rank"], run["rank"])
         row["last_us"] = run["last_us"]
-        if row["status"] == "blocked":
-            row["expires_us"] = run["last_us"] + self.ttl
+        if row["status"] == "blocked" and row["duration_us"] > 0:
+            row["expires_us"] = run["last_us"] + row["duration_us"]
         return None
 
-    def act(self, now: int, action: str) -> None:
+    def act(self, now: int, action: str, duration_us: int | None = None) -> None:
+        """An administrator's action; an approval may have a duration of its own, one of 0 sets no end."""
         self._expire(now)
         if self.row is None:
             return
         if action == "approve":
-            self.row.update(status="blocked", expires_us=now + self.ttl)
+            duration_us = self.ttl if duration_us is None else duration_us
+            self.row.update(status="blocked", duration_us=duration_us)
+            if duration_us > 0:
+                self.row["expires_us"] = now + duration_us
         elif action == "reject":
             self.row["status"] = "whitelisted"
             self.whitelisted = True
@@ -88,21 +92,22 @@ def _runs(alerts: DataFrame, cuts: DataFrame) -> DataFrame:
 def _fold(ttl_us: int):
     def run(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
         state, recheck = AddressState(ttl_us), None
-        for e in events.sort_values(["first_us", "kind", "action"]).to_dict("records"):
+        for e in events.sort_values(["first_us", "kind", "action", "duration_us"]).to_dict("records"):
             if e["kind"] == _ALERT:
                 recheck = state.seen(e)
                 if recheck is not None:
                     break
             else:
-                state.act(int(e["first_us"]), e["action"])
+                own = e["duration_us"]
+                state.act(int(e["first_us"]), e["action"], None if pd.isna(own) else int(own))
         row = state.row or {}
-        names = ["attack_type", "confidence", "flow_count", "alert_count", "first_us", "last_us", "expires_us"]
+        names = ["attack_type", "confidence", "flow_count", "alert_count", "first_us", "last_us", "expires_us", "duration_us"]
         rank = row.get("rank")
         severity = {v: k for k, v in config.SEVERITY_RANK.items()}.get(rank, "unknown") if row else None
         values = [key[0], row.get("status"), severity, *[row.get(n) for n in names], state.whitelisted, recheck]
         columns = ["ip", "status", "severity", *names, "whitelisted", "recheck_us"]
         out = pd.DataFrame([values], columns=columns)
-        whole = ["flow_count", "alert_count", "first_us", "last_us", "expires_us", "recheck_us"]
+        whole = ["flow_count", "alert_count", "first_us", "last_us", "expires_us", "duration_us", "recheck_us"]
         return out.astype({c: "Int64" for c in whole})
 
     return run
@@ -112,20 +117,26 @@ def address_states(alerts: DataFrame, actions: DataFrame, block_seconds: int = c
                    attack_type: str = "rule_name", confidence: str = "suspicious_ratio") -> DataFrame:
     """Final state per address after all alerts and administrator actions, in time order (alerts first on ties).
 
-    Blocks last ``block_seconds`` from the last save of a blocked record, so alerts extend them; a record that
+    Blocks last ``block_seconds``, or the ``duration`` (seconds) of their approval where ``actions`` has one, from the
+    last save of a blocked record, so alerts extend them; a duration of 0 sets no end. A record that
     leaves the blocked state keeps its expiry. An expired record is forgotten, the whitelist is not. Alerts are
     merged to at most one run a minute between actions, so even an address with a third of all alerts is a short
     list of runs.
     """
     if block_seconds <= RUN_SECONDS:
         raise ValueError("blocks must outlast a run of alerts")
+    own = duration_us(actions)
     facts = per_attacker(alerts).select(
         "ip", micros("alert_ts").alias("us"), "alert_id", scoring.severity_rank(F.col("severity")).alias("rank"),
         "flow_count", F.col(attack_type).alias("attack_type"), F.col(confidence).alias("confidence"))
-    acts = actions.select("ip", micros("action_ts").alias("first_us"), "action").distinct()
-    cuts = acts.select("ip", F.col("first_us").alias("cut_us"))
+    acts = actions.select("ip", micros("action_ts").alias("first_us"), "action", own.alias("duration_us")).distinct()
+    # a block shorter than a run of alerts may end inside one: such addresses are cut at every alert
+    short = acts.filter((F.col("duration_us") > 0) & (F.col("duration_us") <= RUN_SECONDS * SECOND)).select("ip").distinct()
+    cuts = acts.select("ip", F.col("first_us").alias("cut_us")).unionByName(
+        facts.join(short, "ip", "left_semi").select("ip", F.col("us").alias("cut_us")).distinct())
     while True:
-        runs = _runs(facts, cuts).withColumn("kind", F.lit(_ALERT)).withColumn("action", F.lit(None).cast("string"))
+        runs = _runs(facts, cuts).withColumn("kind", F.lit(_ALERT)).withColumns({
+            "action": F.lit(None).cast("string"), "duration_us": F.lit(None).cast("long")})
         events = runs.unionByName(acts.withColumn("kind", F.lit(_CUT)), allowMissingColumns=True)
         states = cut_lineage(events.groupBy("ip").applyInPandas(_fold(block_seconds * SECOND), STATE_SCHEMA))
         late = states.filter(F.col("recheck_us").isNotNull()).select("ip", (F.col("recheck_us") - 1).alias("cut_us"))
@@ -134,6 +145,13 @@ def address_states(alerts: DataFrame, actions: DataFrame, block_seconds: int = c
         cuts = cut_lineage(cuts.unionByName(late))
 
 
+def duration_us(actions: DataFrame):
+    """The approvals' own durations in microseconds, NULL where they have none or the table has no such column."""
+    if "duration" not in actions.columns:
+        return F.lit(None).cast("long")
+    return (F.col("duration").cast("double") * SECOND).cast("long")
+
+
 def live(states: DataFrame, as_of_us) -> DataFrame:
     """Records that still exist at a time, with the seconds a block has left (0 for others)."""
     here = states.filter(F.col("status").isNotNull() & (F.col("expires_us").isNull() | (F.col("expires_us") > as_of_us)))
@@ -166,7 +184,7 @@ def metadata_snapshot(states: DataFrame) -> DataFrame:
     return known.select(
         "ip", "severity", "attack_type", F.col("status").alias("block_status"), text("confidence"), text("flow_count"),
         text("alert_count"), text("first_us"), text("last_us"),
-        F.lit(str(config.BLOCK_SECONDS)).alias("block_duration"), text("ttl_seconds"), F.lit(1.0).alias("value"))
+        F.floor(F.col("duration_us") / SECOND).cast("string").alias("block_duration"), text("ttl_seconds"), F.lit(1.0).alias("value"))
 
 
 def with_block_list(alerts_ips: DataFrame, states: DataFrame, whitelist: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def _(t):
 
 @query("ip_state_machine", "SELECT ip, status, severity, attack_type, confidence, flow_count, alert_count, first_us, last_us, expires_us, whitelisted FROM ip_states")
 def _(t):
-    return states(t).filter(F.col("status").isNotNull())
+    return states(t).filter(F.col("status").isNotNull()).drop("duration_us")
 
 
 @query("ip_status_counts", "SELECT status, count(*) AS n FROM live_states GROUP BY 1")
@@ -234,11 +234,11 @@ def _(t):
 
 
 @query("ts_ip_metadata_snapshot", """
-SELECT ip, severity, attack_type, status AS block_status, CAST(flow_count AS VARCHAR) AS flow_count, CAST(alert_count AS VARCHAR) AS alert_count,
+SELECT ip, severity, attack_type, status AS block_status, CAST(confidence AS VARCHAR) AS confidence, CAST(flow_count AS VARCHAR) AS flow_count, CAST(alert_count AS VARCHAR) AS alert_count,
  CAST(first_us AS VARCHAR) AS first_us, CAST(last_us AS VARCHAR) AS last_us, '3600' AS block_duration, CAST(ttl_seconds AS VARCHAR) AS ttl_seconds, 1.0::DOUBLE AS value
 FROM live_states WHERE status IN ('pending', 'blocked', 'whitelisted')""")
 def _(t):
-    return ipstate.metadata_snapshot(live_states(t)).drop("confidence")
+    return ipstate.metadata_snapshot(live_states(t))
 
 
 # suppression -----------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from rillwatch.plans.q_alerts import WINDOW_THRESHOLD
 from rillwatch.plans.q_flows import rounded, unmatched
 from rillwatch.plans.registry import CHECK_VIEWS, query
 from rillwatch.session import run_dir
-from rillwatch.sources.sinks import run_once
+from rillwatch.sources.sinks import latest_version, run_once, stream_table
 from rillwatch.streaming import jobs, stateful
 from rillwatch.streaming import windows as sw
 
@@ -110,6 +110,19 @@ def rocksdb_state(t):
         t.spark.conf.set(name, before)
 
 
+@query("stream_ip_state_machine", """
+SELECT ip, status, alert_count, flow_count, expires_us, whitelisted FROM ip_states,
+ (SELECT (max(us) // 1000) * 1000 - 120000000 AS mark FROM (SELECT epoch_us(alert_ts) AS us FROM alerts UNION ALL SELECT epoch_us(action_ts) FROM admin_actions) e) m
+WHERE status IS NOT NULL AND (expires_us IS NULL OR ((expires_us + 999) // 1000) * 1000 > mark)""")
+def _(t):
+    """The table of addresses that the stream leaves: records whose end the watermark has passed are gone."""
+    where = run_dir(t.spark, "addresses")
+    with rocksdb_state(t):
+        changes = stateful.stream_address_states(stateful.address_events(t.stream("alerts"), t.stream("admin_actions")), delay=DELAY)
+        stream_table(changes, "ip", "seq", F.col("status").isNull(), f"{where}/table", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest_version(t.spark, f"{where}/table", changes.schema).drop("seq", "duration_us")
+
+
 @query("stream_alert_dedup", "SELECT DISTINCT alert_id FROM alerts")
 def _(t):
     return finish(t, sw.stream_unique_alerts(t.stream("alerts")), "unique").select("alert_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwatch.sources.topics import MICROS
@@ -53,3 +53,30 @@ def upsert(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def expire(states: DataFrame, as_of_us: int) -> DataFrame:
     """Records whose time has not run out."""
     return states.filter(F.col("expires_us").isNull() | (F.col("expires_us") > as_of_us))
+
+
+def stream_table(changes: DataFrame, key: str, order: str, gone: Column, path: str, checkpoint: str, mode: str = "update"):
+    """A table kept up to date by a stream of changes; a writer to be started.
+
+    Each micro-batch writes ``rows/version=<batch>``: the version before, with the last change (by ``order``) of each
+    ``key`` in place of its row, and without rows for which ``gone`` holds; then it writes the version's number below
+    ``done``. A batch that is replayed writes its version anew from the same one before it. The table has a row for
+    each key that lives, so it is small beside the stream.
+    """
+    def each(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        last = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")).select("_row.*").persist()
+        try:
+            old = spark.read.schema(df.schema).parquet(f"{path}/rows/version={batch - 1}") if batch else last.limit(0)
+            upsert(old, last, key).filter(~gone).write.mode("overwrite").parquet(f"{path}/rows/version={batch}")
+            spark.range(batch, batch + 1).write.mode("overwrite").parquet(f"{path}/done/version={batch}")
+        finally:
+            last.unpersist()
+
+    return changes.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def latest_version(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest version that ``stream_table`` has finished; its first micro-batch must have ended."""
+    version = spark.read.parquet(f"{path}/done").agg(F.max("id")).first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/rows/version={version}")

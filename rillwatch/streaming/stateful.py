@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillwatch import config
 from rillwatch.operators import scoring
-from rillwatch.operators.ipstate import AddressState
+from rillwatch.operators.ipstate import AddressState, duration_us
 from rillwatch.operators.suppress import cooldown_step, gate_step
 from rillwatch.operators.windows import SECOND, micros
 
@@ -81,38 +81,81 @@ def stream_notify_gate(alerts: DataFrame, tick_us: int = SECOND, critical_bypass
         "channel string, tick long, rule_id string, alert_id string, severity string, sent boolean, reason string, n long", "Append", "None")
 
 
+_STATE = "ip string, seq int, status string, alert_count long, flow_count long, expires_us long, duration_us long, whitelisted boolean"
+
+
 class AddressProcessor(_Kept):
-    def __init__(self, ttl_us: int):
-        self.ttl = ttl_us
+    """One address: its record and whether it is whitelisted, and with ``timers`` one event-time timer at the record's end.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    Without timers an overdue record goes at the address's next event only; with them it goes once the watermark has
+    passed its end, and an address that is not whitelisted leaves no state behind.
+    """
+
+    def __init__(self, ttl_us: int, timers: bool = False):
+        self.ttl, self.timers = ttl_us, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def _state(self) -> AddressState:
         state, text = AddressState(self.ttl), self.load()
         if text:
             state.row, state.whitelisted = json.loads(text)
-        for e in pd.concat(list(rows)).sort_values(["us", "kind", "alert_id"]).to_dict("records"):
+        return state
+
+    def _keep(self, ip: str, seq: int, state: AddressState) -> pd.DataFrame:
+        row = state.row or {}
+        if self.timers and not row and not state.whitelisted:
+            self.kept.clear()
+        else:
+            self.save(json.dumps([state.row, state.whitelisted]))
+        if self.timers:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if row.get("expires_us") is not None:
+                self.handle.registerTimer(-(-row["expires_us"] // 1000))
+        out = pd.DataFrame({"ip": [ip], "seq": [seq], "status": [row.get("status")], "alert_count": [row.get("alert_count", 0)], "flow_count": [row.get("flow_count", 0)],
+                            "expires_us": [row.get("expires_us")], "duration_us": [row.get("duration_us")], "whitelisted": [state.whitelisted]})
+        return out.astype({"expires_us": "Int64", "duration_us": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self._state()
+        for e in pd.concat(list(rows)).sort_values(["us", "kind", "alert_id", "action", "duration_us"]).to_dict("records"):
             if e["kind"] == 0:
                 state.seen({"first_us": int(e["us"]), "last_us": int(e["us"]), "n": 1, "flow_count": int(e["flow_count"]),
                             "rank": int(e["rank"]), "attack_type": e["attack_type"], "confidence": e["confidence"]})
             else:
-                state.act(int(e["us"]), e["action"])
-        self.save(json.dumps([state.row, state.whitelisted]))
-        row = state.row or {}
-        yield pd.DataFrame({"ip": [key[0]], "status": [row.get("status")], "alert_count": [row.get("alert_count", 0)],
-                            "flow_count": [row.get("flow_count", 0)], "whitelisted": [state.whitelisted]})
+                state.act(int(e["us"]), e["action"], None if pd.isna(e["duration_us"]) else int(e["duration_us"]))
+        yield self._keep(key[0], 0, state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._state()
+        if state.row and state.row["expires_us"] is not None and state.row["expires_us"] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            state.row = None
+            yield self._keep(key[0], 1, state)
 
 
 def address_events(alerts: DataFrame, actions: DataFrame, attack_type: str = "rule_name", confidence: str = "suspicious_ratio") -> DataFrame:
     """Alerts (per address) and administrator actions in one stream of events."""
     seen = alerts.withColumn("ip", F.explode("attacker_ips")).select(
         "ip", micros("alert_ts").alias("us"), F.lit(0).alias("kind"), "alert_id", F.lit("").alias("action"), "flow_count",
-        scoring.severity_rank(F.col("severity")).alias("rank"), F.col(attack_type).alias("attack_type"), F.col(confidence).alias("confidence"))
+        scoring.severity_rank(F.col("severity")).alias("rank"), F.col(attack_type).alias("attack_type"), F.col(confidence).alias("confidence"),
+        F.lit(None).cast("long").alias("duration_us"), F.col("alert_ts").alias("event_ts"))
     acts = actions.select(
         "ip", micros("action_ts").alias("us"), F.lit(1).alias("kind"), F.lit("").alias("alert_id"), "action", F.lit(0).cast("long").alias("flow_count"),
-        F.lit(0).alias("rank"), F.lit("").alias("attack_type"), F.lit(0.0).alias("confidence"))
+        F.lit(0).alias("rank"), F.lit("").alias("attack_type"), F.lit(0.0).alias("confidence"), duration_us(actions).alias("duration_us"),
+        F.col("action_ts").alias("event_ts"))
     return seen.unionByName(acts)
 
 
-def stream_address_states(events: DataFrame, block_seconds: int = config.BLOCK_SECONDS) -> DataFrame:
-    """The new state of every address that had events in the micro-batch."""
-    return events.groupBy("ip").transformWithStateInPandas(
-        AddressProcessor(block_seconds * SECOND), "ip string, status string, alert_count long, flow_count long, whitelisted boolean", "Update", "None")
+def stream_address_states(events: DataFrame, block_seconds: int = config.BLOCK_SECONDS, delay: str | None = None) -> DataFrame:
+    """The new state of every address that had events in the micro-batch (``seq`` 0) or whose record ended (``seq`` 1).
+
+    With ``delay`` the events have a watermark that far behind the newest: later ones are dropped, and records end by
+    timers when it passes their end, also without any further event of the address.
+    """
+    timers = delay is not None
+    rows = events.withWatermark("event_ts", delay) if timers else events
+    return rows.groupBy("ip").transformWithStateInPandas(
+        AddressProcessor(block_seconds * SECOND, timers), _STATE, "Update", "EventTime" if timers else "None")
