@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwatch.session import cut_lineage
+
 BLOCK = "_blk"
 
 
@@ -18,6 +20,17 @@ def block_of(order: str, width: int) -> Column:
     return F.expr(f"(`{order}` - pmod(`{order}`, {width}L)) div {width}L")
 
 
+def row_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with blocks of about equally many rows, numbered along (keys, order).
+
+    A range partitioning cuts wherever rows are many, also inside one key and inside one instant, into as many blocks as
+    a shuffle has partitions. Block numbers are those of one shuffle, so the rows are written once (checkpoint): readers
+    that come twice, or again after a lost executor, find the same blocks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
+
+
 def _over_blocks(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
 
@@ -27,9 +40,12 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, s
     """Running totals per key in ``order``, rows with equal ``order`` included together.
 
     ``sums`` maps new column to summed column. Keys must not be NULL. ``block`` replaces the equal-width blocks
-    by any number that never falls as ``order`` rises.
+    by any number that never falls as ``order`` rises; without it and ``width`` blocks have equally many rows.
     """
-    rows = df.withColumn(BLOCK, block_of(order, width) if block is None else block)
+    if block is None and width is None:
+        rows = row_blocks(df, keys, [order])
+    else:
+        rows = df.withColumn(BLOCK, block_of(order, width) if block is None else block)
     ids = [*keys, BLOCK]
     per_block = rows.groupBy(*ids).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     before = _over_blocks(keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,13 +60,13 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, s
     )
 
 
-def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], width: int,
+def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], width: int | None = None,
                  name: str = "prev") -> DataFrame:
     """Adds struct ``name`` with ``cols`` of the row before, per key in ``order``; NULL on the first row.
 
-    The first column of ``order`` is a whole number and cuts the blocks.
+    With a ``width`` the first column of ``order``, a whole number, cuts the blocks; else they have equally many rows.
     """
-    rows = df.withColumn(BLOCK, block_of(order[0], width))
+    rows = row_blocks(df, keys, order) if width is None else df.withColumn(BLOCK, block_of(order[0], width))
     ids = [*keys, BLOCK]
     last = rows.groupBy(*ids).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
     carried = last.select(*ids, F.lag("_last").over(_over_blocks(keys)).alias("_carried"))

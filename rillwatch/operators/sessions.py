@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwatch.operators.blocks import BLOCK, _over_blocks, block_of
+from rillwatch.operators.blocks import BLOCK, _over_blocks, block_of, row_blocks
 from rillwatch.operators.windows import SECOND, micros
 
 
-def mark_sessions(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int, block_us: int) -> DataFrame:
+def mark_sessions(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int, block_us: int | None = None) -> DataFrame:
     """Adds ``session`` (the start of the row's session, in microseconds) and ``prev_us`` (the row before, any session).
 
     A pause longer than the gap starts a new session. Rows are compared inside (key, block); along a key only one
-    summary per block is carried: its first and last row and where its last session began.
+    summary per block is carried: its first and last row and where its last session began. Blocks have equally many
+    rows, or a width of ``block_us``.
     """
     ids = [*keys, BLOCK]
     inside = Window.partitionBy(*ids).orderBy(us, tie)
-    local = df.withColumn(BLOCK, block_of(us, block_us)).withColumn("_pu", F.lag(us).over(inside))
+    cut = row_blocks(df, keys, [us, tie]) if block_us is None else df.withColumn(BLOCK, block_of(us, block_us))
+    local = cut.withColumn("_pu", F.lag(us).over(inside))
     starts = F.when(F.col(us) - F.col("_pu") > gap_us, F.col(us))
     along = _over_blocks(keys)
     edges = local.groupBy(*ids).agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.max(starts).alias("_start"))
@@ -35,13 +37,13 @@ def mark_sessions(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int
 def bursts(flows: DataFrame, gap_seconds: int = 60, key: str = "src_ip", ts: str = "flow_ts", tie: str = "flow_id") -> DataFrame:
     """Bursts per source: first and last seen and flows."""
     rows = flows.select(key, tie, micros(ts).alias("us"))
-    parts = mark_sessions(rows, [key], "us", tie, gap_seconds * SECOND, 300 * SECOND)
+    parts = mark_sessions(rows, [key], "us", tie, gap_seconds * SECOND)
     return parts.groupBy(key, F.col("session").alias("first_us")).agg(F.max("us").alias("last_us"), F.count(F.lit(1)).alias("flows"))
 
 
-def drop_late(rows: DataFrame, arrival: str, ts: str, seconds: int, block: int) -> DataFrame:
-    """Rows not older than the newest event time seen before them (in arrival order) minus ``seconds``."""
-    facts = rows.withColumn("_us", micros(ts)).withColumn(BLOCK, block_of(arrival, block))
+def drop_late(rows: DataFrame, arrival: str, ts: str, seconds: int) -> DataFrame:
+    """Rows not older than the newest event time seen before them (in arrival order, a unique number) minus ``seconds``."""
+    facts = row_blocks(rows.withColumn("_us", micros(ts)), [], [arrival])
     tops = facts.groupBy(BLOCK).agg(F.max("_us").alias("_top"))
     carried = tops.select(BLOCK, F.max("_top").over(_over_blocks([]).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     inside = Window.partitionBy(BLOCK).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +63,7 @@ def packets_to_flows(packets: DataFrame, idle_seconds: int = 60, active_seconds:
         F.least(here, there).alias("end_a"), F.greatest(here, there).alias("end_b"), "protocol", us.alias("us"), "pkt_id",
         "src_ip", "dst_ip", "src_port", "dst_port", (here <= there).alias("a_to_b"), F.col("length").cast("long").alias("length"), F.col("syn").cast("long").alias("syn"))
     keys = ["end_a", "end_b", "protocol"]
-    parts = mark_sessions(rows, keys, "us", "pkt_id", idle_seconds * SECOND, 600 * SECOND)
+    parts = mark_sessions(rows, keys, "us", "pkt_id", idle_seconds * SECOND)
     pause = F.col("us") - F.col("prev_us")
     gap = F.when(pause <= idle_seconds * SECOND, pause)
     idle = F.when(gap > int(active_seconds * SECOND), gap)

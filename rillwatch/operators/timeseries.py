@@ -50,11 +50,11 @@ def counter_rates(metrics: DataFrame, seconds: int, series: list[str] | None = N
     )
 
 
-def changes(metrics: DataFrame, series: list[str] | None = None, block_seconds: int = 300) -> DataFrame:
+def changes(metrics: DataFrame, series: list[str] | None = None) -> DataFrame:
     """Samples whose value differs from the one before, across the whole series."""
     series = SERIES if series is None else series
     rows = metrics.withColumn("us", micros("ts"))
-    seen = previous_row(rows, series, ["us", "value"], ["value"], block_seconds * SECOND)
+    seen = previous_row(rows, series, ["us", "value"], ["value"])
     return seen.filter(F.col("value") != F.col("prev.value")).drop("prev")
 
 
@@ -100,23 +100,22 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     return rows.filter(F.col("cum") >= rank).groupBy(*keys).agg(F.min_by(inside, "le").alias("value"))
 
 
-def holding(points: DataFrame, keys: list[str], condition: Column, seconds: float | str, order: str = "us",
-            block_seconds: int = 300) -> DataFrame:
+def holding(points: DataFrame, keys: list[str], condition: Column, seconds: float | str, order: str = "us") -> DataFrame:
     """Stretches over which ``condition`` holds at every point, at least ``seconds`` long (a number, or a column
     that is the same for all points of a key).
 
-    A break count (block prefix sums) numbers the stretches; each is then summed up map-side.
+    A break count (running totals) numbers the stretches; each is then summed up map-side.
     """
     hold = F.col(seconds) if isinstance(seconds, str) else F.lit(seconds)
     rows = points.select(*keys, order, F.coalesce(condition, F.lit(False)).alias("_ok"), hold.alias("_hold"))
     rows = rows.withColumn("_break", F.when(F.col("_ok"), 0).otherwise(1))
-    numbered = running_totals(rows, keys, order, {"_run": "_break"}, block_seconds * SECOND)
+    numbered = running_totals(rows, keys, order, {"_run": "_break"})
     spans = numbered.filter("_ok").groupBy(*keys, "_run").agg(
         F.min(order).alias("since"), F.max(order).alias("until"), F.count(F.lit(1)).alias("points"), F.max("_hold").alias("_hold"))
     return spans.filter(F.col("until") - F.col("since") >= F.col("_hold") * SECOND).drop("_run", "_hold")
 
 
-def running_counter(events: DataFrame, labels: list[str], ts: str, step: str | None = None, block_seconds: int = 300) -> DataFrame:
+def running_counter(events: DataFrame, labels: list[str], ts: str, step: str | None = None) -> DataFrame:
     """A counter per label set that grows with every event (or by column ``step``)."""
     rows = events.withColumns({"us": micros(ts), "_step": F.col(step) if step else F.lit(1)})
-    return running_totals(rows, labels, "us", {"value": "_step"}, block_seconds * SECOND).drop("_step")
+    return running_totals(rows, labels, "us", {"value": "_step"}).drop("_step")

@@ -86,7 +86,7 @@ SELECT flow_id FROM (SELECT flow_id, epoch_us(flow_ts) AS us, max(epoch_us(flow_
 WHERE newest IS NULL OR us >= newest - 30000000""")
 def _(t):
     arriving = t.view("flows").withColumn("arrival", F.expr(_ARRIVAL))
-    return sessions.drop_late(arriving, "arrival", "flow_ts", 30, 1 << 38).select("flow_id")
+    return sessions.drop_late(arriving, "arrival", "flow_ts", 30).select("flow_id")
 
 
 @query("stream_rule_cooldown", """

@@ -223,3 +223,33 @@ def test_quantiles_of_many_columns_at_once(spark):
     got = exact_quantiles(spark.createDataFrame(data).repartition(30), list(data.columns), [0.01, 0.25, 0.5, 0.75, 0.999])
     for c in data.columns:
         assert got[c] == pytest.approx(list(np.nanquantile(data[c], [0.01, 0.25, 0.5, 0.75, 0.999])), rel=1e-12)
+
+
+def test_flood_in_one_instant_spreads_over_row_blocks(spark):
+    """Blocks of equally many rows: one key and one microsecond holding nearly all rows still end up in several blocks."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    us = np.where(rng.random(n) < 0.9, 7_000_000, rng.integers(0, 400_000_000, n))
+    pdf = pd.DataFrame({"k": "a", "us": us, "id": np.arange(n), "v": rng.integers(0, 9, n)})
+    df = spark.createDataFrame(pdf)
+    cut = blocks.row_blocks(df, ["k"], ["us", "id"])
+    sizes = [r["count"] for r in cut.filter("us = 7000000").groupBy(blocks.BLOCK).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < n / 2
+    ends = cut.groupBy(blocks.BLOCK).agg(F.min(F.struct("us", "id")).alias("a"), F.max(F.struct("us", "id")).alias("b")).orderBy(blocks.BLOCK).collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    seen = sorted(zip(us, range(n)))
+    before = {i: (None if p is None else pdf.v[p]) for (_, i), p in zip(seen, [None, *[i for _, i in seen]])}
+    got = {r.id: r.pv for r in blocks.previous_row(df, ["k"], ["us", "id"], ["v"]).select("id", F.col("prev.v").alias("pv")).collect()}
+    assert got == before
+    parts = sessions.mark_sessions(df, ["k"], "us", "id", 1_000_000).select("id", "session", "prev_us").collect()
+    start, last, want = None, None, {}
+    for u, i in seen:
+        start = u if last is None or u - last > 1_000_000 else start
+        want[i], last = (start, last), u
+    assert {r.id: (r.session, r.prev_us) for r in parts} == want
+
+
+def test_row_blocks_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, us long, id long")
+    assert sessions.mark_sessions(empty, ["k"], "us", "id", 5).count() == 0
+    assert blocks.running_totals(empty, ["k"], "us", {"run": "id"}).count() == 0
