@@ -132,6 +132,16 @@ SELECT l_orderkey * 8 + l_linenumber AS pkt_id, {TS}(1704067200000000 + l_orderk
   '203.0.113.' || CAST(l_suppkey % 25 AS {STR}) AS src_ip, '198.51.100.200' AS dst_ip, CAST(1024 + l_suppkey AS INT) AS src_port, CAST(l_partkey % 10 AS INT) AS dst_port,
   CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS protocol, CAST(l_quantity * 30 AS INT) AS length, CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS syn
 FROM lineitem""",
+    # packets of both directions in bursts of ten orders, three seconds apart
+    "wire": """
+SELECT pkt_id, {TS}(1704067200000000 + g * 3000000 + o * 80000 + CASE WHEN o >= 7 THEN 1500000 ELSE 0 END + line * 700) AS pkt_ts, CASE WHEN ask THEN peer ELSE '198.51.100.200' END AS src_ip,
+  CASE WHEN ask THEN '198.51.100.200' ELSE peer END AS dst_ip, CASE WHEN ask THEN port ELSE 80 END AS src_port, CASE WHEN ask THEN 80 ELSE port END AS dst_port, protocol,
+  CASE WHEN part % 5 = 0 THEN 0 WHEN g % 4 = 0 THEN 40 + qty ELSE qty * 30 END AS length, 20 + 4 * (line % 4) AS header, 1024 + 100 * (part % 64) AS win, CASE WHEN g % 4 = 0 OR part % 3 = 0 THEN 1 ELSE 0 END AS syn,
+  CASE WHEN part % 17 = 0 THEN 1 ELSE 0 END AS fin, CASE WHEN part % 23 = 0 THEN 1 ELSE 0 END AS rst, part % 2 AS psh, CASE WHEN line > 1 THEN 1 ELSE 0 END AS ack, CASE WHEN part % 19 = 0 THEN 1 ELSE 0 END AS urg,
+  CASE WHEN part % 29 = 0 THEN 1 ELSE 0 END AS cwr, CASE WHEN part % 31 = 0 THEN 1 ELSE 0 END AS ece, CASE WHEN g % 4 = 0 THEN 1 ELSE 0 END AS attack
+FROM (SELECT (l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey * 64 + CAST(l_quantity AS BIGINT) AS pkt_id, l_orderkey {DIV} 10 AS g, l_orderkey % 10 AS o, CAST(l_linenumber AS BIGINT) AS line,
+  l_orderkey % 8 < 5 AS ask, '203.0.113.' || CAST((l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 41 AS {STR}) AS peer, CAST(1024 + (l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 41 AS INT) AS port,
+  CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS protocol, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty FROM lineitem) w""",
     "posts": """
 SELECT doc_id AS id, substr(text, 1, 40) AS title, text AS content, source AS author, {TS}(1704067200000000 + doc_id * 60000000) AS created_at FROM documents""",
     "comments": """

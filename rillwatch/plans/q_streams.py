@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from rillwatch.operators import rules, scoring, sessions, windows
+from rillwatch.operators import flowmeter, rules, scoring, sessions, windows
 from rillwatch.operators.windows import micros
 from rillwatch.plans.q_alerts import WINDOW_THRESHOLD
 from rillwatch.plans.q_flows import rounded, unmatched
@@ -200,3 +200,75 @@ SELECT src_ip, dst_ip, src_port, dst_port, protocol, min(us) AS first_us, max(us
 FROM s GROUP BY src_ip, dst_ip, src_port, dst_port, protocol, session""")
 def _(t):
     return rounded(sessions.packets_to_flows(t.view("packets")), 4)
+
+
+# the wide flow table -----------------------------------------------------------------------------------------
+
+_ENDS = "a, b, protocol"
+_ORDER = f"(PARTITION BY {_ENDS} ORDER BY us, pkt_id)"
+_FLOW = f"PARTITION BY {_ENDS}, flow"
+
+
+def _figures(c, name, digits):
+    return ", ".join(f"round(COALESCE({f}({c}), 0), {digits}) AS {name}_{n}" for f, n in (("avg", "mean"), ("stddev", "std"))) + \
+        f", CAST(COALESCE(max({c}), 0) AS BIGINT) AS {name}_max, CAST(COALESCE(min({c}), 0) AS BIGINT) AS {name}_min"
+
+
+def _total(c, name):
+    return f"CAST(COALESCE(sum({c}), 0) AS BIGINT) AS {name}"
+
+
+def _per_way(way, is_way):
+    of = lambda c: f"CASE WHEN {is_way} THEN {c} END"
+    return ", ".join([
+        f"count({of(1)}) AS tot_{way}_pkts", _total(of("length"), f"totlen_{way}_pkts"), _figures(of("length"), f"{way}_pkt_len", 3), _figures(of("way_gap"), f"{way}_iat", 1), _total(of("way_gap"), f"{way}_iat_tot"),
+        _total(of("psh"), f"{way}_psh_flags"), _total(of("urg"), f"{way}_urg_flags"), _total(of("header"), f"{way}_header_len"),
+        f"round(COALESCE(count({of(1)}) / NULLIF((max(us) - min(us)) / 1e6, 0), 0), 3) AS {way}_pkts_s", f"round(COALESCE(avg({of('length')}), 0), 3) AS {way}_seg_size_avg",
+        f"CAST(COALESCE(max(CASE WHEN {is_way} AND way_gap IS NULL THEN win END), 0) AS BIGINT) AS init_{way}_win_byts",
+        f"round(count({of(1)}) / sum(opens), 3) AS subflow_{way}_pkts", f"round(COALESCE(sum({of('length')}), 0) / sum(opens), 3) AS subflow_{way}_byts"])
+
+
+def _bulk_way(way, is_way):
+    of = lambda c: f"sum(CASE WHEN {is_way} THEN {c} END)"
+    return (f"round(COALESCE({of('bytes')} / {of(1)}, 0), 3) AS {way}_byts_b_avg, round(COALESCE({of('n')} / {of(1)}, 0), 3) AS {way}_pkts_b_avg, "
+            f"round(COALESCE({of('bytes')} / NULLIF({of('lasted')} / 1e6, 0), 0), 3) AS {way}_blk_rate_avg")
+
+
+CHECK_VIEWS["wire_marks"] = f"""
+SELECT *, COALESCE(fwd = lead_way, TRUE) AS is_fwd FROM (
+ SELECT *, first_value(fwd) OVER ({_FLOW} ORDER BY us, pkt_id) AS lead_way, us - lag(us) OVER ({_FLOW}, fwd ORDER BY us, pkt_id) AS way_gap,
+  CASE WHEN pause <= 60000000 THEN pause END AS gap, CASE WHEN pause > 5000000 AND pause <= 60000000 THEN pause END AS idle, CASE WHEN pause IS NULL OR pause > 1000000 THEN 1 ELSE 0 END AS opens,
+  sum(CASE WHEN pause IS NULL OR pause > 5000000 THEN 1 ELSE 0 END) OVER {_ORDER} AS stretch
+ FROM (SELECT *, sum(CASE WHEN pause IS NULL OR pause > 60000000 THEN 1 ELSE 0 END) OVER {_ORDER} AS flow FROM (
+  SELECT *, us - lag(us) OVER {_ORDER} AS pause FROM (
+   SELECT *, epoch_us(pkt_ts) AS us, src_port <> 80 AS fwd, CASE WHEN src_port <> 80 THEN src_ip ELSE dst_ip END AS a, CASE WHEN src_port <> 80 THEN dst_ip ELSE src_ip END AS b FROM wire) p) q) r) s"""
+CHECK_VIEWS["wire_main"] = f"""
+SELECT {_ENDS}, flow, bool_and(lead_way) AS ahead, CAST(min(us) AS BIGINT) AS first_us, max(us) - min(us) AS flow_duration, {_per_way("fwd", "is_fwd")}, {_per_way("bwd", "NOT is_fwd")},
+ count(CASE WHEN is_fwd AND length > 0 THEN 1 END) AS fwd_act_data_pkts, CAST(min(CASE WHEN is_fwd THEN header END) AS BIGINT) AS fwd_seg_size_min,
+ round(COALESCE(sum(length) / NULLIF((max(us) - min(us)) / 1e6, 0), 0), 3) AS flow_byts_s, round(COALESCE(count(*) / NULLIF((max(us) - min(us)) / 1e6, 0), 0), 3) AS flow_pkts_s,
+ round(count(CASE WHEN NOT is_fwd THEN 1 END) / count(CASE WHEN is_fwd THEN 1 END), 3) AS down_up_ratio, round(avg(length), 3) AS pkt_size_avg, round(COALESCE(var_samp(length), 0), 1) AS pkt_len_var,
+ {_figures("length", "pkt_len", 3)}, {_figures("gap", "flow_iat", 1)}, {_figures("idle", "idle", 1)}, {", ".join(_total(f, f + "_flag_cnt") for f in ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece"))},
+ CAST(max(attack) AS INT) AS label FROM wire_marks GROUP BY {_ENDS}, flow"""
+CHECK_VIEWS["wire_active"] = f"""
+SELECT {_ENDS}, flow, {_figures("lasted", "active", 1)} FROM (SELECT {_ENDS}, flow, max(us) - min(us) AS lasted FROM wire_marks GROUP BY {_ENDS}, flow, stretch) x GROUP BY {_ENDS}, flow"""
+CHECK_VIEWS["wire_bulk"] = f"""
+SELECT {_ENDS}, flow, {_bulk_way("fwd", "is_fwd")}, {_bulk_way("bwd", "NOT is_fwd")} FROM (
+ SELECT {_ENDS}, flow, is_fwd, run, count(*) AS n, sum(length) AS bytes, max(us) - min(us) AS lasted FROM (
+  SELECT *, sum(CASE WHEN turn THEN 1 ELSE 0 END) OVER {_ORDER} AS run FROM (
+   SELECT *, COALESCE(lag(is_fwd) OVER w <> is_fwd OR us - lag(us) OVER w > 1000000, TRUE) AS turn FROM wire_marks WHERE length > 0 WINDOW w AS ({_FLOW} ORDER BY us, pkt_id)) x) y
+ GROUP BY {_ENDS}, flow, is_fwd, run HAVING count(*) >= 4) z GROUP BY {_ENDS}, flow"""
+_BULKS = [f"{w}_{n}" for w in ("fwd", "bwd") for n in ("byts_b_avg", "pkts_b_avg", "blk_rate_avg")]
+
+
+def digits(name):
+    """Decimals that a sum over doubles keeps in whatever order it was added."""
+    return 1 if name.endswith(("iat_mean", "iat_std", "_var")) or name.startswith(("active", "idle")) else 3
+
+
+@query("flow_meter", f"""
+SELECT CASE WHEN ahead THEN a ELSE b END AS src_ip, CASE WHEN ahead THEN b ELSE a END AS dst_ip, CASE WHEN ahead THEN port ELSE 80 END AS src_port, CASE WHEN ahead THEN 80 ELSE port END AS dst_port,
+ * EXCLUDE (a, b, flow, ahead, port) FROM (SELECT m.*, CAST(1024 + CAST(split_part(a, '.', 4) AS INT) AS INT) AS port, x.* EXCLUDE ({_ENDS}, flow), {", ".join(f"COALESCE({c}, 0) AS {c}" for c in _BULKS)}
+ FROM wire_main m JOIN wire_active x USING ({_ENDS}, flow) LEFT JOIN wire_bulk k USING ({_ENDS}, flow)) f""")
+def _(t):
+    flows = flowmeter.measure_flows(t.view("wire"), label="attack")
+    return flows.select(*[F.round(c, digits(c)).alias(c) if k == "double" else F.col(c) for c, k in flows.dtypes])
