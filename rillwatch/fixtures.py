@@ -140,7 +140,7 @@ SELECT pkt_id, {TS}(1704067200000000 + g * 3000000 + o * 80000 + CASE WHEN o >=
   CASE WHEN part % 17 = 0 THEN 1 ELSE 0 END AS fin, CASE WHEN part % 23 = 0 THEN 1 ELSE 0 END AS rst, part % 2 AS psh, CASE WHEN line > 1 THEN 1 ELSE 0 END AS ack, CASE WHEN part % 19 = 0 THEN 1 ELSE 0 END AS urg,
   CASE WHEN part % 29 = 0 THEN 1 ELSE 0 END AS cwr, CASE WHEN part % 31 = 0 THEN 1 ELSE 0 END AS ece, CASE WHEN g % 4 = 0 THEN 1 ELSE 0 END AS attack
 FROM (SELECT (l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey * 64 + CAST(l_quantity AS BIGINT) AS pkt_id, l_orderkey {DIV} 10 AS g, l_orderkey % 10 AS o, CAST(l_linenumber AS BIGINT) AS line,
-  l_orderkey % 8 < 5 AS ask, '203.0.113.' || CAST((l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 41 AS {STR}) AS peer, CAST(1024 + (l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 41 AS INT) AS port,
+  l_orderkey % 8 < 5 AS ask, '203.0.113.' || CAST((l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 37 AS {STR}) AS peer, CAST(1024 + (l_orderkey {DIV} 10) * (l_orderkey {DIV} 10) % 37 AS INT) AS port,
   CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS protocol, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty FROM lineitem) w""",
     "posts": """
 SELECT doc_id AS id, substr(text, 1, 40) AS title, text AS content, source AS author, {TS}(1704067200000000 + doc_id * 60000000) AS created_at FROM documents""",

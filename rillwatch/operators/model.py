@@ -8,14 +8,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwatch import config
 from rillwatch.functions.features import add_derived_features
 from rillwatch.operators import scoring
+from rillwatch.operators.blocks import previous_row
 from rillwatch.operators.clean import finite
 from rillwatch.operators.evaluate import class_weight
 
@@ -71,6 +72,30 @@ def top_features(model: PipelineModel, features: list[str], k: int = 30) -> list
     return [f for _, f in sorted(zip(values, features), key=lambda p: (-p[0], p[1]))[:k]]
 
 
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], y: str, id_col: str, bins: int = 4096) -> DataFrame:
+    """One row per feature: ``auc_drop``, what ROC AUC loses when rows get the feature from a random other row.
+
+    In the order of their ids' hashes each row takes the values of the row before it (the first row keeps its own), so one
+    pass gives every feature its partner. A row is then scored once for each feature, and only counts for each (feature,
+    score bin) are shuffled; scores in one of ``bins`` equal bins count as ties. Ids are unique.
+    """
+    rows = df.select(F.col(id_col).alias("_id"), F.col(y).alias("_y"), F.array(*[F.col(f).cast("double") for f in features]).alias("_own"))
+    pairs = previous_row(rows.withColumn("_at", F.xxhash64("_id")), [], ["_at", "_id"], ["_own"], name="_other")
+    pairs = pairs.select("_y", "_own", F.coalesce("_other._own", "_own").alias("_other"))
+    tried = pairs.select("*", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_i"))
+    changed = F.transform("_own", lambda v, j: F.when(j == F.col("_i"), F.element_at("_other", j + 1)).otherwise(v))
+    scored = PipelineModel(model.stages[1:]).transform(tried.select("_y", "_i", array_to_vector(changed).alias("features")))
+    bin_of = F.least(F.floor(attack_probability(model) * bins), F.lit(bins - 1))
+    cells = scored.groupBy("_i", bin_of.alias("_bin")).agg(
+        F.count(F.when(F.col("_y") == 1, 1)).alias("pos"), F.count(F.when(F.col("_y") == 0, 1)).alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy("_i").orderBy("_bin")) - F.col("neg") / 2.0  # at most ``bins`` rows a feature
+    auc = cells.withColumn("_below", below).groupBy("_i").agg(
+        F.try_divide(F.sum(F.col("pos") * F.col("_below")), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    whole = F.max(F.when(F.col("_i") < 0, F.col("auc"))).over(Window.partitionBy(F.lit(0)))  # one row a feature
+    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_i") + 1)
+    return auc.withColumn("auc_drop", whole - F.col("auc")).filter("_i >= 0").select(names.alias("feature"), "auc_drop")
+
+
 def random_search(df: DataFrame, features: list[str], y: str, draws: int = 20, folds: int = 3,
                   space: dict | None = None, parallelism: int = 2) -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """The best of ``draws`` random settings by cross-validated ROC AUC, and all of them with their score."""

@@ -85,6 +85,20 @@ def test_training_ranks_and_scores(spark, learnable, tmp_path):
     assert a == b
 
 
+def test_permutation_importance(learnable):
+    """Against the same swaps made one by one in Python."""
+    fit = model.train_gbt(learnable, FEATURES, "y", **SMALL)
+    got = {r["feature"]: r["auc_drop"] for r in model.permutation_importance(fit, learnable, FEATURES, "y", "id", bins=1 << 30).collect()}
+    rows = learnable.withColumn("h", F.xxhash64("id")).orderBy("h", "id").toPandas()
+    whole = evaluate.roc_auc(model.add_scores(fit, learnable, FEATURES), "y", "score").first()["auc"]
+    for f in FEATURES:
+        swapped = rows.drop(columns="h").copy()
+        swapped[f] = rows[f].shift(1).fillna(rows[f])
+        auc = evaluate.roc_auc(model.add_scores(fit, learnable.sparkSession.createDataFrame(swapped), FEATURES), "y", "score").first()["auc"]
+        assert got[f] == pytest.approx(whole - auc, abs=1e-6)
+    assert got["a"] > 0.2 > got["b"] > -0.01 and abs(got["c"]) < 0.01
+
+
 def test_calibration(learnable):
     fit = model.calibrate(learnable, FEATURES, "y", "id", **SMALL)
     scored = model.add_scores(fit, learnable, FEATURES)
