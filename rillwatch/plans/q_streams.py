@@ -13,7 +13,7 @@ from rillwatch.plans.q_flows import rounded, unmatched
 from rillwatch.plans.registry import CHECK_VIEWS, query
 from rillwatch.session import run_dir
 from rillwatch.sources.sinks import latest_version, run_once, stream_table
-from rillwatch.streaming import jobs, stateful
+from rillwatch.streaming import jobs, late, stateful
 from rillwatch.streaming import windows as sw
 
 DELAY = "2 minutes"
@@ -89,6 +89,28 @@ def _(t):
     return sessions.drop_late(arriving, "arrival", "flow_ts", 30).select("flow_id")
 
 
+# the table in eight files; every fiftieth flow arrives half a table late
+_FILES = 8
+
+
+@query("stream_late_rows", f"""
+WITH pieces AS (SELECT flow_id, epoch_us(flow_ts) AS us, (flow_id + CASE WHEN flow_id % 50 = 7 THEN n // 2 ELSE 0 END) * {_FILES} // (n + n // 2) AS part FROM flows, (SELECT max(flow_id) + 1 AS n FROM flows) m),
+ tops AS (SELECT part, (max(max(us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000) * 1000 - 30000000 AS mark FROM pieces GROUP BY part),
+ told AS (SELECT flow_id, COALESCE(us <= mark, FALSE) AS late FROM pieces JOIN tops USING (part))
+SELECT flow_id, late, (SELECT count(*) FROM told WHERE late) AS dropped FROM told""")
+def _(t):
+    flows, where = t.view("flows").select("flow_id", "flow_ts"), run_dir(t.spark, "late")
+    n = flows.agg(F.max("flow_id") + 1).first()[0]
+    pos = F.col("flow_id") + F.when(F.col("flow_id") % 50 == 7, n // 2).otherwise(0)
+    for i in range(_FILES):  # a stream takes files in the order in which they were written
+        flows.filter(F.floor(pos * _FILES / (n + n // 2)) == i).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = t.spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    kept, dropped = late.run_without_late(stream, "flow_ts", "30 seconds", "flow_id", where.rsplit("/", 1)[1], f"{where}/kept", f"{where}/checkpoint")
+    gone = late.side_output(t.spark.read.schema(flows.schema).parquet(f"{where}/in"), kept, "flow_id")
+    both = kept.select("flow_id", F.lit(False).alias("late")).unionByName(gone.select("flow_id", F.lit(True).alias("late")))
+    return both.withColumn("dropped", F.lit(dropped).cast("long"))
+
+
 @query("stream_rule_cooldown", """
 WITH RECURSIVE c AS (SELECT rule_id, min(epoch_us(alert_ts)) AS us FROM alerts GROUP BY 1
  UNION ALL SELECT c.rule_id, (SELECT min(epoch_us(a.alert_ts)) FROM alerts a WHERE a.rule_id = c.rule_id AND epoch_us(a.alert_ts) >= c.us + 60000000) FROM c WHERE c.us IS NOT NULL)
