@@ -111,6 +111,15 @@ def test_search(learnable):
     assert len(tried) == 2 and all(auc > 0.8 for _s, auc in tried)
 
 
+def test_halving_search(learnable):
+    """The best third of a rung goes on; the last rung's best comes first; AUCs hold for the folds' other rows."""
+    tried = model.halving_search(learnable, FEATURES, "y", "id", draws=4, folds=2, rungs=(1, 3), rows=1000,
+                                 space={"maxDepth": [1, 3], "stepSize": [0.1, 0.3], "posWeight": model.POSITIVE_WEIGHTS})
+    assert [(f["rung"], f["rounds"]) for f in tried] == [(1, 3)] * 2 + [(0, 1)] * 4
+    first = [f["setting"] for f in tried if f["rung"] == 0]
+    assert all(f["setting"] in first[:2] for f in tried[:2]) and tried[0]["auc"] >= tried[1]["auc"] > 0.8
+
+
 def test_absent_feature_is_an_error(learnable):
     with pytest.raises(ValueError, match="zzz"):
         model.usable_features(learnable, ["a", "zzz"])
