@@ -122,7 +122,7 @@ def random_search(df: DataFrame, features: list[str], y: str, draws: int = 20, f
 
 
 def halving_search(df: DataFrame, features: list[str], y: str, id_col: str, draws: int = 20, folds: int = 3,
-                   rungs: tuple[int, ...] = (4, 12, 36), rows: int = 20_000, space: dict | None = None, parallelism: int = 4) -> list[dict]:
+                   rungs: tuple[int, ...] = (4, 12, 36), rows: int = 20_000, space: dict | None = None, parallelism: int = 8) -> list[dict]:
     """Random settings, cross-validated with few boosting rounds; the best third goes on to the next rung with more.
 
     All fits share one sample of about ``rows`` rows (the bound of the search, by hashes of the ids), vectors made once. A
@@ -135,7 +135,7 @@ def halving_search(df: DataFrame, features: list[str], y: str, id_col: str, draw
     share = min(1.0, rows / max(1, df.count()))
     slot = F.pmod(F.xxhash64(F.lit("rows"), id_col), F.lit(1_000_000))
     taken = weighted(df.filter(slot < int(share * 1_000_000)), y).withColumn("_fold", F.pmod(F.xxhash64(F.lit("folds"), id_col), F.lit(folds)))
-    sample = cut_lineage(assembler(features).transform(taken).select("features", y, "weight", "_fold").repartition(parallelism * 2)).persist()
+    sample = cut_lineage(assembler(features).transform(taken).select("features", y, "weight", "_fold").repartition(2)).persist()  # bounded, and read in every round
 
     def fit(setting: dict, fold: int, rounds: int) -> tuple[float, float]:
         began = time.monotonic()
@@ -164,13 +164,17 @@ def halving_search(df: DataFrame, features: list[str], y: str, id_col: str, draw
 def calibrate(df: DataFrame, features: list[str], y: str, id_col: str, folds: int = 3, **params) -> PipelineModel:
     """Sigmoid calibration: per fold, trees on the other folds and a logistic fit of their margin on this one.
 
+    A tenth of the other folds' rows, by the hash of the id, only says when boosting stops.
     The result is one pipeline of plain MLlib stages; ``attack_probability`` is the mean over its folds.
     """
     pack = assembler(features)
-    base = pack.transform(weighted(df, y)).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
+    base = pack.transform(weighted(df, y)).withColumns({
+        "_fold": F.pmod(F.xxhash64(id_col), F.lit(folds)), "_stop": F.pmod(F.xxhash64(F.lit("stop"), id_col), F.lit(10)) == 0})
+    base = cut_lineage(base)  # read in every boosting round
     stages = [pack]
     for k in range(folds):
         gbt = GBTClassifier(labelCol=y, weightCol="weight", seed=42 + k, predictionCol=f"pred_{k}", **{**GBT, "maxIter": 100, **params})
+        gbt.setValidationIndicatorCol("_stop")
         gbt.set(gbt.rawPredictionCol, f"raw_{k}")
         gbt.set(gbt.probabilityCol, f"gp_{k}")
         trees = gbt.fit(base.filter(F.col("_fold") != k))

@@ -20,8 +20,6 @@ CHECK_VIEWS.update({
 SELECT count(CASE WHEN y = 1 AND predicted = 1 THEN 1 END) AS tp, count(CASE WHEN y = 0 AND predicted = 1 THEN 1 END) AS fp,
  count(CASE WHEN y = 0 AND predicted = 0 THEN 1 END) AS tn, count(CASE WHEN y = 1 AND predicted = 0 THEN 1 END) AS fn FROM judged""",
 })
-# few, shallow trees, for calibration alone, which has no early stopping; that is no measure of a full fit
-QUICK = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
 
 
 def judged(t):
@@ -186,7 +184,7 @@ def _(t):
 
 
 def calibrated(t):
-    return model.calibrate(training(t), model.FLOW_FEATURES, "y", "flow_id", folds=3, **{**QUICK, "maxIter": 5})
+    return model.calibrate(training(t), model.FLOW_FEATURES, "y", "flow_id", folds=3)
 
 
 @query("calibrate_sigmoid")
