@@ -1,13 +1,19 @@
 """Repeated passages by De Bruijn compaction.
 
-Nodes are anchors: of the 10-word runs in a 35-word window the one with the smallest hash, the first of equal ones, so
-equal windows have equal anchors at equal places. An edge is a token k-mer: the words of all windows in a row that
-have the same anchor. Windows whose anchor occurs once cannot repeat.
+Edges are token k-mers. Of the 10-word runs in a 35-word window the one with the smallest hash, the first of equal ones,
+is the window's anchor; the words of all windows in a row that have the same anchor are one edge of 35 to 60 words. Nodes
+are the 34 words that an edge shares with the next one of its text: its tail and its head. Edges whose anchor occurs
+once hold no window that repeats and leave before any join.
 
-A repeated node does not branch if all its occurrences have the same edge. All windows along such edges repeat, and
-edges in a row are compacted to one path of which only the two source coordinates are kept. Where a node branches, an
-edge that occurs twice or more is known to repeat too, and one occurrence of it speaks for all; edges that occur once
-are open. Only windows of the open edges and of the speakers are verified one by one, by a 128-bit hash of their words.
+Edges that occur twice or more form the graph, one row for each with the source coordinates (row, place among the edges of the
+text) of its first occurrence. A node with one such edge in and one out does not branch and links the two. Edges
+linked in a row are one path. They are compacted by joins: first along the documents their sources lie in, then by doubling
+of pointers between the pieces, which takes as many rounds as the logarithm of the pieces of the longest path.
+
+Occurrences join the edge at their source by all its hashes (tail and head cover every word of it, as the edge does, so
+each word is compared by two hashes of 64 bits). Those in a row along one path are one long repeated span. What is left
+are edges that occur once at an anchor that occurs elsewhere too, at the ends of passages and documents: their windows,
+and those of one occurrence of each repeated edge at that anchor, are verified one by one, by a 128-bit hash of their words.
 
 Counting combines before the shuffle, and joins with the counts are joins the engine can split, so a passage that a
 third of all documents share is no bottleneck.
@@ -19,8 +25,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwatch.llm.tables import per_batch, staged, texts_of, utf8
@@ -34,8 +41,10 @@ SLICE = 500
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _C_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-#: what is known of an anchor's windows: they repeat; they repeat and speak for others like them; it is open
+#: what is known of the windows of edges in a row: they repeat; they repeat and speak for others like them; they are open
 KNOWN, SPEAKS, OPEN = 0, 1, 2
+#: all that tells one edge from another
+EDGE = ["anchor", "edge", "tail", "head"]
 
 
 def stretch_hash(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -81,10 +90,16 @@ class Places:
         self.until = windows[np.append(first[1:], len(windows)) - 1] + 1 if len(first) else first
         self.doc = np.searchsorted(starts, self.at, side="right") - 1
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each anchor and of all words of its windows."""
+    def edges(self) -> dict[str, np.ndarray]:
+        """Hashes of each edge: its anchor, all its words, the node it comes from and the node it leads to."""
         words = stretch_hash(self.h, self.begin, self.until - 1 + WINDOW)
-        return self.runs[self.at], mix(words + (self.at - self.begin).astype(np.uint64))
+        nodes = run_hash(self.h, WINDOW - 1, salt=2)
+        return {"anchor": self.runs[self.at], "edge": mix(words + (self.at - self.begin).astype(np.uint64)),
+                "tail": nodes[self.begin], "head": nodes[self.until]}
+
+    def first(self) -> np.ndarray:
+        """The number of the first edge of each document."""
+        return np.searchsorted(self.doc, np.arange(len(self.starts) - 1))
 
 
 def _places(texts: list[bytes]) -> tuple[Places, list[bytes]]:
@@ -103,15 +118,53 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
 
 
 def edges_of(packed: DataFrame) -> DataFrame:
-    """One row for each anchor of each packed text: row, place in the document, hash of the anchor and of its edge."""
+    """One row for each edge of each packed text: row, place among the text's edges, hashes."""
 
     def step(batch):
         p, _ = _places([zstandard.decompress(z) for z in batch["z"].to_pylist()])
-        node, edge = p.edges()
-        rows = batch["rid"].to_numpy()[p.doc]
-        return {"rid": pa.array(rows), "at": pa.array((p.at - p.starts[p.doc]).astype(np.int32)), "node": _signed(node), "edge": _signed(edge)}
+        place = np.arange(len(p.doc)) - p.first()[p.doc]
+        return {"rid": pa.array(batch["rid"].to_numpy()[p.doc]), "place": pa.array(place.astype(np.int32)),
+                **{c: _signed(v) for c, v in p.edges().items()}}
+
+    return per_batch(packed.select("rid", "z"), step, "rid long, place int, anchor long, edge long, tail long, head long", rows=SLICE)
+
 
-    return per_batch(packed.select("rid", "z"), step, "rid long, at int, node long, edge long", rows=SLICE)
+def links_of(edges: DataFrame) -> DataFrame:
+    """``before`` and ``after``: the two edges (``id``) of each node with one edge in and one out."""
+    enter = edges.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n"), F.min("id").alias("before")).filter("n = 1")
+    leave = edges.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("n"), F.min("id").alias("after")).filter("n = 1")
+    return enter.drop("n").join(leave.drop("n"), "node").filter("before <> after").drop("node")
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """The path of each edge (``id, rid, place, tail, head``): ``id, path, rank``, a path named by its first edge.
+
+    Each edge has at most one before it and one after it. Edges whose sources follow one another in a document are one
+    piece, numbered there. A piece then points at the piece before it, and every round joins pieces with those they point at and
+    lets them point where these do; no two open pieces point at the same one. A piece done points at a path's first one. When a
+    round ends none, those left lie on circles, which are cut between pieces.
+    """
+    linked = edges.select("id", "rid", "place").join(links_of(edges), F.col("id") == F.col("after"), "left").drop("after")
+    source = Window.partitionBy("rid").orderBy("place")
+    begins = F.col("before").isNull() | ~F.lag("id").over(source).eqNullSafe(F.col("before"))
+    numbered = linked.withColumn("begins", begins).withColumn("i", F.row_number().over(source))
+    pieces = staged(numbered.select(
+        "id", "begins", F.when(F.col("begins"), F.col("before")).alias("before"),
+        F.last(F.when(F.col("begins"), F.col("id")), ignorenulls=True).over(source).alias("piece"),
+        (F.col("i") - F.max(F.when(F.col("begins"), F.col("i"))).over(source)).alias("steps")), "pieces")
+    ends = pieces.select(F.col("id").alias("before"), F.col("piece").alias("up"), (F.col("steps") + 1).cast("long").alias("far"))
+    up = staged(pieces.filter("before is not null").select("piece", "before").join(ends, "before").select(
+        "piece", "up", "far", F.lit(False).alias("done")), "up")
+    left, had = up.count(), None
+    while left and left != had:
+        over = up.select(F.col("piece").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("done").alias("ended"))
+        moved = up.filter("not done").join(over, "up", "left").select(
+            "piece", F.coalesce("next", "up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
+            F.coalesce("ended", F.lit(True)).alias("done"))
+        up = staged(up.filter("done").unionByName(moved), "up")
+        left, had = up.filter("not done").count(), left
+    return pieces.join(up.filter("done").drop("done"), "piece", "left").select(
+        "id", F.coalesce("up", "piece").alias("path"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("rank"))
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -136,16 +189,16 @@ def _covered(n: int, begins, ends) -> np.ndarray:
 
 
 def _judge(batch):
-    """Documents with their repeated edges: the result where it is settled, else paths and windows to verify."""
+    """Documents with their spans of edges: the result where it is settled, else spans and windows to verify."""
     texts = [zstandard.decompress(z) for z in batch["z"].to_pylist()]
     p, words = _places(texts)
     found = batch["found"].combine_chunks() if isinstance(batch["found"], pa.ChunkedArray) else batch["found"]
-    counts = np.array([len(x) if x is not None else 0 for x in found.to_pylist()], np.int64) if found.null_count else np.diff(found.offsets.to_numpy())
-    flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    edge = np.searchsorted(p.at, (flat >> 2) + np.repeat(p.starts[:-1], counts))
-    state, n = flat & 3, len(p.h)
-    known = _covered(n, p.begin[edge[state != OPEN]], p.until[edge[state != OPEN]])
-    open_at = np.flatnonzero(_covered(n, p.begin[edge[state != KNOWN]], p.until[edge[state != KNOWN]]))
+    spans = found.flatten()
+    first, last, state = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last", "state"))
+    of = np.repeat(p.first(), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    begin, until, n = p.begin[first + of], p.until[last + of], len(p.h)
+    known = _covered(n, begin[state != OPEN], until[state != OPEN])
+    open_at = np.flatnonzero(_covered(n, begin[state != KNOWN], until[state != KNOWN]))
     open_doc = np.searchsorted(p.starts, open_at, side="right") - 1
     n_open = np.bincount(open_doc, minlength=len(texts))
     h1, h2 = run_hash(p.h, WINDOW), run_hash(p.h, WINDOW, salt=1)
@@ -153,7 +206,7 @@ def _judge(batch):
     for d, z in enumerate(batch["z"].to_pylist()):
         b, e = p.starts[d], p.starts[d + 1]
         windows = np.flatnonzero(known[b:e])
-        # paths: windows in a row are one span of words
+        # spans that meet are one
         cut = np.flatnonzero(np.diff(windows) > 1)
         begins = windows[np.concatenate([[0], cut + 1])] if len(windows) else windows
         ends = windows[np.concatenate([cut, [len(windows) - 1]])] + WINDOW if len(windows) else windows
@@ -204,15 +257,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = staged(per_batch(rows, pack, f"rid long, doc_id {kind}, z binary"), "texts")
     edges = staged(edges_of(packed), "edges")
     # counts are written before they are joined: a join of two plain shuffles is one that the engine splits at hot keys
-    nodes = edges.groupBy("node").agg(F.count("*").alias("n"), (F.min("edge") != F.max("edge")).alias("branches")).filter("n > 1")
-    edges = staged(edges.join(staged(nodes.drop("n"), "nodes"), "node").drop("node"), "repeated-nodes")
-    split = edges.filter("branches").drop("branches")
-    speakers = staged(split.groupBy("edge").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("speaker")), "speakers")
-    state = F.when(F.col("n") == 1, OPEN).when(F.col("speaker") == F.struct("rid", "at"), SPEAKS).otherwise(KNOWN)
-    states = split.join(speakers, "edge").select("rid", "at", state.alias("state")).unionByName(
-        edges.filter("not branches").select("rid", "at", F.lit(KNOWN).alias("state")))
-    found = states.groupBy("rid").agg(F.collect_list(F.col("at") * 4 + F.col("state")).alias("found"))
-    judged = packed.join(found, "rid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
+    anchors = edges.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("edge") != F.max("edge")).alias("branches")).filter("n > 1")
+    edges = staged(edges.join(staged(anchors.drop("n"), "anchors"), "anchor"), "edges-again")
+    source = F.min(F.struct("rid", "place")).alias("source")
+    graph = edges.groupBy(*EDGE).agg(F.count("*").alias("n"), F.max("branches").alias("branches"), source).filter("n > 1").select(
+        F.monotonically_increasing_id().alias("id"), *EDGE, "branches", "source.rid", "source.place")
+    graph = staged(graph, "graph")
+    speakers = graph.filter("branches").select("rid", F.col("place").alias("first"), F.col("place").alias("last"), F.lit(SPEAKS).alias("state"))
+    paths = staged(graph.select("id", *EDGE).join(compact(graph.drop("anchor", "edge", "branches")), "id").drop("id"), "paths")
+    # edges in a row along a path keep the distance between place and rank; an edge without a path is a span of its own
+    along = edges.join(paths, EDGE, "left").select(
+        "rid", "place", F.coalesce("path", F.lit(-1)).alias("path"), F.coalesce(F.col("place") - F.col("rank"), "place").alias("shift"))
+    # the same distance on both sides of a stretch that left the path makes two spans
+    row = Window.partitionBy("rid", "path", "shift").orderBy("place")
+    along = along.repartition("rid").withColumn("run", F.col("place") - F.row_number().over(row))
+    spans = along.groupBy("rid", "path", "shift", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")).select(
+        "rid", "first", "last", F.when(F.col("path") < 0, OPEN).otherwise(KNOWN).alias("state"))
+    found = spans.unionByName(speakers).groupBy("rid").agg(F.collect_list(F.struct("first", "last", "state")).alias("found"))
+    judged = packed.join(found, "rid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<first:int,last:int,state:int>>")))
     judged = staged(per_batch(judged, _judge, f"rid long, doc_id {kind}, {_RESULT}, z binary, paths binary, starts array<int>, "
                               "h1 array<long>, h2 array<long>", rows=SLICE), "judged")
     windows = judged.select("rid", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select(
