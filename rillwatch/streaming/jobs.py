@@ -88,14 +88,19 @@ def stream_rule_alerts(flows: DataFrame, path: str, checkpoint: str, delay: str
 
     def each(df: DataFrame, batch: int) -> None:
         spark, closed = df.sparkSession, df.persist()
+        last = spark.read.schema("rule_id string, us long").parquet(f"{path}/passed/batch={batch - 1}") if batch else None
         try:
             found = alerts.flow_alerts(closed.filter("match IS NOT NULL").withColumnRenamed("seen", ts), ts)
             panes = closed.filter("match IS NULL").select("win", "src_ip", "dst_port", "flows", *windows._SUMS)
             every = _with_window_alerts(found, panes, pane, sizes, all_windows, aggregate)
+            if closed.isEmpty():  # no window ended: nothing to fold, the cooldowns stay as they are
+                kept = spark.createDataFrame([], "rule_id string, us long") if last is None else last
+                kept.write.mode("overwrite").parquet(f"{path}/passed/batch={batch}")
+                every.limit(0).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+                return
             timed = cut_lineage(every.withColumn("us", windows.micros("alert_ts")))
             turns = timed.select("rule_id", "us", "alert_id")
-            if batch:
-                last = spark.read.schema("rule_id string, us long").parquet(f"{path}/passed/batch={batch - 1}")
+            if last is not None:
                 turns = turns.unionByName(last.withColumn("alert_id", F.lit("")))  # an id that no alert has, before all of them
             passed = cut_lineage(suppress.cooldown(
                 turns.withColumn("alert_ts", F.timestamp_micros("us")), "rule_id", config.RULE_COOLDOWN_SECONDS))
