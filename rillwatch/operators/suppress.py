@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -211,15 +213,76 @@ def bucket_step(zones: dict[str, tuple[int, int]]):
     return step
 
 
+#: a bucket with more states than this has its blocks folded in rounds
+MOST_STATES = 1 << 16
+
+
+def _states(rate: int, burst: int) -> tuple[int, int]:
+    """Room of an empty bucket, in thousandths of a request, and the step in which room changes.
+
+    Requests take whole thousands of it and time gives multiples of the rate, so room is always a multiple of the step.
+    """
+    return (burst + 1) * 1000, gcd(rate, 1000)
+
+
+def bucket_effect(zones: dict[str, tuple[int, int]]):
+    """The room left at a block's end for every room there may be at its begin.
+
+    ``n`` requests leave ``max(room - 1000 * n, room % 1000)``. Begins that come to the same room are one from there on, so
+    soon at most a thousand differ, and one alone once the bucket has been empty for all of them.
+    """
+
+    def effect(rows, start, next_block):
+        rate, burst = zones[rows["zone"].iloc[0]]
+        room, unit = _states(rate, burst)
+        left = np.arange(0, room + 1, unit, dtype=np.int64)
+        where, at, due = np.arange(len(left)), start, 1
+        for i, (ms, n) in enumerate(zip(rows["ms"].tolist(), rows["n"].tolist()), 1):
+            if len(left) > 1:
+                left = np.minimum(left + rate * (ms - at), room)
+                left = np.maximum(left - 1000 * n, left % 1000)
+                if i == due:
+                    left, same = np.unique(left, return_inverse=True)
+                    where, due = same[where], due + min(due, 64)
+                    one = int(left[0])
+            else:
+                one = min(one + rate * (ms - at), room)
+                one = max(one - 1000 * n, one % 1000)
+            at = ms
+        if len(left) == 1:
+            left = np.array([one], dtype=np.int64)
+        ends = np.minimum(left + rate * (next_block - at), room)[where]
+        return zlib.compress(np.diff(ends, prepend=0).astype("<i8").tobytes())
+
+    return effect
+
+
+def bucket_follow(zones: dict[str, tuple[int, int]]):
+    def follow(name, state, effect, start, next_block):
+        rate, burst = zones[name[-1]]
+        room, unit = _states(rate, burst)
+        left = room
+        if state:
+            excess, last = json.loads(state)
+            left = min(burst * 1000 - excess + rate * (start - last), room)
+        left = int(np.cumsum(np.frombuffer(zlib.decompress(effect), "<i8"))[left // unit])
+        return None if left == room else json.dumps([burst * 1000 - left, next_block])
+
+    return follow
+
+
 def replay_rate_limit(requests: DataFrame, zones: dict[str, tuple[int, int]] | None = None, ts: str = "req_ts",
                       block_seconds: int = 600) -> DataFrame:
     """Accepted and rejected requests per (ip, zone, millisecond).
 
     Requests of one address and zone in the same millisecond are counted together, which the bucket's own clock
-    allows; a block of ten minutes then has at most 600,000 rows per address and zone.
+    allows; a block of ten minutes then has at most 600,000 rows per address and zone. A bucket that never runs empty carries
+    its state through all blocks, so blocks are composed by their effects on every room, whatever the load.
     """
     zones = config.RATE_ZONES if zones is None else zones
     cells = requests.filter(F.col("zone").isNotNull()).groupBy(
         "ip", "zone", F.floor(micros(ts) / F.lit(1000)).cast("long").alias("ms")).agg(F.count(F.lit(1)).alias("n"))
-    out = fold(cells, ["ip", "zone"], ["ms"], bucket_step(zones), "ms long, n long, accepted long", block_seconds * 1000)
+    few = all(room // unit <= MOST_STATES for room, unit in (_states(*z) for z in zones.values()))
+    out = fold(cells, ["ip", "zone"], ["ms"], bucket_step(zones), "ms long, n long, accepted long", block_seconds * 1000,
+               (bucket_effect(zones), bucket_follow(zones)) if few else None)
     return out.withColumn("rejected", F.col("n") - F.col("accepted"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwatch import config
-from rillwatch.operators import alerts, ipstate, suppress
+from rillwatch.operators import alerts, folds, ipstate, suppress
 
 T0 = 1_704_067_200_000_000
 SEC = 1_000_000
@@ -149,6 +149,39 @@ def test_rate_limit_over_blocks(spark, block):
         assert got[(ip, zone)] == (len(times), plain_bucket(times, *config.RATE_ZONES[zone]))
 
 
+def plain_cells(cells, rate, burst):
+    excess, last, out = None, None, {}
+    for ms, n in sorted(cells.items()):
+        out[ms] = 0
+        for _ in range(n):
+            level = 0 if excess is None else max(excess - rate * (ms - last) + 1000, 0)
+            if level <= burst * 1000:
+                excess, last = level, ms
+                out[ms] += 1
+    return out
+
+
+def test_rate_limit_without_rounds(spark, monkeypatch):
+    """A bucket that never runs empty changes every block's start; the number of passes does not follow the number of blocks."""
+    r = random.Random(9)
+    zones = {"global": (50, 100), "login": (5, 10), "api": (30, 50), "odd": (7, 0), "shut": (0, 3)}
+    reqs = {(ip, z): {} for ip in "ab" for z in zones}
+    for (ip, z), cells in reqs.items():
+        quiet = r.randrange(20_000, 30_000)  # in one half the bucket is full, the other has a pause in which it runs empty
+        for _ in range(6000 if z == "global" else 700):
+            ms = r.randrange(60_000)
+            if ip == "a" or not quiet <= ms < quiet + 12_000:
+                cells[ms] = cells.get(ms, 0) + r.choice([1, 1, 1, 4, 30])
+    rows = [(ip, z, T0 + ms * 1000) for (ip, z), cells in reqs.items() for ms, n in cells.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "ip string, zone string, us long").withColumn("req_ts", F.timestamp_micros("us"))
+    written = []
+    monkeypatch.setattr(folds, "cut_lineage", lambda d, keep=folds.cut_lineage: written.append(1) or keep(d))
+    out = suppress.replay_rate_limit(df, zones, block_seconds=1).collect()
+    assert len(written) <= 2
+    want = {(ip, z, T0 // 1000 + ms): (cells[ms], ok) for (ip, z), cells in reqs.items() for ms, ok in plain_cells(cells, *zones[z]).items()}
+    assert {(x["ip"], x["zone"], x["ms"]): (x["n"], x["accepted"]) for x in out} == want
+
+
 def plain_states(rows, actions, ttl):
     events = [(T0 + int(t * SEC), 0, i, (rule, sev, n), ip) for t, rule, sev, i, ips, n in rows for ip in ips]
     events += [(T0 + int(t * SEC), 1, a, None, ip) for t, ip, a in actions]
