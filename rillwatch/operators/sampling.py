@@ -13,12 +13,21 @@ from rillwatch.session import cut_lineage
 #: rows that a stretch of the hashes holds on average
 STRETCH = 100_000
 
+#: up to so many groups are broadcast to the rows
+FEW_GROUPS = 10_000
+
 
 def id_hash(id_col: str) -> Column:
     """The id's md5; equal ids, and in practice no others, have equal ones."""
     return F.md5(F.col(id_col).cast("string").cast("binary"))
 
 
+def _broadcast_if_few(groups: DataFrame) -> DataFrame:
+    """One row a group, measured: a few keys with all the rows keep many partitions empty, and then Spark broadcasts by itself no more."""
+    groups = cut_lineage(groups)
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
 def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column], Column]) -> DataFrame:
     """g, edge: for each group the largest (hash, id) among its ``wanted(n)`` rows of smallest hashes; no row if it wants none.
 
@@ -35,7 +44,7 @@ def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column],
     open_ = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "g").filter(
         "want > 0 AND below < want AND below + n >= want").select("g", "part", (F.col("want") - F.col("below")).alias("left"))
     # equal ids are counted together first
-    near = rows.join(open_, ["g", "part"]).groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
+    near = rows.join(_broadcast_if_few(open_), ["g", "part"]).groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("at"))
     return near.withColumn("upto", upto).filter("upto >= left").groupBy("g").agg(F.min("at").alias("edge"))
 
@@ -54,8 +63,13 @@ def exact_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, share: float = 0.1) -> DataFrame:
-    """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes; rows without a label are in none."""
+    """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes; rows without a label are in none.
+
+    A few labels hold all rows, so rows are not dealt out by label: one edge per label goes to where they are. Only labels
+    by the ten thousand are joined by shuffling the rows.
+    """
     edges = _edges(df, id_col, F.col(label), lambda size: F.floor(size * F.lit(float(share)))).withColumnsRenamed({"g": "_g", "edge": "_edge"})
+    edges = _broadcast_if_few(edges)
     own = F.struct(id_hash(id_col).alias("h"), F.col(id_col).alias("id")) <= F.col("_edge")
     return df.join(edges, F.col(label) == F.col("_g"), "left").withColumn("is_validation", F.coalesce(own, F.lit(False))).drop("_g", "_edge")
 
