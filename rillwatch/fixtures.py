@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwatch.session import cut_lineage
+
 SPARK = {
     "K": "CAST(get_json_object(props, '$.k') AS INT)",
     "US": "unix_micros(CAST(ts AS TIMESTAMP))",
@@ -235,12 +237,19 @@ class Inputs:
         )
         return counted.unionByName(total)
 
-    def _exposed(self) -> DataFrame:
+    def exposed(self, names: list[str]) -> DataFrame:
+        """Rows of the view ``exposed`` with one of ``names``; the base table is read for these alone, and once."""
+        return self._exposed(names)
+
+    def _exposed(self, names: list[str] | None = None) -> DataFrame:
         """Samples of labelled counters and gauges; running sums come from blocks, as above."""
         from rillwatch.operators.blocks import running_totals
 
         series = ["name", "instance", "status", "device", "mountpoint", "fstype"]
-        at = self.view("exposed_steps").groupBy(*series, "us", "counts").agg(F.sum("step").alias("step"), F.max("step").alias("top"))
+        steps = self.view("exposed_steps")
+        at = (steps.filter(F.col("name").isin(*names)) if names else steps).groupBy(*series, "us", "counts").agg(F.sum("step").alias("step"), F.max("step").alias("top"))
+        if names:
+            at = cut_lineage(at)  # read for the blocks' sums, for the rows and for the gauges
         since = F.expr("us div 1200000000").alias("since")
         counted = running_totals(at.filter("counts = 1").select("*", since), [*series, "since"], "us", {"value": "step"}, width=60_000_000)
         gauges = at.filter("counts = 0").withColumn("value", F.col("top"))

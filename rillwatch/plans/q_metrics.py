@@ -113,9 +113,9 @@ FROM (SELECT *, CASE WHEN (t0 - us) / 1e6 + {m * 60} >= gap * 1.1 THEN gap / 2 E
 })
 
 
-def exposed(t):
-    """Samples with a label map, written once: several selections read them."""
-    return cut_lineage(rv.labelled(t.view("exposed"), LABELS))
+def exposed(t, *names):
+    """Samples of ``names`` with a label map, written once: several selections read them."""
+    return cut_lineage(rv.labelled(t.exposed(sorted(set(names))), LABELS))
 
 
 @query("ts_disk_usage", """
@@ -124,7 +124,7 @@ FROM (now JOIN named USING (series)) z JOIN now s ON s.series = z.series AND s.t
 JOIN (now JOIN named USING (series)) f ON f.name = 'node_filesystem_free_bytes' AND f.tick = z.tick AND (f.instance, f.device, f.mountpoint, f.fstype) = (z.instance, z.device, z.mountpoint, z.fstype)
 WHERE z.name = 'node_filesystem_size_bytes' AND NOT regexp_full_match(z.fstype, 'tmpfs|overlay') AND s.value - f.value IS NOT NULL""")
 def _(t):
-    samples, real = exposed(t), ("fstype", "!~", "tmpfs|overlay")
+    samples, real = exposed(t, "node_filesystem_size_bytes", "node_filesystem_free_bytes"), ("fstype", "!~", "tmpfs|overlay")
     size, free = (rv.instant_values(rv.select(samples, f"node_filesystem_{x}_bytes", real).withColumn("_k", F.to_json("labels")), ["series"]).join(
         samples.filter(F.col("name") == f"node_filesystem_{x}_bytes").groupBy("series").agg(F.any_value("labels").alias("labels")), "series")
         for x in ("size", "free"))
@@ -222,7 +222,7 @@ WITH points AS ({" UNION ALL ".join(_points_sql(*a) for a in ALERTS)}),
  held AS (SELECT *, min(tick) OVER (PARTITION BY alert, instance, status, run) AS since FROM runs WHERE ok)
 SELECT alert, instance, status, since, min(tick) AS fired, max(tick) AS until, count(*) AS steps FROM held WHERE tick - since >= hold GROUP BY 1, 2, 3, since""")
 def _(t):
-    samples, keys = exposed(t), ["alert", "series", "instance", "status"]
+    samples, keys = exposed(t, *(a[1] for a in ALERTS)), ["alert", "series", "instance", "status"]
     label = lambda c: F.coalesce(F.col("labels")[c], F.lit("")).alias(c)
 
     def chosen(a):
