@@ -126,7 +126,7 @@ def fold(cells: DataFrame, keys: list[str], order: list[str], step: Step, out_sc
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)  # one row per block
     ends = cells.agg(F.min(BLOCK).alias("first"), F.max(BLOCK).alias("last")).first()
     if ends["first"] != ends["last"] and composed:
-        known = _along(effects(cells.dropna(subset=ids)), keys, ids, composed[1], block, f"{fields}, {USED} string")
+        known = _along(effects(cells.dropna(subset=keys) if keys else cells), keys, ids, composed[1], block, f"{fields}, {USED} string")
         scratch = cells.join(known, ids)
     elif ends["first"] != ends["last"]:
         known = states(scratch)

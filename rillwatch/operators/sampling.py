@@ -28,15 +28,16 @@ def _broadcast_if_few(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
 
 
-def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column], Column]) -> DataFrame:
+def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column], Column]) -> tuple[DataFrame, bool]:
     """g, edge: for each group the largest (hash, id) among its ``wanted(n)`` rows of smallest hashes; no row if it wants none.
 
     Hashes are spread evenly, so stretches of equal length hold about the same number of rows. Rows are counted per
     stretch, and only those of the one stretch in which a group's count is reached are looked at one by one. Nothing
-    goes through the driver, whatever the number of groups is.
+    goes through the driver, whatever the number of groups is. Also whether there are more rows than a stretch holds.
     """
     rows = df.select(group.alias("g"), F.struct(id_hash(id_col).alias("h"), F.col(id_col).alias("id")).alias("at")).filter("g IS NOT NULL")
-    stretches = max(1, min(rows.count() // STRETCH + 1, 1 << 28))
+    count = rows.count()
+    stretches = max(1, min(count // STRETCH + 1, 1 << 28))
     rows = rows.withColumn("part", F.floor(F.conv(F.substring("at.h", 1, 13), 16, 10).cast("double") * (stretches / 2.0 ** 52)).cast("long"))
     per = cut_lineage(rows.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n")))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,14 +45,14 @@ def _edges(df: DataFrame, id_col: str, group: Column, wanted: Callable[[Column],
     open_ = per.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "g").filter(
         "want > 0 AND below < want AND below + n >= want").select("g", "part", (F.col("want") - F.col("below")).alias("left"))
     # equal ids are counted together first
-    near = rows.join(_broadcast_if_few(open_), ["g", "part"]).groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
+    near = rows.join(_broadcast_if_few(open_) if count > STRETCH else open_, ["g", "part"]).groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("at"))
-    return near.withColumn("upto", upto).filter("upto >= left").groupBy("g").agg(F.min("at").alias("edge"))
+    return near.withColumn("upto", upto).filter("upto >= left").groupBy("g").agg(F.min("at").alias("edge")), count > STRETCH
 
 
 def _among_smallest(df: DataFrame, id_col: str, wanted: Callable[[Column], Column]) -> Column:
     """A condition that holds for the ``wanted(n)`` rows of smallest id hash out of the ``n`` of ``df``; one row reaches the driver."""
-    found = _edges(df, id_col, F.lit(0), wanted).select("edge.h", "edge.id").first()
+    found = _edges(df, id_col, F.lit(0), wanted)[0].select("edge.h", "edge.id").first()
     if found is None:
         return F.lit(False)
     return F.struct(id_hash(id_col), F.col(id_col)) <= F.struct(F.lit(found.h), F.lit(found.id).cast(df.schema[id_col].dataType))
@@ -65,11 +66,13 @@ def exact_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
 def stratified_split(df: DataFrame, id_col: str, label: str, share: float = 0.1) -> DataFrame:
     """Adds ``is_validation``: per label, the ``share`` of rows with the smallest id hashes; rows without a label are in none.
 
-    A few labels hold all rows, so rows are not dealt out by label: one edge per label goes to where they are. Only labels
-    by the ten thousand are joined by shuffling the rows.
+    A few labels hold all rows, so more rows than a stretch holds are not dealt out by label: one edge per label goes to where
+    they are. Only fewer rows, or labels by the ten thousand, are left to a plain join.
     """
-    edges = _edges(df, id_col, F.col(label), lambda size: F.floor(size * F.lit(float(share)))).withColumnsRenamed({"g": "_g", "edge": "_edge"})
-    edges = _broadcast_if_few(edges)
+    edges, many = _edges(df, id_col, F.col(label), lambda size: F.floor(size * F.lit(float(share))))
+    edges = edges.withColumnsRenamed({"g": "_g", "edge": "_edge"})
+    if many:
+        edges = _broadcast_if_few(edges)
     own = F.struct(id_hash(id_col).alias("h"), F.col(id_col).alias("id")) <= F.col("_edge")
     return df.join(edges, F.col(label) == F.col("_g"), "left").withColumn("is_validation", F.coalesce(own, F.lit(False))).drop("_g", "_edge")
 

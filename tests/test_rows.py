@@ -263,8 +263,9 @@ def test_samples_against_sorting(spark):
     assert sampling.exact_sample(df.limit(0), "id", 5).count() == 0 and sampling.exact_sample(df, "id", 0).count() == 0
 
 
-def test_split_leaves_rows_where_they_are(spark):
+def test_split_leaves_rows_where_they_are(spark, monkeypatch):
     """Two labels hold all rows; neither is gathered in one task."""
+    monkeypatch.setattr(sampling, "STRETCH", 10_000)
     df = spark.range(0, 40_000, 1, 8).select("id", (F.col("id") % 2).alias("y"))
     out = sampling.stratified_split(df, "id", "y", 0.1)
     found = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_if("is_validation").alias("held")).collect()
